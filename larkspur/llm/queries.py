@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op8_scan_secrets": secrets.query,
 }
 
 ORACLES = {
