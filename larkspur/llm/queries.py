@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, secrets, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op8_scan_secrets": secrets.query,
+    "op10_score_toxicity": toxicity.query,
 }
 
 ORACLES = {
