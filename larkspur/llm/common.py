@@ -29,6 +29,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_broadcast(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of ids, to be broadcast if it has at most so many rows, else left to a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,10 +82,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large-star: neighbours above u go to the smallest node around u
         both = now.select(F.inline(pair(F.col("u"), F.col("v"))))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # written, so that a hub's edges can be split in the join that follows
+        low = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
+        large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # small-star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
         kept = large.join(low, "u")
         now = table(
             kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, toxicity
+from . import mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op4_simhash_groups": simhash.query,
     "op8_scan_secrets": secrets.query,
     "op10_score_toxicity": toxicity.query,
 }
