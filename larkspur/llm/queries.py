@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, simhash, toxicity
+import corpus_pipeline
+
+from . import decontaminate, mixing, secrets, simhash, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_mix_sources": mixing.query,
     "op4_simhash_groups": simhash.query,
+    "op6_benchmark_matches": decontaminate.query,
     "op8_scan_secrets": secrets.query,
     "op10_score_toxicity": toxicity.query,
 }
