@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, mixing, secrets, simhash, toxicity
+from . import decontaminate, licenses, mixing, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_mix_sources": mixing.query,
+    "op2_count_tokens": tokens.query,
     "op4_simhash_groups": simhash.query,
     "op6_benchmark_matches": decontaminate.query,
+    "op7_scan_licenses": licenses.query,
     "op8_scan_secrets": secrets.query,
     "op10_score_toxicity": toxicity.query,
 }
