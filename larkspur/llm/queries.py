@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, mixing, secrets, simhash, tokens, toxicity
+from . import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_benchmark_matches": decontaminate.query,
     "op7_scan_licenses": licenses.query,
     "op8_scan_secrets": secrets.query,
+    "op9_score_quality": quality.query,
     "op10_score_toxicity": toxicity.query,
 }
 
