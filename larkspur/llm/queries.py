@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, mixing, quality, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_mix_sources": mixing.query,
     "op2_count_tokens": tokens.query,
     "op4_simhash_groups": simhash.query,
+    "op5_embedding_groups": embeddings.query,
     "op6_benchmark_matches": decontaminate.query,
     "op7_scan_licenses": licenses.query,
     "op8_scan_secrets": secrets.query,
@@ -20,4 +21,5 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op5_embedding_groups": embeddings.SQL,
 }
