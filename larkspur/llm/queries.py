@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, tokens, toxicity
+from . import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, substrings, tokens, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_mix_sources": mixing.query,
     "op2_count_tokens": tokens.query,
+    "op3_remove_repeats": substrings.query,
     "op4_simhash_groups": simhash.query,
     "op5_embedding_groups": embeddings.query,
     "op6_benchmark_matches": decontaminate.query,
@@ -21,5 +22,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op3_remove_repeats": substrings.SQL,
     "op5_embedding_groups": embeddings.SQL,
 }
