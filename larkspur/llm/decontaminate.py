@@ -70,6 +70,26 @@ def similarity(a: list[bytes], b: list[bytes], width: int) -> float:
     return both / (sum(p.values()) + sum(q.values()) - both)
 
 
+class Known:
+    """Membership in a fixed set of hashes: a table of their top bits first, then a sorted search."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.table = np.zeros(1 << self.BITS, dtype=bool)
+        self.table[self.sorted >> np.uint64(64 - self.BITS)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where h has a member."""
+        at = np.flatnonzero(self.table[h >> np.uint64(64 - self.BITS)])
+        return at[self.exact(h[at])]
+
+    def exact(self, h: np.ndarray) -> np.ndarray:
+        near = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return self.sorted[near] == h
+
+
 class Items:
     """The items of one length: shingles, fingerprints and the multi-index over them."""
 
@@ -78,7 +98,7 @@ class Items:
         self.length = len(self.words[0])
         self.width = min(WIDTH, self.length)
         hashes = [shingles(np.array([word_hash(w) for w in words], dtype=np.int64), self.width) for words in self.words]
-        self.known = np.unique(np.concatenate(hashes))
+        self.known = Known(np.concatenate(hashes))
         self.prints = np.array([window_prints(h, len(h))[0] for h in hashes], dtype=np.uint64)
         values = self.prints.view(np.uint8).reshape(-1, BLOCKS)
         close = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
@@ -104,7 +124,7 @@ class Index:
                 by[len(words)].append((item, words))
         self.lengths = [Items(v) for _, v in sorted(by.items())]
         self.widths = sorted({x.width for x in self.lengths})
-        self.known = {w: np.unique(np.concatenate([x.known for x in self.lengths if x.width == w])) for w in self.widths}
+        self.known = {w: Known(np.concatenate([x.known.sorted for x in self.lengths if x.width == w])) for w in self.widths}
 
     def match(self, words: list[bytes], ids: np.ndarray, least: float) -> dict[object, tuple[float, int, int, int]]:
         """item -> (best similarity, first word of the best window, words of it, windows that match)."""
@@ -112,26 +132,27 @@ class Index:
         marks = {}
         for width in self.widths:
             h = shingles(ids, width)
-            if np.isin(h, self.known[width]).any():
-                marks[width] = h
+            at = self.known[width].places(h)
+            if len(at):
+                marks[width] = h, at
         for items in self.lengths if marks else []:
-            h = marks.get(items.width)
-            if h is None:
+            if items.width not in marks:
                 continue
+            h, at = marks[items.width]
             size = min(items.length, len(words))
             if size < 0.8 * items.length:
                 continue
-            anchors = np.isin(h, items.known)
-            if not anchors.any():
+            anchors = at[items.known.exact(h[at])]
+            if not len(anchors):
                 continue
             run = size - items.width + 1  # shingles of a window
             # windows that hold an anchor
-            upto = np.concatenate([[0], anchors.cumsum()])
-            starts = np.flatnonzero(upto[run:] > upto[:-run])
+            starts = np.unique((anchors[:, None] - np.arange(run)[None, :]).ravel())
+            starts = starts[(starts >= 0) & (starts <= len(h) - run)]
             # neighbouring windows share one pass of sums
             for zone in np.split(starts, np.flatnonzero(np.diff(starts) > run) + 1):
-                for at in range(0, len(zone), WINDOWS):
-                    part = zone[at : at + WINDOWS]
+                for k in range(0, len(zone), WINDOWS):
+                    part = zone[k : k + WINDOWS]
                     low, high = int(part[0]), int(part[-1])
                     prints = window_prints(h[low : high + run], run)[part - low]
                     for w, i in zip(*(x.tolist() for x in items.candidates(prints)), strict=True):
