@@ -139,11 +139,12 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]", text: str
     # texts in which no pattern occurs pass by without a shuffle
     row_id = F.sha2(F.concat_ws("\x01", F.col(key).cast("string"), body), 256)
     hits = table(docs.where(touched).withColumn("_row_id", row_id), "secret-hits")
-    spans = scan(hits.select("_row_id", text).distinct(), scope, text, "_row_id").select("_row_id", "spans").where(F.size("spans") > 0)
-    joined = hits.join(spans, "_row_id", "left")
-    edited = joined.withColumn(text, F.when(F.size("spans") > 0, _cut(body, F.col("spans"), mark)).otherwise(F.col(text)))
+    found_ = scan(hits.select("_row_id", text).distinct(), scope, text, "_row_id").select("_row_id", F.col("spans").alias("_spans")).where(F.size("_spans") > 0)
+    joined = hits.join(found_, "_row_id", "left")
+    hit = F.size("_spans") > 0
+    edited = joined.withColumn(text, F.when(hit, _cut(body, F.col("_spans"), mark)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        edited = edited.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        edited = edited.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return docs.where(~touched).unionByName(edited.select(*docs.columns))
 
 
