@@ -125,7 +125,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sigmas: float = 6.0
     links = out.groupBy("node").agg(F.sum("links").alias("links"))
     named = components(out.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     by_node = distinct.select("node", "digest", "first", "copies").join(links, "node", "left").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_key = by_node.groupBy("component").agg(F.min("first").alias("least"))
+    # written, so that a large group can be split in the join that follows
+    least_key = table(by_node.groupBy("component").agg(F.min("first").alias("least")), "vector-least")
     by_node = table(by_node.join(least_key, "component").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "least"), "vector-groups")
     # rows that cannot link do not go through the join
     alone = rows.where("not sound").select("_key", F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("least"))

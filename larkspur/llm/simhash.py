@@ -248,7 +248,8 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tab
     named = components(found)
     joined = distinct.select("node", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = joined.where(F.col("component").isNotNull())
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    # written, so that a large group can be split in the join that follows
+    least = table(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
     by_node = table(linked.join(least, "component").select(F.col("node").alias("_node"), "least"), "simhash-groups")
     own = prints.withColumn("_node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp"))
     return own.join(by_node, "_node").select(key, "fp", F.col("least").alias("component"))
