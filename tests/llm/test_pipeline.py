@@ -1,0 +1,35 @@
+import corpus_pipeline as cp
+from larkspur.llm import decontaminate, toxicity
+
+
+def test_stages(spark, sf):
+    docs = cp.documents(spark, sf)
+    columns, seen = docs.columns, {}
+    for name, stage in cp.STAGES:
+        out = cp.table(stage(spark, docs, sf), name)
+        seen[name] = (docs, out)
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == columns
+        docs = out
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
+    # each stage's decision, on its own input
+    before, after = seen["toxicity"]
+    bad = toxicity.score(before, cp.documents(spark, sf, "labels")).where("score >= 0.5").count()
+    assert before.count() - after.count() == bad > 0
+    before, after = seen["decontamination"]
+    bench = cp.documents(spark, sf, "benchmark")
+    assert decontaminate.matches(before, bench).count() > 0 == decontaminate.matches(after, bench).count()
+    before, after = seen["secrets"]
+    assert before.count() == after.count() and after.where("text like '%[SECRET]%'").count() > 0
+    before, after = seen["near_duplicates"]
+    assert after.select("text").distinct().count() == after.count()
+    copies = {frozenset(r.ids) for r in before.groupBy("text").agg({"doc_id": "collect_set"}).toDF("text", "ids").collect()}
+    kept = {r.doc_id for r in after.collect()}
+    assert all(len(ids & kept) <= 1 for ids in copies)
+
+
+def test_empty(spark, sf):
+    docs = cp.documents(spark, sf).limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, sf).count() == 0
