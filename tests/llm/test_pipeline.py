@@ -1,9 +1,13 @@
 import corpus_pipeline as cp
 from larkspur.llm import decontaminate, toxicity
 
+#: The smallest table holds no secrets, so one document with two of them joins it.
+SECRET = (10**9, "The harbour office keeps old charts of every river mouth. password = hunter2hunter2 and api_key: 0123456789abcdef were left here.", "en", "web", 130)
+
 
 def test_stages(spark, sf):
     docs = cp.documents(spark, sf)
+    docs = docs.unionByName(spark.createDataFrame([SECRET], docs.schema))
     columns, seen = docs.columns, {}
     for name, stage in cp.STAGES:
         out = cp.table(stage(spark, docs, sf), name)
@@ -21,7 +25,10 @@ def test_stages(spark, sf):
     bench = cp.documents(spark, sf, "benchmark")
     assert decontaminate.matches(before, bench).count() > 0 == decontaminate.matches(after, bench).count()
     before, after = seen["secrets"]
-    assert before.count() == after.count() and after.where("text like '%[SECRET]%'").count() > 0
+    assert before.count() == after.count()
+    told = after.where(f"doc_id = {SECRET[0]}").first()
+    assert "hunter2" not in told.text and told.text.count("[SECRET]") == 2 and told.n_chars == len(told.text)
+    assert before.where(f"doc_id <> {SECRET[0]}").exceptAll(after).isEmpty()
     before, after = seen["near_duplicates"]
     assert after.select("text").distinct().count() == after.count()
     copies = {frozenset(r.ids) for r in before.groupBy("text").agg({"doc_id": "collect_set"}).toDF("text", "ids").collect()}

@@ -84,7 +84,7 @@ def test_leaks(spark):
     words = [f"w{k}" for k in range(2000)]
     items = [(k, rng.choice(words, int(rng.integers(15, 50))).tolist()) for k in range(30)]
     docs = []
-    for k in range(60):
+    for k in range(120):
         w = rng.choice(words, int(rng.integers(5, 300))).tolist()
         part = list(items[k % 30][1])
         if k % 2 == 0:
@@ -94,7 +94,7 @@ def test_leaks(spark):
             w[at:at] = part
         docs.append((k, " ".join(w).upper() if k % 3 else ", ".join(w)))
     items += [(30, items[0][1]), (31, []), (32, ["short", "item"])]
-    docs += [(100, None), (101, ""), (102, " ".join(items[1][1][:-1])), (103, "a SHORT item"), (103, "a SHORT item")]
+    docs += [(200, None), (201, ""), (202, " ".join(items[1][1][:-1])), (203, "a SHORT item"), (203, "a SHORT item")]
     b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string").unionByName(spark.createDataFrame([(33, None)], "item_id bigint, text string"))
     d = spark.createDataFrame([(*r, 1.0) for r in docs], "doc_id bigint, text string, similarity double")
     got = Counter((r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.matches(d, b).collect())
