@@ -80,21 +80,15 @@ class Space:
         n = len(rows)
         df = np.bincount(np.concatenate([p for p, _ in rows]), minlength=SPACE)
         self.idf = np.where(df > 0, np.log((n + 1) / (df + 0.5)).clip(0.05), 0.0).astype(np.float32)
-        ptr = np.cumsum([0] + [len(p) for p, _ in rows])
-        col = np.concatenate([p for p, _ in rows])
-        val = np.concatenate([self.weigh(p, w) for p, w in rows])
-        order = np.argsort(col, kind="stable")
-        used, first = np.unique(col[order], return_index=True)
-        row = np.repeat(np.arange(n), np.diff(ptr))
-
-        def times(m: np.ndarray) -> np.ndarray:  # A m
-            out = np.zeros((n, m.shape[1]))
-            np.add.at(out, row, m[col] * val[:, None])
-            return out
+        matrix = [(p, self.weigh(p, w)) for p, w in rows]
+
+        def times(m: np.ndarray) -> np.ndarray:  # A m, a row at a time
+            return np.stack([v @ m[p] for p, v in matrix])
 
-        def back(m: np.ndarray) -> np.ndarray:  # A' m
+        def back(m: np.ndarray) -> np.ndarray:  # A' m; the terms of a row are distinct
             out = np.zeros((SPACE, m.shape[1]))
-            out[used] = np.add.reduceat((m[row] * val[:, None])[order], first, axis=0)
+            for (p, v), x in zip(matrix, m):
+                out[p] += v[:, None] * x
             return out
 
         # randomised singular vectors with two power steps
