@@ -239,12 +239,44 @@ def _large(rows: DataFrame, values: DataFrame, radius: int, compare) -> DataFram
     return placed.join(ends, ["slice", "value", "pop", "tile"]).groupBy("pair").applyInPandas(compare, "src bigint, dst bigint")
 
 
-def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tables: int | None = None, taken: int = 14, key: str = "doc_id") -> DataFrame:
-    """(key, fp, component): the fingerprint of every row and the smallest key of its group."""
+def similar_links(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, lanes: int, least: float, key: str) -> DataFrame:
+    """The links whose texts' sets of shingles have a Jaccard similarity of least or more.
+
+    Only fingerprints with a link have their shingles computed, from the first document that has them.
+    """
+    pairs = table(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "simhash-pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    first = table(distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("_first"), F.col("fp").alias("_fp")), "simhash-ends")
+    known = sized_broadcast(first)
+    own = docs.select(key, "text").join(known, F.col(key).eqNullSafe(known["_first"])).select("node", "_fp", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets = [], []
+            for node, fp, text in zip(batch.column("node").to_pylist(), batch.column("_fp").to_pylist(), texts(batch, "text"), strict=True):
+                # rows of one id can have different texts
+                if fingerprint(text, width, lanes).view(np.int64).tolist() == fp:
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes(text, width)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    sets = table(own.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= least * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tables: int | None = None, taken: int = 14, key: str = "doc_id", least: float | None = None) -> DataFrame:
+    """(key, fp, component): the fingerprint of every row and the smallest key of its group.
+
+    With least, links count only if the similarity of their shingle sets is that or more.
+    """
     prints = table(fingerprints(docs, width, lanes, key), "simhash")
     node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
     distinct = table(prints.groupBy("fp").agg(F.min(key).alias("first")).select(node.alias("node"), "first", "fp"), "simhash-distinct")
     found = table(near_links(distinct, radius, lanes, tables, taken), "simhash-links")
+    if least is not None:
+        found = table(similar_links(docs, distinct, found, width, lanes, least, key), "simhash-similar")
     named = components(found)
     joined = distinct.select("node", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = joined.where(F.col("component").isNotNull())
@@ -255,16 +287,19 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tab
     return own.join(by_node, "_node").select(key, "fp", F.col("least").alias("component"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 44, lanes: int = 4, tables: int = 32, taken: int = 14) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 56, lanes: int = 4, tables: int = 32, taken: int = 14, least: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group the document with the smallest id stays.
 
-    The stage looks for a similarity of 0.8 of the sets of five-word shingles. There, 256 bits
-    differ in 39 places on average, with a deviation of 6; unrelated texts differ in 128, with a
-    deviation of 8. Slices of 14 sampled bits in 32 tables bring 97 of 100 pairs of
-    that similarity together, and nearly all that are closer; a group needs only a chain of them.
+    Texts are near-duplicates from a similarity of 0.8 of the sets of their five-word shingles. There,
+    256 bits differ in 39 places on average, with a deviation of 6; unrelated texts differ in 128,
+    with a deviation of 8. Slices of 14 sampled bits in 32 tables bring about 96 of 100 pairs of just
+    that similarity together, and nearly all that are closer; those within the radius are then
+    compared exactly, so that no document goes for a similarity below 0.8. Tiles of more than 24
+    fingerprints give a spanning forest of candidates, so there a link of the group can be missed
+    where every path to it is turned down.
     Rows of one id stay or go together, and of those that stay one is kept.
     """
-    found = table(groups(docs, width, radius, lanes, tables, taken), "simhash-found")
+    found = table(groups(docs, width, radius, lanes, tables, taken, least=least), "simhash-found")
     stays = F.col("doc_id").eqNullSafe(F.col("component"))
     gone = found.where(~stays).select(F.col("doc_id").alias("_id")).distinct()
     # an id in the middle of two groups stays if it heads one

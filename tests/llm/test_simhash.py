@@ -87,3 +87,23 @@ def test_keep_one(spark):
     kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     # 30 has five sixths of the shingles of 1
     assert [k for k in kept if k != 30] == [1, *range(10, 30), 40, 41]
+
+
+def test_keep_one_compares_exactly(spark):
+    """Against all pairs: variants of a text from 0.6 to 0.98 similar; none below 0.8 may take a document along."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(60):
+        text = rng.choice(words, 240).tolist()
+        # a variant keeps a run of the words
+        rows += [(2 * k, text), (2 * k + 1, text[: 145 + int(1.6 * k)] + rng.choice(words, 3).tolist())]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    sets = {i: {tuple(w[a : a + 5]) for a in range(len(w) - 4)} for i, w in rows}
+    like = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 120, 2)}
+    assert {i for i in like} <= kept
+    assert all(i + 1 in kept for i, x in like.items() if x < 0.8)
+    close = [i for i, x in like.items() if x >= 0.8]
+    assert sum(x < 0.8 for x in like.values()) > 20 and len(close) > 10
+    assert sum(i + 1 not in kept for i in close) >= 0.95 * len(close)
