@@ -35,6 +35,9 @@ from .text import LOWER, texts
 CHUNK = 1 << 16
 #: Fingerprints of a tile; a larger slice value is cut.
 TILE = 4096
+#: Texts of a block whose shingle sets are compared, and the shingles that such a block has at most on average.
+BLOCK = 512
+SHINGLES = 400_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -240,12 +243,11 @@ def _large(rows: DataFrame, values: DataFrame, radius: int, compare) -> DataFram
 
 
 def similar_links(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, lanes: int, least: float, key: str) -> DataFrame:
-    """The links whose texts' sets of shingles have a Jaccard similarity of least or more.
+    """Links of texts whose sets of shingles have a Jaccard similarity of least or more.
 
-    Only fingerprints with a link have their shingles computed, from the first document that has them.
+    All pairs of a component of the candidates found are compared, also those that its forest leaves out. Only fingerprints with a link have their shingles computed, from the first document that has them.
     """
-    pairs = table(found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "simhash-pairs")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     first = table(distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("_first"), F.col("fp").alias("_fp")), "simhash-ends")
     known = sized_broadcast(first)
     own = docs.select(key, "text").join(known, F.col(key).eqNullSafe(known["_first"])).select("node", "_fp", "text")
@@ -260,10 +262,72 @@ def similar_links(docs: DataFrame, distinct: DataFrame, found: DataFrame, width:
                     sets.append(np.unique(shingle_hashes(text, width)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets = table(own.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "simhash-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= least * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+    sets = own.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
+    # similar texts share a component of the candidates, and there every pair is compared
+    placed = sets.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = table(placed, "simhash-shingles")
+    return compared(placed, least)
+
+
+def compared(sets: DataFrame, least: float) -> DataFrame:
+    """(src, dst): a forest with the components of all pairs of (node, shingles) of one component that are similar.
+
+    A component is cut at random into blocks of about BLOCK rows or SHINGLES shingles; each pair of blocks is a tile.
+    """
+    sizes = sets.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("shingles")) / SHINGLES)).cast("int").alias("blocks"))
+    # written, so that a large component can be split in the join that follows
+    rows = sets.join(table(sizes, "simhash-blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in order of their tile; the last tile of a batch waits for the next batch
+        name, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")), strict=True)
+            src, dst = [], []
+            for at, key in enumerate(keys):
+                if key != name:
+                    for out, more in zip((src, dst), similar_pairs(held, name, least), strict=True):
+                        out += more
+                    name, held = key, []
+                held.append((batch.column("node")[at].as_py(), batch.column("block")[at].as_py(), batch.column("shingles")[at].values.to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        src, dst = similar_pairs(held, name, least)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(sweep, "src bigint, dst bigint")
+
+
+def similar_pairs(rows: list[tuple[int, int, np.ndarray]], tile: tuple[int, int, int] | None, least: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the similar pairs of a tile's (node, block, distinct shingles); of two blocks, only pairs across."""
+    src, dst = [], []
+    if len(rows) < 2:
+        return src, dst
+    node, block = [r[0] for r in rows], np.array([r[1] for r in rows])
+    sizes = np.array([len(r[2]) for r in rows])
+    ends = np.cumsum(sizes)
+    ids = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)[1]
+    root, has = np.arange(len(rows)), np.zeros(len(ids), dtype=bool)
+    two = tile[1] != tile[2]
+    for i in range(len(rows)):
+        if two and block[i] != tile[1]:
+            continue
+        able = (root != root[i]) & (np.minimum(sizes, sizes[i]) >= least * np.maximum(sizes, sizes[i]))
+        able &= block != block[i] if two else np.arange(len(rows)) > i
+        if not able.any():
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        has[own] = True
+        shared = np.concatenate([[0], np.cumsum(has[ids])])
+        shared = shared[ends] - shared[ends - sizes]
+        has[own] = False
+        for j in np.flatnonzero(able & (shared >= least * (sizes + sizes[i] - shared))).tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                src.append(node[i])
+                dst.append(node[j])
+    return src, dst
 
 
 def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tables: int | None = None, taken: int = 14, key: str = "doc_id", least: float | None = None) -> DataFrame:
@@ -293,10 +357,9 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 56, lanes: int = 4,
     Texts are near-duplicates from a similarity of 0.8 of the sets of their five-word shingles. There,
     256 bits differ in 39 places on average, with a deviation of 6; unrelated texts differ in 128,
     with a deviation of 8. Slices of 14 sampled bits in 32 tables bring about 96 of 100 pairs of just
-    that similarity together, and nearly all that are closer; those within the radius are then
-    compared exactly, so that no document goes for a similarity below 0.8. Tiles of more than 24
-    fingerprints give a spanning forest of candidates, so there a link of the group can be missed
-    where every path to it is turned down.
+    that similarity together, and nearly all that are closer. Those within the radius are candidates;
+    all pairs that candidates connect are then compared exactly, so that no document goes for a
+    similarity below 0.8, and none stays because its candidates were dissimilar.
     Rows of one id stay or go together, and of those that stay one is kept.
     """
     found = table(groups(docs, width, radius, lanes, tables, taken, least=least), "simhash-found")

@@ -107,3 +107,40 @@ def test_keep_one_compares_exactly(spark):
     close = [i for i, x in like.items() if x >= 0.8]
     assert sum(x < 0.8 for x in like.values()) > 20 and len(close) > 10
     assert sum(i + 1 not in kept for i in close) >= 0.95 * len(close)
+
+
+def brute_kept(rows, least=0.8):
+    """Ids that stay by all pairs: the smallest of each component of texts that are similar."""
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for _, w in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= least * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return sorted({rows[r][0] for r in root})
+
+
+@pytest.mark.parametrize("block", [64, 512])
+def test_keep_one_in_a_large_family(spark, monkeypatch, block):
+    """Several hundred texts related to one, most below 0.8 of it: links between them count, whatever the forest holds."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choice(words, 300).tolist()
+    rows = []
+    for _ in range(200):
+        # each member replaces a part of the base; its copy changes a few words more
+        text, at, n = list(base), int(rng.integers(0, 240)), int(rng.integers(30, 60))
+        text[at : at + n] = rng.choice(words, n).tolist()
+        copy = list(text)
+        at = int(rng.integers(0, 270))
+        copy[at : at + 20] = rng.choice(words, 20).tolist()
+        rows += [(len(rows), text), (len(rows) + 1, copy)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    # slices of no bits: one tile holds all
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs, tables=1, taken=0).collect())
+    want = brute_kept(rows)
+    assert 20 < len(want) < 300
+    assert kept == want
