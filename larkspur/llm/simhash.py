@@ -73,7 +73,11 @@ def widened(h: np.ndarray, lanes: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int, lanes: int = 1) -> np.ndarray:
     """The SimHash of a text: lanes unsigned 64-bit words."""
-    h = shingle_hashes(text, width)
+    return summed(shingle_hashes(text, width), lanes)
+
+
+def summed(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of shingles given by their hashes."""
     if not len(h):
         return np.zeros(lanes, dtype=np.uint64)
     counts = np.zeros(64 * lanes, dtype=np.int64)
@@ -95,6 +99,27 @@ def fingerprints(docs: DataFrame, width: int, lanes: int = 1, key: str = "doc_id
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp array<bigint>")
 
 
+def set_fingerprints(docs: DataFrame, width: int, lanes: int = 1, key: str = "doc_id") -> DataFrame:
+    """(key, fp, shingle_set): fingerprints of the distinct shingles, and a hash of their sorted set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sets = [], []
+            for t in texts(batch, "text"):
+                h = np.unique(shingle_hashes(t, width))
+                rows.append(summed(h, lanes).view(np.int64))
+                sets.append(set_hash(h))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.int64())), pa.array(sets, pa.int64())], [key, "fp", "shingle_set"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp array<bigint>, shingle_set bigint")
+
+
+def set_hash(h: np.ndarray) -> int:
+    """A signed 64-bit hash of sorted shingle hashes."""
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def slices(bits: int, radius: int, tables: int | None, taken: int, seed: int = 11) -> list[np.ndarray]:
     """Bit places of each slice: radius + 1 disjoint ones (no pair missed), or sampled ones."""
     if tables is None:
@@ -242,24 +267,25 @@ def _large(rows: DataFrame, values: DataFrame, radius: int, compare) -> DataFram
     return placed.join(ends, ["slice", "value", "pop", "tile"]).groupBy("pair").applyInPandas(compare, "src bigint, dst bigint")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, lanes: int, least: float, key: str) -> DataFrame:
+def similar_links(docs: DataFrame, distinct: DataFrame, found: DataFrame, width: int, least: float, key: str) -> DataFrame:
     """Links of texts whose sets of shingles have a Jaccard similarity of least or more.
 
     All pairs of a component of the candidates found are compared, also those that its forest leaves out. Only fingerprints with a link have their shingles computed, from the first document that has them.
     """
     ends = found.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    first = table(distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("_first"), F.col("fp").alias("_fp")), "simhash-ends")
+    first = table(distinct.join(ends, "node", "left_semi").select("node", F.col("first").alias("_first"), F.col("shingle_set").alias("_set")), "simhash-ends")
     known = sized_broadcast(first)
-    own = docs.select(key, "text").join(known, F.col(key).eqNullSafe(known["_first"])).select("node", "_fp", "text")
+    own = docs.select(key, "text").join(known, F.col(key).eqNullSafe(known["_first"])).select("node", "_set", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets = [], []
-            for node, fp, text in zip(batch.column("node").to_pylist(), batch.column("_fp").to_pylist(), texts(batch, "text"), strict=True):
+            for node, known_set, text in zip(batch.column("node").to_pylist(), batch.column("_set").to_pylist(), texts(batch, "text"), strict=True):
                 # rows of one id can have different texts
-                if fingerprint(text, width, lanes).view(np.int64).tolist() == fp:
+                h = np.unique(shingle_hashes(text, width))
+                if set_hash(h) == known_set:
                     nodes.append(node)
-                    sets.append(np.unique(shingle_hashes(text, width)).view(np.int64))
+                    sets.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     sets = own.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
@@ -333,21 +359,23 @@ def similar_pairs(rows: list[tuple[int, int, np.ndarray]], tile: tuple[int, int,
 def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tables: int | None = None, taken: int = 14, key: str = "doc_id", least: float | None = None) -> DataFrame:
     """(key, fp, component): the fingerprint of every row and the smallest key of its group.
 
-    With least, links count only if the similarity of their shingle sets is that or more.
+    With least, links count only if the similarity of their shingle sets is that or more; then fingerprints
+    are of the distinct shingles, and texts are one node only if their sets are equal.
     """
-    prints = table(fingerprints(docs, width, lanes, key), "simhash")
-    node = F.col("fp")[0] if lanes == 1 else F.xxhash64("fp")
-    distinct = table(prints.groupBy("fp").agg(F.min(key).alias("first")).select(node.alias("node"), "first", "fp"), "simhash-distinct")
+    prints = table((fingerprints if least is None else set_fingerprints)(docs, width, lanes, key), "simhash")
+    same = ["fp"] if least is None else ["fp", "shingle_set"]
+    node = F.col("fp")[0] if same == ["fp"] and lanes == 1 else F.xxhash64(*same)
+    distinct = table(prints.groupBy(*same).agg(F.min(key).alias("first")).select(node.alias("node"), "first", *same), "simhash-distinct")
     found = table(near_links(distinct, radius, lanes, tables, taken), "simhash-links")
     if least is not None:
-        found = table(similar_links(docs, distinct, found, width, lanes, least, key), "simhash-similar")
+        found = table(similar_links(docs, distinct, found, width, least, key), "simhash-similar")
     named = components(found)
     joined = distinct.select("node", "first").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = joined.where(F.col("component").isNotNull())
     # written, so that a large group can be split in the join that follows
     least = table(linked.groupBy("component").agg(F.min("first").alias("least")), "simhash-least")
     by_node = table(linked.join(least, "component").select(F.col("node").alias("_node"), "least"), "simhash-groups")
-    own = prints.withColumn("_node", F.col("fp")[0] if lanes == 1 else F.xxhash64("fp"))
+    own = prints.withColumn("_node", node)
     return own.join(by_node, "_node").select(key, "fp", F.col("least").alias("component"))
 
 

@@ -144,3 +144,16 @@ def test_keep_one_in_a_large_family(spark, monkeypatch, block):
     want = brute_kept(rows)
     assert 20 < len(want) < 300
     assert kept == want
+
+
+def test_keep_one_with_repeated_lines(spark):
+    """Repeats do not make texts alike, nor unlike: the sets of shingles decide."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(5000)]
+    line = rng.choice(words, 7).tolist()
+    # two texts of one repeated line, with different words behind it
+    rows = [(k, line * 100 + rng.choice(words, 60).tolist()) for k in (1, 2)]
+    text = rng.choice(words, 360).tolist()
+    rows += [(3, text), (4, text + text[-60:] * 30)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == brute_kept(rows) == [1, 2, 3]
