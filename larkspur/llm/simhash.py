@@ -14,7 +14,8 @@ pairs. Connected components over these links give the groups.
 Results in odd cases: a null or empty text has the fingerprint zero and links like any other; rows
 of the same id are one document of the groups (its smallest id stands for itself); a null id takes
 part as a link but never names a component unless all its members are null; an empty table gives an
-empty result; other columns are ignored by the query and kept by the pipeline stage.
+empty result; other columns are ignored by the query and kept by the pipeline stage, which tells
+rows apart by keys of their own.
 """
 
 from __future__ import annotations
@@ -380,7 +381,7 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tab
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 56, lanes: int = 4, tables: int = 32, taken: int = 14, least: float = 0.8) -> DataFrame:
-    """docs without near-duplicates: of each group the document with the smallest id stays.
+    """docs without near-duplicates: of each group one row stays.
 
     Texts are near-duplicates from a similarity of 0.8 of the sets of their five-word shingles. There,
     256 bits differ in 39 places on average, with a deviation of 6; unrelated texts differ in 128,
@@ -388,20 +389,19 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 56, lanes: int = 4,
     that similarity together, and nearly all that are closer. Those within the radius are candidates;
     all pairs that candidates connect are then compared exactly, so that no document goes for a
     similarity below 0.8, and none stays because its candidates were dissimilar.
-    Rows of one id stay or go together, and of those that stay one is kept.
+    Rows have keys of their own, so rows that share an id, or have none, are grouped by their texts alone.
+    Of each group one row stays: that of the smallest id, nulls last, and of the same id by a hash of id and text.
     """
-    found = table(groups(docs, width, radius, lanes, tables, taken, least=least), "simhash-found")
-    stays = F.col("doc_id").eqNullSafe(F.col("component"))
-    gone = found.where(~stays).select(F.col("doc_id").alias("_id")).distinct()
-    # an id in the middle of two groups stays if it heads one
-    heads = found.where(stays).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
-    gone = table(gone.join(heads, gone._id.eqNullSafe(heads._id), "left_anti"), "simhash-gone")
-    kept = docs.join(sized_broadcast(gone), docs.doc_id.eqNullSafe(gone._id), "left_anti")
-    many = table(heads.where("n > 1").select("_id"), "simhash-repeats")
-    if many.isEmpty():
-        return kept
-    repeated = kept.join(sized_broadcast(many), kept.doc_id.eqNullSafe(many._id), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(sized_broadcast(many), kept.doc_id.eqNullSafe(many._id), "left_anti").unionByName(repeated)
+    held = table(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    found = table(groups(held, width, radius, lanes, tables, taken, key="_row", least=least), "simhash-found")
+    others = found.where("_row <> component").select("_row", "component")
+    members = others.unionByName(others.select(F.col("component").alias("_row"), "component").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"), "_row")
+    placed = table(members.join(held.select("_row", place.alias("place")), "_row"), "simhash-members")
+    # written, so that a large group can be split in the join that follows
+    best = table(placed.groupBy("component").agg(F.min("place").alias("best")), "simhash-best")
+    gone = table(placed.join(best, "component").where("place._row <> best._row").select("_row"), "simhash-gone")
+    return held.join(sized_broadcast(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

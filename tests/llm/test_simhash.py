@@ -157,3 +157,17 @@ def test_keep_one_with_repeated_lines(spark):
     rows += [(3, text), (4, text + text[-60:] * 30)]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == brute_kept(rows) == [1, 2, 3]
+
+
+def test_keep_one_of_rows_without_own_ids(spark):
+    """Different texts stay, whatever their ids: none at all, or one that several rows share."""
+    rng = np.random.default_rng(10)
+    words = [f"w{k}" for k in range(5000)]
+    text = lambda: " ".join(rng.choice(words, 200).tolist())
+    one, two = text(), text()
+    rows = [(None, text()) for _ in range(12)] + [(5, text()), (5, text())]
+    copies = [(None, one), (7, one), (None, two), (None, two), (5, one), (5, one), (5, two)]
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string")
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=order)
+    assert got == sorted([*rows, (5, one), (5, two)], key=order)
