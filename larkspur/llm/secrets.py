@@ -31,9 +31,9 @@ BASE = ("assign", "access", "hex")
 
 #: Weak parts: role -> pattern.
 WEAK = {
-    "identifier": r"""(?i:\b(?:access_?key_?id|client_?id|account|user_?name|user|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,128}""",
-    "secret": r"""(?i:\b(?:secret_?(?:access_?)?key|client_?secret|private_?key|auth_?key|credential|signature|pwd|pass))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,512}""",
-    "endpoint": r"""(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://)[A-Za-z0-9.:@_-]{3,256}""",
+    "identifier": r"""(?i:\b(?:access_?key_?id|client_?id|account|user_?name|user|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    "secret": r"""(?i:\b(?:secret_?(?:access_?)?key|client_?secret|private_?key|auth_?key|credential|signature|pwd|pass))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""",
+    "endpoint": r"""(?i:\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://)[A-Za-z0-9.:@_-]{3,}""",
 }
 KINDS = (*BASE, *WEAK)
 #: What each base finding counts as when weak parts look for a complement.

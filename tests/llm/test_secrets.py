@@ -69,3 +69,21 @@ def test_redact(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert secrets.scan(docs).count() == 0 and secrets.redact(docs).count() == 0
+
+
+def test_long_values(spark):
+    """Spans cover whole values, and a complement just behind a long one is near it."""
+    long = "Ab1+" * 1250
+    texts = {
+        1: (f"credential={long} https://db.example.com end", ["secret", "endpoint"]),
+        2: (f"user={'u' * 4000} pwd={long} end", ["identifier", "secret"]),
+        3: (f"https://{'h' * 4000} signature={long} end", ["endpoint", "secret"]),
+        4: (f"credential={long} end", []),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id bigint, text string")
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    for k, (text, kinds) in texts.items():
+        words = text.split(" ")[: len(kinds)]
+        assert spans[k] == [(kind, text.index(w), text.index(w) + len(w)) for kind, w in zip(kinds, words, strict=True)]
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert out == {1: "[SECRET] [SECRET] end", 2: "[SECRET] [SECRET] end", 3: "[SECRET] [SECRET] end", 4: texts[4][0]}
