@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); local runs get their own."""
+    """The folder that driver and executors share (spark.checkpoint.dir); only local masters get one of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,10 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends here."""
+    return kept(df, name)[0]
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As table(), with the path, so that it can be dropped when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of kept(), in whatever store the shared folder is."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def sized_broadcast(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -64,38 +87,40 @@ def positions(df: DataFrame, *order: Column) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of (src, dst) edges, component = smallest node.
 
-    Alternates large-star and small-star steps on a table in the shared folder until the edge
-    set no longer changes. Each step keeps every edge's connectivity and adds no pair expansion:
-    the number of edges never grows.
+    Alternates large-star and small-star steps on tables in the shared folder until the edge set no
+    longer changes, which takes a number of rounds that grows with the logarithm of the nodes. Each
+    step keeps every edge's connectivity and adds no pair expansion: the number of edges never grows.
+    A round's tables are dropped when the next one has been written.
     """
+    spark = edges.sparkSession
     pair = lambda a, b: F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))
-    now = table(
+    now, path = kept(
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct(),
         "edges",
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         # large-star: neighbours above u go to the smallest node around u
         both = now.select(F.inline(pair(F.col("u"), F.col("v"))))
         # written, so that a hub's edges can be split in the join that follows
-        low = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
-        large = table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low, low_path = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
+        large, large_path = kept(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        drop(spark, path, low_path)
         # small-star: u and its smaller neighbours go to the smallest of them
-        low = table(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        kept = large.join(low, "u")
-        now = table(
-            kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(),
+        low, low_path = kept(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        joined = large.join(low, "u")
+        now, path = kept(
+            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(),
             "edges",
         )
+        drop(spark, large_path, low_path)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -2,17 +2,23 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. The base
 scan counts the places of fixed phrases. Beside it, each template (a set of words) is joined with
-the blocks of a text: windows of twice the template's words, every template's length apart, so that
-whatever passage a template's length holds lies in one block. A block meets a template when it holds at least
-the given share of the template's distinct words. The join is exact and never compares all blocks:
-words are ordered by how few documents hold them, over the whole corpus, and
+the blocks of a text: a block is any run of words, from whatever start, of the template's length
+with a quarter more for words put in between (words / threshold); a shorter text is one block. A block meets a
+template when it holds at least the given share of the template's distinct words. The join is
+exact: it finds every such block, and compares only those that the filters leave. Words are ordered by how
+few documents hold them, over the whole corpus, and
 
-* prefix: a block that meets the threshold holds one of the |T| - need + 1 rarest words of T;
-* length: it has `need` distinct words at least;
-* position: after its first prefix word at place i of T, |T| - i words must be enough.
+* prefix: a block that meets the threshold holds one of the |T| - need + 1 rarest words of T, so
+  templates are looked up by these words, and only blocks around such a word are counted;
+* length: around it stand `need` words of T at least;
+* position: with the rarest word met at place i of T, it and the distinct words after it are enough.
+
+The distinct words of all blocks of such a zone are counted in one sweep over their starts. What is
+returned are runs of neighbouring blocks: their first and last start and the largest share.
 
 Results in odd cases: a null text counts as empty and has no words, labels or places; repeated rows
-are scanned each; an empty table gives an empty result; other columns are ignored.
+are scanned each; very long texts are scanned whole; of two labels with equal shares both are given;
+a template without words meets nothing; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
-from .text import ALNUM, WordIds, hash_ids, texts
+from .text import ALNUM, texts
 
 # Fixed phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -47,8 +54,20 @@ TEMPLATES = {
 }
 
 
-def template_words(templates: dict[str, str]) -> dict[str, frozenset[bytes]]:
-    return {label: frozenset(t.encode().translate(ALNUM).split()) for label, t in templates.items()}
+#: Bytes of template texts that are broadcast at most.
+MOST_BYTES = 64_000_000
+
+
+def template_words(templates: dict[str, str]) -> dict[str, list[bytes]]:
+    return {label: t.encode().translate(ALNUM).split() for label, t in templates.items()}
+
+
+def template_table(rows: DataFrame) -> dict[str, str]:
+    """Templates of a table (label, text), one text for each label; its size is checked before it is collected."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of templates; scan them in parts of {MOST_BYTES}")
+    return {r.label: r.text for r in rows.select("label", "text").collect() if r.text is not None}
 
 
 def frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
@@ -68,45 +87,80 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
 
 
 class Join:
-    """Templates prepared for the join: words by rarity, prefixes and needs."""
+    """Templates prepared for the join: words by rarity, prefixes, and the templates of each prefix word."""
 
-    def __init__(self, templates: dict[str, frozenset[bytes]], counts: dict[bytes, int], least: float):
+    def __init__(self, templates: dict[str, list[bytes]], counts: dict[bytes, int], least: float):
         every = sorted(set().union(*templates.values()), key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(every)}
-        self.rows = []
+        self.none = len(every)
+        #: label, words of a block, distinct words in order of their ranks, how many of them are needed
+        self.rows: list[tuple[str, int, np.ndarray, int]] = []
+        by: dict[int, list[int]] = {}
         for label, words in templates.items():
-            order = np.array(sorted(self.rank[w] for w in words))
+            order = np.array(sorted({self.rank[w] for w in words}))
+            if not len(order):
+                continue
             need = math.ceil(least * len(order) - 1e-9)
-            self.rows.append((label, order, need))
-        prefixes = np.unique(np.concatenate([o[: len(o) - n + 1] for _, o, n in self.rows]))
-        self.prefix = np.zeros(len(every) + 1, dtype=bool)
-        self.prefix[prefixes] = True
-
-    def word(self, word: bytes) -> int:
-        """Rank of a template word, or one past the last."""
-        return self.rank.get(word, len(self.rank))
-
-    def blocks(self, ids: np.ndarray) -> Iterator[tuple[str, int, float]]:
-        """(label, first word of the block, share of the template) of each block that meets a template."""
-        hits = np.flatnonzero(self.prefix[ids])
+            for r in order[: len(order) - need + 1].tolist():
+                by.setdefault(r, []).append(len(self.rows))
+            self.rows.append((label, math.ceil(len(words) / least - 1e-9), order, need))
+        # prefix word -> its templates, as one list with starts
+        self.starts = np.zeros(self.none + 2, dtype=np.int64)
+        self.starts[1:] = np.cumsum([len(by.get(r, ())) for r in range(self.none + 1)])
+        self.listed = np.array([t for r in range(self.none) for t in by.get(r, ())], dtype=np.int64)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Ranks of the words; none for what no template holds."""
+        return np.fromiter(map(self.rank.get, words, repeat(self.none)), dtype=np.int64, count=len(words))
+
+    def blocks(self, ids: np.ndarray) -> Iterator[tuple[str, int, int, float]]:
+        """(label, first and last start, best share) of each run of neighbouring blocks that meet a template."""
+        known = np.flatnonzero(ids < self.none)
+        met = ids[known]
+        many = self.starts[met + 1] - self.starts[met]
+        hits, many, first = known[many > 0], many[many > 0], self.starts[met[many > 0]]
         if not len(hits):
             return
-        for label, order, need in self.rows:
-            size = len(order)
-            prefix = order[: size - need + 1]
-            own = hits[np.isin(ids[hits], prefix)]
-            # the blocks that a word lies in: number k begins at word k * size, 2 * size words long
-            numbers = np.unique(np.concatenate([own // size, np.maximum(own // size - 1, 0)]))
-            for k in numbers.tolist():
-                block = np.unique(ids[k * size : (k + 2) * size])
-                if len(block) < need:
-                    continue
-                place = int(np.argmax(np.isin(prefix, block)))
-                if size - place < need or not np.isin(prefix[place], block):
-                    continue
-                met = int(np.isin(order, block, assume_unique=True).sum())
-                if met >= need:
-                    yield label, k * size, met / size
+        # every prefix hit with every template that has the word in its prefix
+        turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        which, where = self.listed[np.repeat(first, many) + turn], np.repeat(hits, many)
+        for t in np.unique(which).tolist():
+            label, length, order, need = self.rows[t]
+            yield from self.runs(ids, known, where[which == t], label, length, order, need)
+
+    @staticmethod
+    def runs(ids: np.ndarray, known: np.ndarray, hits: np.ndarray, label: str, length: int, order: np.ndarray, need: int) -> Iterator[tuple[str, int, int, float]]:
+        """The runs of one template around its prefix hits."""
+        own = known[np.isin(ids[known], order)]
+        last = max(0, len(ids) - length)
+        # the hits less than a block apart share a zone; a block with a hit lies inside its zone
+        cuts = np.flatnonzero(np.diff(hits) >= length) + 1
+        for zone in np.split(hits, cuts):
+            low, high = zone[0] - length + 1, zone[-1] + length - 1
+            at = own[np.searchsorted(own, low) : np.searchsorted(own, high, side="right")]
+            if len(at) < need:  # length: too few words of the template
+                continue
+            place = np.searchsorted(order, ids[at])
+            head = place.min()
+            # position: the rarest word is at place `head`; with the distinct words after it there must be enough
+            if min(len(order) - head, len(np.unique(place))) < need:
+                continue
+            # an occurrence counts for the blocks that hold it, but not the one before it of the same word
+            turn = np.lexsort((at, place))
+            before = np.full(len(at), -1, dtype=np.int64)
+            same = place[turn][1:] == place[turn][:-1]
+            before[turn[1:][same]] = at[turn[:-1][same]]
+            opens = np.maximum(np.maximum(before + 1, at - length + 1), 0)
+            closes = np.minimum(at, last)
+            valid = opens <= closes
+            edges = np.concatenate([opens[valid], closes[valid] + 1])
+            steps = np.concatenate([np.ones(valid.sum(), dtype=np.int64), np.full(valid.sum(), -1, dtype=np.int64)])
+            spots, inverse = np.unique(edges, return_inverse=True)
+            total = np.bincount(inverse, weights=steps).astype(np.int64).cumsum()
+            good = total[:-1] >= need  # from one spot up to the next the number stays
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], good, [False]]).astype(np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                yield label, int(spots[a]), int(spots[b]) - 1, float(total[a:b].max()) / len(order)
 
 
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -123,34 +177,33 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return found
 
 
-def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLATES, key: str = "doc_id") -> DataFrame:
-    """One row for each document; matches has (label, first word, share) of every block found."""
-    sets = template_words(templates)
+def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | DataFrame = TEMPLATES, key: str = "doc_id") -> DataFrame:
+    """One row for each document; matches has (label, first and last start, share) of every run of blocks found."""
+    sets = template_words(templates if isinstance(templates, dict) else template_table(templates))
     join = Join(sets, frequencies(docs, sorted(set().union(*sets.values()))), least)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(join))  # the templates' words
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(join))  # the templates' words, of checked size
     names = [key, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
-    match = pa.struct([("label", pa.string()), ("word", pa.int64()), ("share", pa.float64())])
+    match = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("share", pa.float64())])
     kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(match)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
-        ids = WordIds(own.word)
         for batch in batches:
             rows = []
             for t in texts(batch, "text"):
                 words = t.translate(ALNUM).split()
                 places = base_places(words)
-                found = list(own.blocks(hash_ids(words, ids)))
+                found = list(own.blocks(own.ids(words)))
                 starts, labels = [p for p, _ in places], sorted({x for _, x in places})
-                every = sorted({*labels, *(x for x, _, _ in found)})
-                share = 1.0 if places else max((s for _, _, s in found), default=0.0)
-                rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(every), share, [{"label": a, "word": b, "share": c} for a, b, c in found]))
+                every = sorted({*labels, *(x for x, *_ in found)})
+                share = 1.0 if places else max((s for *_, s in found), default=0.0)
+                rows.append((len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(labels), ",".join(every), share, [{"label": a, "first": b, "last": c, "share": s} for a, b, c, s in found]))
             if rows:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(key), *cols], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<label:string,word:bigint,share:double>>"
+    schema = f"{key} {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<label:string,first:bigint,last:bigint,share:double>>"
     return docs.select(key, "text").mapInArrow(run, schema)
 
 

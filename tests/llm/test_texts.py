@@ -51,31 +51,62 @@ def test_token_cases(spark):
 NOTICE = licenses.TEMPLATES["mit"]
 
 
-def brute_licenses(text, least=0.8):
+def brute_licenses(text, least=0.8, templates=licenses.TEMPLATES):
+    """Every window of the text against every template."""
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    found = {label for _, label in places}
-    for label, words in licenses.template_words(licenses.TEMPLATES).items():
-        m = len(words)
-        for k in range(0, max(1, len(w)), m):
-            if len(words & {x.encode() for x in w[k : k + 2 * m]}) >= least * m - 1e-9:
-                found.add(label)
+    found, best = {label for _, label in places}, 0.0
+    for label, words in licenses.template_words(templates).items():
+        own, n = {x.decode() for x in words}, -(-len(words) * 10 // round(10 * least))
+        if sum(x in own for x in w) < least * len(own) - 1e-9:
+            continue
+        top = max(len(own.intersection(w[k : k + n])) for k in range(max(1, len(w) - n + 1)))
+        if top >= least * len(own) - 1e-9:
+            found.add(label)
+            best = max(best, top / len(own))
     starts = [i for i, _ in places]
-    return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(found))
+    score = 1.0 if places else best
+    return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(found)), round(score, 9)
 
 
 def test_licenses(spark, sf):
     rows = [*documents(spark, sf).items(), (9001, None), (9002, ""), (9003, NOTICE.upper()), (9003, NOTICE.upper()), (9004, "filler " * 500 + NOTICE.replace("charge", "cost") + " filler" * 500)]
     rows += [(9005, "Under the MIT license under the mit-license."), (9006, " ".join(NOTICE.split()[:12])), (9007, "cc by nc cc by nc")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, labels string")
-    got = Counter(tuple(r) for r in licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect())
+    got = Counter(tuple(r) for r in licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 9)).collect())
     assert got == Counter((k, *brute_licenses(t)) for k, t in rows)
     by = {r.doc_id: r for r in licenses.scan(docs).where("doc_id > 9000").collect()}
     assert by[9004].labels == "mit" and 0.8 <= by[9004].score < 1 and by[9005].n_base == 2 and by[9005].score == 1 and by[9006].score == 0
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_license_blocks_at_every_offset():
+    """Notices with words changed, left out and put in, from whatever place they start: against every window."""
+    rng = np.random.default_rng(4)
+    sets = licenses.template_words(licenses.TEMPLATES)
+    join = licenses.Join(sets, {}, 0.8)
+    for label, words in sets.items():
+        for _ in range(120):
+            w = [x.decode() for x in words]
+            for _ in range(int(rng.integers(0, 7))):
+                at, kind = int(rng.integers(0, max(1, len(w)))), int(rng.integers(0, 3))
+                w[at : at + (kind < 2)] = ["other"] * (kind != 1)
+            filler = rng.choice(["the", "to", "other", "license", "x"], int(rng.integers(0, 60))).tolist()
+            text = " ".join([*filler, *w, *filler[: int(rng.integers(0, 60))]])
+            found = list(join.blocks(join.ids(text.encode().split())))
+            *_, base, labels, score = brute_licenses(text)
+            assert ",".join(sorted({*(x for x, *_ in found), *filter(None, base.split(","))})) == labels
+            assert base or round(max((s for *_, s in found), default=0.0), 9) == score
+
+
+def test_license_templates_from_a_table(spark):
+    rows = spark.createDataFrame([("one", "alpha beta gamma delta"), ("two", ""), ("three", None)], "label string, text string")
+    docs = spark.createDataFrame([(1, "x delta alpha gamma beta y", "m"), (2, "alpha beta", "m")], "doc_id bigint, text string, matches string")
+    got = {r.doc_id: (r.labels, r.matches) for r in licenses.scan(docs, templates=rows).collect()}
+    assert got[1][0] == "one" and [tuple(m) for m in got[1][1]] == [("one", 0, 1, 1.0)] and got[2] == ("", [])
+
+
 # op6
 
 
