@@ -145,6 +145,55 @@ def test_leaks(spark):
     assert decontaminate.matches(d.limit(0), b).count() == 0 == decontaminate.matches(d, b.limit(0)).count()
 
 
+def changed(rng, words, n):
+    """A text with n of its words replaced in runs."""
+    w = list(words)
+    for _ in range(n):
+        w[int(rng.integers(0, len(w)))] = f"x{rng.integers(0, 10**9)}"
+    return w
+
+
+@pytest.mark.parametrize("length", [3, 6, 9, 12, 15, 20, 30, 45, 60, 100, 200])
+def test_index_finds_all_within_the_radius(length):
+    """Against all pairs: the index loses nothing within RADIUS, lets few others through, and the radius holds
+    what is similar."""
+    rng = np.random.default_rng(length)
+    words = [f"w{k}".encode() for k in range(3000)]
+    rows = [(k, rng.choice(words, length).tolist()) for k in range(120)]
+    items = decontaminate.Items(rows)
+    hashed = lambda w: decontaminate.shingles(np.array([decontaminate.word_hash(x) for x in w], dtype=np.int64), items.width)
+    prints, own, like = [], [], []
+    for k in range(1200):
+        w = changed(rng, [x.decode() for x in rows[k % 120][1]], int(rng.integers(0, 1 + max(1, length // 15))))
+        w = [x.encode() for x in w]
+        prints.append(decontaminate.window_prints(hashed(w), max(1, length - items.width + 1))[0])
+        own.append(k % 120)
+        like.append(decontaminate.similarity(w, rows[k % 120][1], items.width))
+    prints = np.array(prints)
+    apart = np.bitwise_count(prints[:, None, :] ^ items.prints[None, :, :]).sum(axis=2, dtype=np.int32)
+    assert set(zip(*(x.tolist() for x in items.candidates(prints)), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS)), strict=True))
+    unrelated = np.ones(apart.shape, dtype=bool)
+    unrelated[np.arange(len(own)), own] = False
+    met = np.zeros(apart.shape, dtype=bool)
+    met[items.met(prints)] = True
+    close = np.flatnonzero(np.array(like) >= 0.8)
+    recall = (apart[close, np.array(own)[close]] <= decontaminate.RADIUS).mean()
+    print(f"{length} words: {len(close)} windows of 0.8 or more, recall {recall:.4f}, unrelated pairs past the index {met[unrelated].mean():.4f}")
+    assert len(close) > 100 and recall >= 0.995 and met[unrelated].mean() < 0.05
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    """Documents are read once whatever the number of item blocks, and the result is the same."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(rng.choice(words, 20))) for k in range(25)]
+    docs = [(k, " ".join([*rng.choice(words, 10), items[k % 25][1], *rng.choice(words, 5000 if k == 3 else 10)])) for k in range(40)]
+    b, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.matches(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_ROWS", 4)
+    assert sorted(map(tuple, decontaminate.matches(d, b).collect())) == one and len(one) == 40
+
+
 # op9 and op10
 
 
