@@ -9,9 +9,11 @@ meet in an interval join on (text, bin of positions), so no text's parts are pai
 Positions are code points, the end exclusive. They come from the pieces between the matches of a
 pattern (split) and the matches themselves (regexp_extract_all).
 
-Results in odd cases: a null text counts as empty and has no spans; rows that repeat an id and text
-have the same spans; other columns are left out of the findings, and pass through redact(), which
-replaces a column named n_chars only.
+Results in odd cases: a null text counts as empty and has no spans; very long texts are scanned
+whole, and their matches folded in pieces; values of any length are one span; rows that repeat an id
+and text have the same spans; spans of one start are ordered by kind; an empty table gives an empty
+result; other columns, whatever their names, are left out of the findings, and pass through redact(),
+which replaces a column named n_chars only.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, table, unused
 
 # Fixed patterns of the base findings.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,22 +44,48 @@ ROLE = {"access": "identifier", "assign": "secret", "hex": "secret"}
 SPAN = "array<struct<start:int,end:int>>"
 
 
+def pieces_of(items: Column, body) -> Column:
+    """body(piece, place) over an array cut into pieces of about the square root of its length.
+
+    A fold that grows an array copies it at every step; folding piece by piece keeps a text with very
+    many matches from taking the square of their number.
+    """
+
+    def cut(one: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(one))).cast("int"))
+        places = F.when(F.size(one) > 0, F.sequence(F.lit(0), F.floor((F.size(one) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda k: body(F.slice(one, (k * size + 1).cast("int"), size), k))
+
+    # in a transform over one element, so that the items are computed once
+    return F.flatten(F.transform(F.array(items), cut))
+
+
 def found(text: Column, pattern: str, group: int = 0, at_least: int = 0) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches whose group has at_least characters."""
-    pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    steps = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), sizes.alias("own"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,own:int>>").alias("spans"))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    own = (lambda m: F.length(F.regexp_extract(m, pattern, group))) if group else F.length
+    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), F.length(m).alias("size"), own(m).alias("own")))
+    # the last piece has no match after it
+    steps = F.filter(steps, lambda s: s["size"].isNotNull())
+    none = F.array().cast("array<struct<start:int,end:int,own:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["own"].alias("own")))
-        # the last piece has no match after it
-        return F.struct(end.alias("at"), F.when(x["size"].isNull(), state["spans"]).otherwise(F.concat(state["spans"], one)).alias("spans"))
+        end = begin + x["size"]
+        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["own"].alias("own")))).alias("spans"))
+
+    # spans from the start of their piece; then each piece is moved by the lengths of those before it
+    folded = pieces_of(steps, lambda piece, k: F.aggregate(piece, start, step))
 
-    spans = F.aggregate(steps, start, step, lambda s: s["spans"])
+    def moved(parts: Column) -> Column:
+        before = lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda t, p: t + p["at"])
+        shift = lambda p, by: F.transform(p["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["own"].alias("own")))
+        return F.flatten(F.transform(parts, lambda p, k: shift(p, before(k))))
+
+    # the parts are folded once, too
+    spans = F.flatten(F.transform(F.array(folded), moved))
     kept = F.transform(F.filter(spans, lambda s: s["own"] >= at_least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.array().cast(SPAN))
 
@@ -137,12 +165,13 @@ def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]", text: str
     body = F.coalesce(F.col(text), F.lit(""))
     touched = _touched(body)
     # texts in which no pattern occurs pass by without a shuffle
-    row_id = F.sha2(F.concat_ws("\x01", F.col(key).cast("string"), body), 256)
-    hits = table(docs.where(touched).withColumn("_row_id", row_id), "secret-hits")
-    found_ = scan(hits.select("_row_id", text).distinct(), scope, text, "_row_id").select("_row_id", F.col("spans").alias("_spans")).where(F.size("_spans") > 0)
-    joined = hits.join(found_, "_row_id", "left")
-    hit = F.size("_spans") > 0
-    edited = joined.withColumn(text, F.when(hit, _cut(body, F.col("_spans"), mark)).otherwise(F.col(text)))
+    row_id, spans = unused(docs, "_row_id"), unused(docs, "_spans")
+    hits = table(docs.where(touched).withColumn(row_id, F.sha2(F.concat_ws("\x01", F.col(key).cast("string"), body), 256)), "secret-hits")
+    one = hits.select(row_id, F.col(text).alias("_text")).distinct()
+    found_ = scan(one, scope, "_text", row_id).select(row_id, F.col("spans").alias(spans)).where(F.size(spans) > 0)
+    joined = hits.join(found_, row_id, "left")
+    hit = F.size(spans) > 0
+    edited = joined.withColumn(text, F.when(hit, _cut(body, F.col(spans), mark)).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         edited = edited.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return docs.where(~touched).unionByName(edited.select(*docs.columns))
@@ -159,12 +188,29 @@ def _touched(body: Column) -> Column:
 
 def _cut(body: Column, spans: Column, mark: str) -> Column:
     """body with the union of the sorted spans replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    last = lambda ss: F.array_max(F.transform(ss, lambda s: s["end"]))
+
+    def part(piece: Column, begin: Column) -> Column:
+        """What a piece of the spans makes of the body from begin to the piece's end."""
+
+        def over(own: Column) -> Column:
+            start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+
+            def step(state: Column, s: Column) -> Column:
+                fresh = s["start"] >= state["at"]
+                lead = F.when(fresh, F.array(F.substring(own, state["at"] - begin + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], lead).alias("out"))
+
+            return F.aggregate(piece, start, step, lambda s: F.array_join(s["out"], ""))
+
+        # a place in a string is found from its start: the piece's own text is taken out once
+        return F.array_join(F.transform(F.array(F.substring(body, begin + 1, F.greatest(F.lit(0), last(piece) - begin))), over), "")
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        lead = F.when(fresh, F.array(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], lead).alias("out"))
+    def joined(pieces: Column) -> Column:
+        # each piece of the spans begins where those before it end
+        begin = lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda t, p: F.greatest(t, last(p)))
+        return F.array_join(F.transform(pieces, lambda p, k: F.array_join(F.transform(F.array(begin(k)), lambda at: part(p, at)), "")), "")
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body)))
-    return F.aggregate(spans, start, step, rest)
+    pieces = pieces_of(spans, lambda piece, k: piece)
+    end = F.coalesce(last(spans), F.lit(0))
+    return F.concat(F.array_join(F.transform(F.array(pieces), joined), ""), F.substring(body, end + 1, F.length(body)))
