@@ -61,10 +61,10 @@ class FMIndex:
             new = np.empty(n, dtype=np.int64)
             new[order] = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
             rank, width = new, 2 * width
-        self.order = order
+        self.order = order.astype(np.int32)
         size = int(text.max()) + 1 if n else 1
         self.before = np.concatenate([[0], np.bincount(text, minlength=size).cumsum()])
-        self.wavelet = Wavelet(text[order - 1], max(1, int(size - 1).bit_length()))
+        self.wavelet = Wavelet(text[order - 1].astype(np.int32), max(1, int(size - 1).bit_length()))
         self.n = n
 
     def statistics(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,20 +6,22 @@ routed: the smallest hash of a window's five-word grams (its minimiser) is the s
 window stands, and a run of windows with one minimiser is a segment.
 
 1. The minimisers that occur in two documents at least are found by one aggregation, and summed up in a
-   filter of bounded size; a full filter lets more through, and loses nothing.
+   filter of bounded size. It loses nothing; beyond its load it would let too much through, and what
+   passes is joined with the minimisers themselves.
 2. Segments that pass are collapsed by content, with the smallest id that holds each.
 3. Shards of segments, dealt by minimiser, get an FM-index each (suffixes by depth, packed wavelet
    matrix). All windows of the shard are searched backwards at once; intervals that reach 13 words
-   and hold several places report the smallest id among them. Segments of a minimiser with very many
-   different ones are cut into windows first, equal windows collapsed, and dealt by their words.
+   and hold several places report the smallest id among them. Segments of a minimiser that holds very
+   much text (many different ones, or long ones) are cut into windows first, equal windows collapsed, and dealt by their words.
 4. The results go back to the places of the segments, and from them to the documents.
 
-Words are compared by 64-bit hashes in steps 1 and 2 and by themselves in the indexes.
+Segments and windows are told apart by 128 bits in steps 2 and 3, minimisers by 64 bits, where equal
+ones only share a shard; in the indexes words are compared by themselves.
 
-Results in odd cases: a null or empty text has no words and the digest of an empty text; a null id
+Results in odd cases: ids are whole numbers; a null or empty text has no words and the digest of an empty text; a null id
 counts as larger than any other and is never a reason to remove; rows of one id do not remove each
-other's words; texts of fewer than 13 words stay whole; an empty table gives an empty result; other
-columns are ignored.
+other's words, and equal rows lose the same; very long texts are taken whole; texts of fewer than 13 words stay whole; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,11 +43,12 @@ from .text import WordIds, hash_ids, texts
 WINDOW, GRAM = 13, 5
 #: Bits of a filter: 16 for each entry, up to the bound.
 BLOCK_BITS, MOST_BLOCKS = 15, 8192
-#: Words of a shard, and segments of a minimiser before they are cut.
-SHARD_WORDS, SEGMENTS = 1_000_000, 20_000
+#: Words of a shard, and bytes of a minimiser's segments before they are cut.
+SHARD_WORDS, HOT_BYTES = 1_000_000, 2_000_000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
-BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers: of grams, and of the two hashes of a segment.
+BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hash(word: bytes) -> int:
@@ -81,14 +84,28 @@ def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(m)]]))
 
 
-def contents(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words of each range."""
-    w = ids.view(np.uint64)
-    power = np.concatenate([[np.uint64(1)], np.full(len(w), BASE)]).cumprod(dtype=np.uint64)
-    # sum of word * BASE^place, moved to a common place by the inverse of BASE
-    inverse = np.concatenate([[np.uint64(1)], np.full(len(w), np.uint64(pow(int(BASE), -1, 1 << 64)))]).cumprod(dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], (w * power[: len(w)]).cumsum(dtype=np.uint64)])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+#: base -> its powers modulo 2^64, as many as the longest text so far has words.
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    got = _POWERS.get(base)
+    if got is None or len(got) < n:
+        got = np.concatenate([[np.uint64(1)], np.full(max(n, 4096) - 1, np.uint64(base))]).cumprod(dtype=np.uint64)
+        _POWERS[base] = got
+    return got
+
+
+def contents(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """A 128-bit hash of the words of each range."""
+    w, n = ids.view(np.uint64), len(ids) + 1
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    for lane, base in enumerate((int(BASE), int(OTHER))):
+        # sum of word * base^place, moved to a common place by the inverse of base
+        sums = np.concatenate([[np.uint64(0)], ((w if lane == 0 else mixed(w)) * powers(base, n)[: len(w)]).cumsum(dtype=np.uint64)])
+        out[:, lane] = mixed((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n)[starts] + (ends - starts).astype(np.uint64))
+    raw = out.tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
 
 
 class Filter:
@@ -114,9 +131,9 @@ class Filter:
         return out
 
 
-def bloom(keys: DataFrame) -> Filter:
-    """A filter of the column `key`: built block by block on the executors, MOST_BLOCKS x 4 KB at most."""
-    blocks = int(min(MOST_BLOCKS, max(1, keys.count() * 16 >> BLOCK_BITS)))
+def bloom(keys: DataFrame, n: int | None = None) -> Filter:
+    """A filter of the n rows of the column `key`: built block by block on the executors, MOST_BLOCKS x 4 KB at most."""
+    blocks = int(min(MOST_BLOCKS, max(1, (keys.count() if n is None else n) * 16 >> BLOCK_BITS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,7 +199,7 @@ def segments(docs: DataFrame, key: str, repeated: Filter) -> DataFrame:
                 if not kept.any():
                     continue
                 starts, ends = starts[kept], (starts + n)[kept] + WINDOW - 1
-                hashes = contents(h, starts, ends).view(np.int64).tolist()
+                hashes = contents(h, starts, ends)
                 cols[0].append(m[starts].view(np.int64))
                 for c, a, b in zip(hashes, starts.tolist(), ends.tolist(), strict=True):
                     new = c not in given
@@ -196,10 +213,10 @@ def segments(docs: DataFrame, key: str, repeated: Filter) -> DataFrame:
             if len(given) > 500_000:
                 given.clear()
             if cols[1]:
-                arrays = [pa.array(np.concatenate(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:5]), pa.array(cols[5], pa.binary())]
+                arrays = [pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(key, "text").mapInArrow(run, "minimiser bigint, content bigint, doc bigint, text_id bigint, first bigint, words binary")
+    return docs.select(key, "text").mapInArrow(run, "minimiser bigint, content binary, doc bigint, text_id bigint, first bigint, words binary")
 
 
 def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -236,7 +253,7 @@ def window_owners(places: DataFrame) -> DataFrame:
     segs = table(places.groupBy("content").agg(F.first("minimiser").alias("minimiser"), F.min("doc").alias("own"), F.first("words", ignorenulls=True).alias("words")), "segments")
     total = segs.agg(F.sum(F.length("words"))).first()[0] or 0
     shards = max(1, int(total / 6 / SHARD_WORDS))
-    hot = table(segs.groupBy("minimiser").agg(F.count("*").alias("n")).where(F.col("n") > SEGMENTS).select("minimiser"), "hot-minimisers")
+    hot = table(segs.groupBy("minimiser").agg(F.sum(F.length("words")).alias("n")).where(F.col("n") > HOT_BYTES).select("minimiser"), "hot-minimisers")
     cut = not hot.isEmpty()
     plain = segs.join(hot, "minimiser", "left_anti") if cut else segs
     rows = plain.select(F.col("content").alias("id"), F.lit(False).alias("cut"), "own", "words", F.pmod(F.xxhash64("minimiser"), F.lit(shards)).alias("shard"))
@@ -244,10 +261,10 @@ def window_owners(places: DataFrame) -> DataFrame:
         words = F.split(F.col("words").cast("string"), " ")
         each = F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
         pieces = segs.join(hot, "minimiser", "left_semi").select("content", "own", F.posexplode(each).alias("at", "window"))
-        pieces = table(pieces.withColumn("id", F.xxhash64("window")), "windows")
+        pieces = table(pieces.withColumn("id", F.unhex(F.md5("window"))), "windows")
         single = pieces.groupBy("id").agg(F.min("own").alias("own"), F.first("window").cast("binary").alias("words"))
-        rows = rows.unionByName(single.select("id", F.lit(True).alias("cut"), "own", "words", F.pmod("id", F.lit(shards)).alias("shard")))
-    found = table(rows.groupBy("shard").applyInPandas(search, "id bigint, cut boolean, least array<bigint>"), "window-owners")
+        rows = rows.unionByName(single.select("id", F.lit(True).alias("cut"), "own", "words", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")))
+    found = table(rows.groupBy("shard").applyInPandas(search, "id binary, cut boolean, least array<bigint>"), "window-owners")
     out = found.where("not cut").select(F.col("id").alias("content"), "least")
     if cut:
         back = pieces.select("content", "at", "id").join(found.where("cut").select("id", F.col("least")[0].alias("one")), "id")
@@ -272,8 +289,12 @@ def kept_words(text: bytes, starts: list[int] | np.ndarray) -> tuple[int, int, s
 def dedup(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every document."""
     spark = docs.sparkSession
-    repeated = bloom(table(repeated_minimisers(docs, key), "minimisers"))
-    places = table(segments(docs, key, repeated), "places")
+    minimisers_ = table(repeated_minimisers(docs, key), "minimisers")
+    n = minimisers_.count()
+    found = segments(docs, key, bloom(minimisers_, n))
+    if n * 16 > MOST_BLOCKS << BLOCK_BITS:
+        found = found.join(minimisers_.withColumnRenamed("key", "minimiser"), "minimiser", "left_semi").select(*found.columns)
+    places = table(found, "places")
     owners = table(window_owners(places), "owners")
     at = F.transform(F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.element_at("least", i + 1) < F.col("doc")), lambda i: (i + F.col("first")).cast("int"))
     gone = places.select("content", "doc", "text_id", "first").join(owners, "content").select("doc", "text_id", at.alias("at")).where(F.size("at") > 0)

@@ -59,15 +59,25 @@ def test_equals_brute_force(spark):
 
 def test_small_shards_and_hot_minimisers(spark, monkeypatch):
     """Segments of frequent minimisers are cut into windows, shards are small: the same result."""
-    monkeypatch.setattr(substrings, "SEGMENTS", 3)
+    monkeypatch.setattr(substrings, "HOT_BYTES", 300)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 200)
     rows = texts(5)
     assert dedup(spark, rows) == brute(rows)
 
 
-def test_full_filter_loses_nothing(spark, monkeypatch):
+def test_long_segments_of_one_minimiser(spark, monkeypatch):
+    """Few segments, but very long ones: they are cut by their text, not by their number."""
+    monkeypatch.setattr(substrings, "HOT_BYTES", 5000)
+    rows = [(k, f"start{k} " + "ha " * (3000 + k) + f"end{k}") for k in range(6)] + texts(11)[:20]
+    assert dedup(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [0, substrings.MOST_BLOCKS])
+def test_full_filter_loses_nothing(spark, monkeypatch, most):
+    """Also beyond the filter's load, where what passes is joined with the minimisers."""
     full = substrings.Filter(1, {0: b"\xff" * (1 << substrings.BLOCK_BITS - 3)})
-    monkeypatch.setattr(substrings, "bloom", lambda keys: full)
+    monkeypatch.setattr(substrings, "bloom", lambda keys, n=None: full)
+    monkeypatch.setattr(substrings, "MOST_BLOCKS", most)
     rows = texts(7)
     assert dedup(spark, rows) == brute(rows)
 
