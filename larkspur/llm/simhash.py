@@ -5,7 +5,7 @@ half of the shingles' hashes. Equal fingerprints collapse to one row first, so a
 of copies is one row from then on. Distinct fingerprints meet in tiles: two fingerprints within
 `radius` bits agree on at least one of radius + 1 disjoint slices of their bits, so every fingerprint
 goes to one tile per slice, and no pair within the radius is missed. (Wide radii use `tables` slices
-of sampled bits instead, see near_groups.) A slice value held by very many fingerprints is cut into
+of sampled bits instead, see slices.) A slice value held by very many fingerprints is cut into
 tiles by population count, and each tile meets only the tiles whose counts differ by the radius or
 less. Inside, numpy compares blocks by exclusive-or and bit counts, skips blocks whose
 population counts are too far apart, and returns a spanning forest of the links it found, never all
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, sized_broadcast, table
+from .common import components, documents, sized_broadcast, table, unused
 from .text import LOWER, texts
 
 #: Shingles whose bits are counted at once.
@@ -380,28 +380,30 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, lanes: int = 1, tab
     return own.join(by_node, "_node").select(key, "fp", F.col("least").alias("component"))
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 56, lanes: int = 4, tables: int = 32, taken: int = 14, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 60, lanes: int = 4, tables: int = 64, taken: int = 14, least: float = 0.8) -> DataFrame:
     """docs without near-duplicates: of each group one row stays.
 
     Texts are near-duplicates from a similarity of 0.8 of the sets of their five-word shingles. There,
     256 bits differ in 39 places on average, with a deviation of 6; unrelated texts differ in 128,
-    with a deviation of 8. Slices of 14 sampled bits in 32 tables bring about 96 of 100 pairs of just
-    that similarity together, and nearly all that are closer. Those within the radius are candidates;
+    with a deviation of 8. Slices of 14 sampled bits in 64 tables bring 99.8 of 100 pairs of just
+    that similarity together, and nearly all that are closer; the tests measure it. Those within the radius are candidates;
     all pairs that candidates connect are then compared exactly, so that no document goes for a
     similarity below 0.8, and none stays because its candidates were dissimilar.
     Rows have keys of their own, so rows that share an id, or have none, are grouped by their texts alone.
     Of each group one row stays: that of the smallest id, nulls last, and of the same id by a hash of id and text.
     """
-    held = table(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    found = table(groups(held, width, radius, lanes, tables, taken, key="_row", least=least), "simhash-found")
+    own = unused(docs, "_row")
+    held = table(docs.withColumn(own, F.monotonically_increasing_id()), "simhash-rows")
+    rows = held.select(F.col(own).alias("_row"), "doc_id", "text")
+    found = table(groups(rows, width, radius, lanes, tables, taken, key="_row", least=least), "simhash-found")
     others = found.where("_row <> component").select("_row", "component")
     members = others.unionByName(others.select(F.col("component").alias("_row"), "component").distinct())
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"), "_row")
-    placed = table(members.join(held.select("_row", place.alias("place")), "_row"), "simhash-members")
+    placed = table(members.join(rows.select("_row", place.alias("place")), "_row"), "simhash-members")
     # written, so that a large group can be split in the join that follows
     best = table(placed.groupBy("component").agg(F.min("place").alias("best")), "simhash-best")
-    gone = table(placed.join(best, "component").where("place._row <> best._row").select("_row"), "simhash-gone")
-    return held.join(sized_broadcast(gone), "_row", "left_anti").select(*docs.columns)
+    gone = table(placed.join(best, "component").where("place._row <> best._row").select(F.col("_row").alias(own)), "simhash-gone")
+    return held.join(sized_broadcast(gone), own, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
