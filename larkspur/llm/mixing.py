@@ -6,8 +6,10 @@ value. What is below the threshold is taken once more; no document is sorted. A
 keeps all that a smaller one takes.
 
 Results in odd cases: a null text or id counts as an empty text or id; a null source is a source
-of its own and the last; rows of the same id share their hash and are taken together; an empty
-table gives an empty result; other columns pass through, but those named like a result are replaced.
+of its own and the last; rows of the same id share their hash and are taken together, so a source of one id
+takes all of it or nothing; very long texts are counted whole; a tie between two places of a threshold goes to the later; an empty
+table gives an empty result; other columns pass through, but those named like a result (size,
+source_size, target, taken) are replaced.
 """
 
 from __future__ import annotations
@@ -17,15 +19,15 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash60, positions, table
+from .common import WORD, drop, hash60, kept, positions, table, unused
 
 BITS, LEVEL = 60, 12
 
 
-def sized(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with size (words of the whole text) and _hash."""
+def sized(docs: DataFrame, hash_name: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with size (words of the whole text) and the hash of the id."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"size": size, "_hash": hash60(F.col(key))})
+    return docs.withColumns({"size": size, hash_name: hash60(F.col(key))})
 
 
 def targets(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -54,7 +56,8 @@ def targets(narrow: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 def thresholds(narrow: DataFrame, goals: DataFrame) -> DataFrame:
     """goals with whole (repeats of every document) and last (hash up to which one more is taken)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = table(
+    spark = goals.sparkSession
+    state, path = kept(
         goals.withColumn("whole", whole)
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumn("below", F.lit(0).cast("long"))
@@ -82,10 +85,12 @@ def thresholds(narrow: DataFrame, goals: DataFrame) -> DataFrame:
         under = F.col("upto") - F.col("n")
         single = F.when(F.col("upto") - F.col("budget") <= F.col("budget") - under, F.col("hi")).otherwise(F.col("lo") - 1)
         last = F.when(F.col("last").isNotNull(), F.col("last")).when(F.col("cell").isNull(), F.lit((1 << BITS) - 1)).when(F.col("lo") == F.col("hi"), single)
-        state = table(
+        before = path
+        state, path = kept(
             joined.select("source", "source_size", "target", "whole", "budget", F.coalesce(under, "below").alias("below"), F.coalesce("cell", "prefix").alias("prefix"), last.cast("long").alias("last")),
             "mix-state",
         )
+        drop(spark, before)
         if state.where("last is null").isEmpty():
             break
     return state.select(F.col("source").alias("_s"), "source_size", "target", "whole", "last")
@@ -96,13 +101,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, te
 
     narrow_only returns the id and source alone, without a second read of the texts.
     """
-    full = sized(docs.drop("size", "source_size", "target", "taken", "whole", "last", "_hash", "_s"), text, key)
-    narrow = table(full.select(key, "source", "size", "_hash"), "mix-sizes")
-    found = thresholds(narrow, targets(narrow, weights, most))
-    base = narrow if narrow_only else full
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("_hash") <= F.col("last"), 1).otherwise(0))
-    keep = [c for c in base.columns if c != "_hash"]
-    return base.join(found, base.source.eqNullSafe(found._s), "left").select(*keep, "source_size", "target", taken.cast("long").alias("taken"))
+    docs = docs.drop("size", "source_size", "target", "taken")
+    hashed, found = unused(docs, "_hash"), unused(docs, "_mix")
+    full = sized(docs, hashed, text, key)
+    narrow = table(full.select(key, "source", "size", F.col(hashed).alias("_hash")), "mix-sizes")
+    budgets = thresholds(narrow, targets(narrow, weights, most)).select(F.struct("*").alias(found))
+    base, hashed = (narrow, "_hash") if narrow_only else (full, hashed)
+    of = lambda name: F.col(f"{found}.{name}")
+    taken = F.col("size") * (of("whole") + F.when(F.col(hashed) <= of("last"), 1).otherwise(0))
+    keep = [c for c in base.columns if c != hashed]
+    joined = base.join(budgets, base.source.eqNullSafe(of("_s")), "left")
+    return joined.select(*keep, of("source_size").alias("source_size"), of("target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

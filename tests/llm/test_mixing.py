@@ -55,3 +55,11 @@ def test_nested_budgets(spark):
     small = {r.doc_id: r.taken for r in mixing.mix(df, weights=(2, 3)).where("source = 'a'").collect()}
     large = {r.doc_id: r.taken for r in mixing.mix(df, weights=(3, 3)).where("source = 'a'").collect()}
     assert all(large[k] >= v for k, v in small.items()) and sum(large.values()) > sum(small.values())
+
+
+def test_own_columns_stay(spark):
+    rows = [(i, "a b c", "s", 1, 2, 3, 4) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, whole int, last int, _hash int, _mix int")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    assert {tuple(r)[3:7] for r in out.collect()} == {(1, 2, 3, 4)}
