@@ -5,15 +5,18 @@ position where both begin a token, right after ASCII white space that both have
 drops white space before it splits words, so no token crosses it and nothing before it bears on what
 follows. The ids from the splice to the last such position must agree too. Where the overlap holds
 no such position, it is doubled, and in the end the chunk itself grows; so a text without white
-space is encoded whole.
+space is encoded whole. That the tokenizer drops white space is read from its file (splits_at_space);
+with one that may keep it, every text is encoded whole.
 
-Results in odd cases: a null text counts as empty: 0 bytes, 0 tokens; special strings inside a
-text count as the library's default has them; repeated rows are counted each; other columns pass
-through, but those named like a result are replaced.
+Results in odd cases: a null text counts as empty: 0 bytes, 0 tokens; bytes that are not UTF-8 count as bytes,
+and as U+FFFD for the tokenizer; special strings inside a
+text count as the library's default has them; repeated rows are counted each; an empty table gives an
+empty result; other columns pass through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -43,6 +46,26 @@ def tokenizer(name: str):
     return Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
 
 
+#: Parts of a normaliser that look at no white space beside what they change.
+PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer"}
+PROBE = "ab cd\t12\n.,  it's\x0bx <b>\r\n'll\x0c9 é ü!? "
+
+
+@lru_cache(maxsize=4)
+def splits_at_space(name: str) -> bool:
+    """Whether the file says that white space is dropped before words are split, so that texts may be cut there."""
+    own = tokenizer(name)
+    told = json.loads(own.to_str())
+    listed = lambda part, names: part.get(names, [part]) if part else []
+    for n in listed(told["normalizer"], "normalizers"):
+        if n["type"] not in PLAIN and not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "):
+            return False
+    first = next(iter(listed(told["pre_tokenizer"], "pretokenizers")), None)
+    if first is None or not (first["type"] in {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"} or (first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"])):
+        return False
+    return not any(PROBE[a:b] != PROBE[a:b].strip() for _, (a, b) in own.pre_tokenizer.pre_tokenize_str(PROBE))
+
+
 Encoded = tuple[np.ndarray, np.ndarray]  # ids, starts in the text
 
 
@@ -94,7 +117,7 @@ def counted(docs: DataFrame, name: str = "word_bpe_49k.json", limit: int = LIMIT
     keep = [c for c in docs.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(name)
+        own, cut = tokenizer(name), splits_at_space(name)
 
         def encode(text: str) -> Encoded:
             got = own.encode(text, add_special_tokens=False)
@@ -111,8 +134,8 @@ def counted(docs: DataFrame, name: str = "word_bpe_49k.json", limit: int = LIMIT
 
             for n, raw in enumerate(texts(batch, "text")):
                 sizes.append(len(raw))
-                text = raw.decode()
-                if len(text) > CHUNK:
+                text = raw.decode("utf-8", "replace")
+                if len(text) > CHUNK and cut:
                     tokens[n] = spliced(encode, text)
                     continue
                 waiting.append((n, text))
