@@ -13,8 +13,10 @@ of function words), never read from a column; every language's threshold is move
 0.5. Labels are learned only from rows in the training folds.
 
 Results in odd cases: a null or empty text has the score of a text without any word; labels that
-are null are ignored, and repeated labels of a document count by their mean; a table without
-labels of both kinds gives the score 0 everywhere; other columns are ignored.
+are null are ignored, and repeated labels of a document count by their mean, a tie as toxic; of rows that share a
+labelled id one is learned; a table without labels of both kinds gives the score 0 everywhere; repeated rows
+get the same score; an empty table gives an empty result; other columns pass through, but one named
+like the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table, unused
 from .text import ALNUM, WordIds, hash_ids, texts, two_hashes
 
 BITS = 16
@@ -211,33 +213,42 @@ def probability(model: dict | None, ids: np.ndarray) -> float:
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, ids): the word ids of whole texts, for the fit."""
+    """(_order, label, n, ids): the word ids of whole texts, for the fit."""
     ids = WordIds(word_id)
     for batch in batches:
         rows = [hash_ids(t.translate(ALNUM).split(), ids) for t in texts(batch, "text")]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int64()))], ["label", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("_order"), batch.column("label"), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["_order", "label", "n", "ids"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most_docs: int, key: str = "doc_id") -> DataFrame:
-    """(text, label, _order) of the first most_docs labelled texts of the training folds, in hash order."""
+    """(text, label, _order) of the first most_docs labelled ids of the training folds, in hash order; one row
+    for each id, whatever rows share it."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
     order = F.xxhash64(F.col("_key"))
     chosen = marks.where(F.crc32(F.col("_key").cast("string")) % 5 != 0).orderBy(order, "_key").limit(most_docs)
     rows = docs.select(F.col(key).alias("_key"), "text").join(chosen, "_key")
-    return rows.select("text", "label", F.xxhash64(F.col("_key"), F.col("text")).alias("_order"))
+    one = rows.groupBy("_key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("t.text", "label", F.xxhash64("_key", "t.text").alias("_order"))
+
+
+def bounded(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """The rows, shortest first, whose sizes add up to no more than most. rows has a row for each labelled text at most."""
+    w = Window.orderBy(size, "_order").rowsBetween(Window.unboundedPreceding, 0)
+    placed = table(rows, "labelled-texts")
+    upto = placed.select("_order", size).withColumn("_upto", F.sum(size).over(w)).where(F.col("_upto") <= most)
+    return placed.join(F.broadcast(upto.select("_order").distinct()), "_order", "left_semi")  # most_docs numbers
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_words: int = 2_000_000) -> dict | None:
-    """Train on at most most_docs texts; texts beyond most_words words in all are left out of the fit."""
-    got = labelled(docs, labels, "toxic", most_docs).mapInArrow(features, "label double, ids array<bigint>")
-    samples, total = [], 0
-    pool = [(np.array(r["ids"], dtype=np.int64), r["label"]) for r in got.toLocalIterator()]
-    pool.sort(key=lambda s: (len(s[0]), s[1], s[0][:8].tolist()))
-    for ids, label in pool:
-        total += len(ids)
-        if len(ids) and total <= most_words:
-            samples.append((ids, label))
-    return train(samples)
+    """Train on at most most_docs texts and most_words words in all: the shortest texts that these allow.
+
+    Both bounds hold before anything is collected, so the driver gets most_words numbers at most.
+    """
+    got = labelled(docs, labels, "toxic", most_docs).mapInArrow(features, "_order bigint, label double, n bigint, ids array<bigint>").where("n > 0")
+    pool = bounded(got, "n", most_words).orderBy("n", "_order").toArrow()
+    ids = pool.column("ids").combine_chunks()
+    flat, ends = ids.flatten().to_numpy(), np.cumsum(pool.column("n").to_numpy())
+    return train([(flat[b - n : b], y) for n, b, y in zip(pool.column("n").to_pylist(), ends.tolist(), pool.column("label").to_pylist(), strict=True)])
 
 
 def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, most_docs: int = 3000, name: str = "score") -> DataFrame:
@@ -259,7 +270,8 @@ def score(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = Non
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The documents that score below the cut."""
-    return score(docs, labels, name="_toxicity").where(F.col("_toxicity") < cut).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return score(docs, labels, name=name).where(F.col(name) < cut).drop(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
