@@ -5,14 +5,16 @@ of repeated words and lines, of capitals and of punctuation), weighted by tf-idf
 leading singular vectors of the labelled texts. The labelled texts' vectors are broadcast; every document is compared with
 all of them by exact cosines, in blocks, and the nearest vote with their labels, weighted by
 similarity. The fit sees at most `most_docs` labelled texts of the training folds (its documented
-bound); every document is scored on its whole text.
+bound, with `most_terms` terms in all); every document is scored on its whole text, however long.
 
 The score is the weighted vote of the labels, moved so that 0.3 is the cut that suits the training
 labels best.
 
 Results in odd cases: a null or empty text has no direction and gets the share of good labels;
-null labels are ignored, and repeated labels of a document count by their mean; without labels of
-both kinds every score is 0.5; repeated rows get the same score; other columns are ignored.
+null labels are ignored, and repeated labels of a document count by their mean, a tie as good; of rows that
+share a labelled id one is learned; neighbours that tie with the last one vote too; without labels of
+both kinds every score is 0.5; repeated rows get the same score; an empty table gives an empty result;
+other columns pass through, but for the text and one named score, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .text import WordIds, texts
-from .toxicity import fold, labelled
+from .toxicity import bounded, fold, labelled
 
 WORDS, SHAPES = 1 << 15, 1 << 11
 RANK, NEIGHBOURS, BLOCK = 48, 25, 512
@@ -128,9 +130,13 @@ class Space:
             near = x[at : at + BLOCK] @ self.vectors.T
             if leave is not None:
                 near[np.arange(len(near)), leave[at : at + BLOCK]] = -2
-            top = np.argpartition(near, -k, axis=1)[:, -k:] if k else np.zeros((len(near), 0), dtype=int)
-            weight = np.clip(np.take_along_axis(near, top, axis=1), 1e-6, None) ** 4
-            out[at : at + BLOCK] = (weight * self.labels[top]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-30)
+            if not k:
+                out[at : at + BLOCK] = np.nan
+                continue
+            # all that are as near as the last of the k vote, so that ties do not hang on an order
+            last = np.partition(near, -k, axis=1)[:, -k, None]
+            weight = np.where(near >= last, np.clip(near, 1e-6, None) ** 4, 0)
+            out[at : at + BLOCK] = weight @ self.labels / np.maximum(weight.sum(axis=1), 1e-30)
         out[~x.any(axis=1)] = np.nan
         return out
 
@@ -151,8 +157,8 @@ def best_cut(votes: np.ndarray, y: np.ndarray) -> float:
     return float(tries[good[len(good) // 2]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Space | None:
-    """The space of at most most_docs labelled texts."""
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_terms: int = 4_000_000) -> Space | None:
+    """The space of at most most_docs labelled texts with most_terms distinct terms in all, the shortest that these allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds(term)
@@ -162,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Space | No
             yield pa.RecordBatch.from_arrays(cols, ["_order", "label", "places", "weights"])
 
     got = labelled(docs, labels, "quality", most_docs).mapInArrow(run, "_order bigint, label double, places array<bigint>, weights array<double>")
-    pool = sorted((r["_order"], r["label"], r["places"], r["weights"]) for r in got.toLocalIterator() if r["places"])
+    sized = bounded(got.withColumn("n", F.size("places").cast("long")).where("n > 0"), "n", most_terms)
+    pool = sorted((r["_order"], r["label"], r["places"], r["weights"]) for r in sized.drop("n").toLocalIterator())
     y = np.array([r[1] for r in pool])
     if not len(y) or y.min() == y.max():
         return None

@@ -46,6 +46,17 @@ def test_token_cases(spark):
     assert tokens.counted(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_with_each_tokenizer(spark, name):
+    """Texts are cut only where the tokenizer's file says that white space is dropped."""
+    texts_ = [BIG, "x  y\n\n z " * 8000, "a" * 40_000, "it's 12,5 é " * 6000]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")
+    own = tokens.tokenizer(name)
+    got = {r.doc_id: r.n_tokens for r in tokens.counted(docs, name).collect()}
+    assert got == {k: len(own.encode(t, add_special_tokens=False)) for k, t in enumerate(texts_)}
+    assert tokens.splits_at_space(name) == name.startswith("word")
+
+
 # op7
 
 NOTICE = licenses.TEMPLATES["mit"]
@@ -239,6 +250,23 @@ def test_quality(labelled_texts):
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 604
 
 
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_the_fit_is_bounded_on_the_executors(labelled_texts, module, label):
+    """An id that a hundred thousand rows share is one text of the fit, and words are bounded before they are collected."""
+    docs, labels = labelled_texts
+    hot = docs.where("doc_id = 6").crossJoin(docs.sparkSession.range(100_000)).drop("id")
+    rows = module.labelled(docs.unionByName(hot), labels, label, 300)
+    assert rows.count() == rows.select("_order").distinct().count() <= 300
+    sized = rows.withColumn("n", F.size(F.split("text", " ")).cast("long"))
+    assert 0 < toxicity.bounded(sized, "n", 2000).agg(F.sum("n")).first()[0] <= 2000
+
+
+def test_neighbours_that_tie_all_vote():
+    space = quality.Space.__new__(quality.Space)
+    space.vectors, space.labels = np.ones((60, 1), dtype=np.float32), np.array([1, 0, 0] * 20, dtype=np.float32)
+    assert np.allclose(space.vote(np.ones((2, 1), dtype=np.float32)), 1 / 3)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_without_labels(labelled_texts, module):
     docs, labels = labelled_texts
