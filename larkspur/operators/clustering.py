@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Rows of one user that are clustered together; distances are held for all pairs of them.
-MOST_ROWS = 5_000
+#: Rows that are compared with their surroundings at once.
+BLOCK = 256
 
 
 def dims(wanted: int, n: int) -> int:
@@ -31,36 +31,71 @@ def project(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return (x - mean) @ axes.T
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x from all of y, a component at a time."""
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        out += (x[:, k, None] - y[None, :, k]) ** 2
+    return np.sqrt(out)
+
+
 def density_labels(x: np.ndarray, least: int, quantile: float = 0.7) -> np.ndarray:
     """Connected dense rows: those with `least` rows (themselves included) within eps, where eps is a
-    quantile of the distances to the least-th row; other rows within eps join the nearest of them."""
+    quantile of the distances to the least-th row; other rows within eps join the nearest of them.
+
+    Rows are swept in order of their first component, a block against those that its reach can hold, so
+    memory grows with the rows, not with their pairs.
+    """
     n = len(x)
     if n <= max(2, least):
         return np.full(n, -1)
-    square = (x * x).sum(axis=1)
-    far = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
-    np.fill_diagonal(far, 0)
-    core = np.partition(far, least - 1, axis=1)[:, least - 1]
+    order = np.argsort(x[:, 0], kind="stable")
+    s = x[order]
+    first = s[:, 0]
+
+    def around(a: int, b: int, reach: float) -> tuple[int, int]:
+        return int(np.searchsorted(first, first[a] - reach)), int(np.searchsorted(first, first[b - 1] + reach, side="right"))
+
+    blocks = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+    core = np.empty(n)
+    for a, b in blocks:
+        # rows nearby in the order bound how far the least-th row can be
+        lo, hi = max(0, a - least), min(n, b + least)
+        bound = np.partition(apart(s[a:b], s[lo:hi]), least - 1, axis=1)[:, least - 1].max()
+        lo, hi = around(a, b, bound)
+        core[a:b] = np.partition(apart(s[a:b], s[lo:hi]), least - 1, axis=1)[:, least - 1]
     eps = np.quantile(core, quantile)
-    dense = np.flatnonzero(core <= eps)
-    near = far[np.ix_(dense, dense)] <= eps
-    group = np.arange(len(dense))
-    while True:
-        low = np.where(near, group[None, :], len(dense)).min(axis=1)
-        if (low == group).all():
-            break
-        group = np.minimum(low, group)[np.minimum(low, group)]
+    dense = core <= eps
+    root = np.arange(n)
+    for a, b in blocks:
+        hi = around(a, b, eps)[1]
+        near = (apart(s[a:b], s[a:hi]) <= eps) & dense[a:b, None] & dense[None, a:hi]
+        while True:
+            open_ = near & (root[a:b, None] != root[None, a:hi])
+            rows = np.flatnonzero(open_.any(axis=1))
+            if not len(rows):
+                break
+            for i, j in zip((rows + a).tolist(), (open_[rows].argmax(axis=1) + a).tolist(), strict=True):
+                if root[i] != root[j]:
+                    root[root == max(root[i], root[j])] = min(root[i], root[j])
+    group = np.where(dense, root, -1)
+    for a, b in blocks:
+        lo, hi = around(a, b, eps)
+        cols = np.flatnonzero(dense[lo:hi]) + lo
+        rows = np.flatnonzero(~dense[a:b]) + a
+        if len(rows) and len(cols):
+            far = apart(s[rows], s[cols])
+            at = far.argmin(axis=1)
+            met = far[np.arange(len(rows)), at] <= eps
+            group[rows[met]] = root[cols[at[met]]]
     labels = np.full(n, -1)
-    labels[dense] = group
-    for i in np.flatnonzero(core > eps):
-        j = dense[far[i, dense].argmin()]
-        if far[i, j] <= eps:
-            labels[i] = labels[j]
-    names, at = {}, np.full(n, -1)
-    for i, g in enumerate(labels):
-        if g >= 0 and (labels == g).sum() >= least:
-            at[i] = names.setdefault(g, len(names))
-    return at
+    labels[order] = group
+    big = np.bincount(labels[labels >= 0], minlength=n) >= least
+    names, out = {}, np.full(n, -1)
+    for i, g in enumerate(labels.tolist()):
+        if g >= 0 and big[g]:
+            out[i] = names.setdefault(g, len(names))
+    return out
 
 
 def cluster(x: np.ndarray, least: int = 3, wanted: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,16 +106,16 @@ def cluster(x: np.ndarray, least: int = 3, wanted: int = 3) -> tuple[np.ndarray,
     return density_labels(project(x, mean, axes), least), mean, axes
 
 
-def cluster_users(members: DataFrame, least: int = 3, wanted: int = 3, skip_under: int | None = None) -> DataFrame:
+def cluster_users(members: DataFrame, least: int = 3, wanted: int = 3, skip_under: int | None = None, stride: int = 1) -> DataFrame:
     """(user_id, event_id, label, x, y, z) of each user's vectors in order of event_idx.
 
-    Users with fewer than skip_under rows are left out; one user's rows, at most MOST_ROWS by an
-    even stride over time, are one task's group.
+    Users with fewer than skip_under rows are left out. One user's rows, every stride-th of them if
+    that is asked for, are one task's group: a user's history, whose vectors fit a task.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["event_idx", "event_id"])
-        pdf = pdf.iloc[:: max(1, -(-len(pdf) // MOST_ROWS))]
+        pdf = pdf.iloc[::stride]
         if skip_under is not None and len(pdf) < skip_under:
             return pd.DataFrame({"user_id": [], "event_id": [], "label": [], "x": [], "y": [], "z": []})
         x = np.stack(pdf["vec"].to_numpy())

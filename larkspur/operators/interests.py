@@ -1,4 +1,4 @@
-"""Interest vectors: centroids, assignment by cosine, and items ranked by the best interest.
+"""Interest vectors: centroids, refits, projection, assignment by cosine, items ranked by the best interest.
 
 Vectors that are compared as a table are spread to (pos, value) rows and summed: the join and the
 sums then run as hash joins and partial aggregates on any number of executors.
@@ -6,10 +6,14 @@ sums then run as hash joins and partial aggregates on any number of executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine, dot, finite
+from ..functions.numbers import cosine, dot
 
 
 def spread(df: DataFrame, vec: str, *keys: str) -> DataFrame:
@@ -64,22 +68,123 @@ def assigned(rows: DataFrame, interests: DataFrame, threshold: float = 0.2) -> D
     return scored.select("user_id", "event_id", status.alias("status"), F.when(clear, F.element_at("of", at.cast("int"))["label"]).alias("interest"), F.when(clear, best).alias("similarity"))
 
 
-def max_interest_scores(interests: DataFrame, items: DataFrame) -> DataFrame:
-    """(user_id, movie_id, score, label): the largest dot product over a user's interests; the first
-    label wins a tie. Interests and items with components that are not finite take no part."""
-    u = interests.where(finite(F.col("vec")))
-    v = items.where(finite(F.col("vec")))
-    # every interest against every item is the task itself; the items are sent in if they are few
-    pairs = u.select("user_id", "label", F.col("vec").alias("a")).crossJoin(v.select("movie_id", F.col("vec").alias("b")))
-    scored = pairs.select("user_id", "movie_id", "label", dot(F.col("a"), F.col("b")).alias("s"))
-    return scored.groupBy("user_id", "movie_id").agg(F.max("s").alias("score"), F.max_by("label", F.struct("s", -F.col("label"))).alias("label"))
-
-
-def top_k(scores: DataFrame, seen: DataFrame, k: int) -> DataFrame:
-    """The k best unseen items of each user; ties go to the smaller id."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "movie_id")
-    fresh = scores.join(seen.select("user_id", "movie_id"), ["user_id", "movie_id"], "left_anti")
-    return fresh.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def refitted(members: DataFrame, *keys: str) -> DataFrame:
+    """(keys, label, size, vec): interests from labelled rows; where all are noise, one of the mean of all, label 0."""
+    named = members.groupBy(*keys).agg(F.max("label").alias("_top"))
+    rows = members.join(named, list(keys))
+    rows = rows.withColumn("label", F.when(F.col("_top") < 0, F.lit(0)).otherwise(F.col("label")).cast("bigint")).drop("_top")
+    return centroids(rows, *keys, "label")
+
+
+def projected(rows: DataFrame, reducers: DataFrame) -> DataFrame:
+    """rows (user_id, event_id, vec) with the point that their user's fitted reducer (user_id, mean, axes)
+    gives them; null where the user has none."""
+    off = F.zip_with("vec", "mean", lambda x, m: x - m)
+    return rows.join(reducers, "user_id", "left").select("user_id", "event_id", F.transform("axes", lambda a: dot(off, a)).alias("point"))
+
+
+def user_queries(interests: DataFrame, seen: DataFrame) -> DataFrame:
+    """(user_id, labels, vecs, seen): what best_items asks for each user with interests."""
+    i = interests.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("label", F.col("vec").alias("v")))).alias("_i"))
+    s = seen.groupBy("user_id").agg(F.collect_set("movie_id").alias("seen"))
+    return i.join(s, "user_id", "left").select("user_id", F.transform("_i", lambda x: x["label"]).alias("labels"), F.transform("_i", lambda x: x["v"]).alias("vecs"), "seen")
+
+
+#: Numbers of the item matrix that each task may hold, and of one block of scores.
+MATRIX, SCORES = 16_000_000, 4_000_000
+
+
+class Catalogue:
+    """Item vectors as a matrix, in order of the id; items with components that are not finite take no part."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        order = order[np.isfinite(vecs[order]).all(axis=1)]
+        self.ids, self.vecs = ids[order], vecs[order]
+
+    @classmethod
+    def of(cls, ids: pd.Series, vecs: pd.Series) -> Catalogue:
+        return cls(ids.to_numpy(dtype=np.int64), np.stack(vecs.to_numpy()) if len(ids) else np.zeros((0, 1)))
+
+    def best(self, labels: list, vecs: list, seen: list, k: int) -> Iterator[tuple[int, list[tuple[int, float, int]]]]:
+        """(query, its k best unseen items as (id, score, label)), scores to nine digits; the first label and
+        the smaller id win ties."""
+        sound = [[(lab, v) for lab, v in zip(ls, vs, strict=True) if np.isfinite(v).all()] for ls, vs in zip(labels, vecs, strict=True)]
+        at = 0
+        while at < len(sound) and len(self.ids):
+            end, rows = at, 0
+            while end < len(sound) and (end == at or (rows + len(sound[end])) * len(self.ids) <= SCORES):
+                rows += len(sound[end])
+                end += 1
+            if rows:
+                matrix = np.stack([v for q in sound[at:end] for _, v in q])
+                scores = np.rint(matrix @ self.vecs.T * 1e9) / 1e9
+                first = 0
+                for q in range(at, end):
+                    n = len(sound[q])
+                    if n:
+                        yield q, self.top(scores[first : first + n], [lab for lab, _ in sound[q]], seen[q], k)
+                    first += n
+            at = end
+
+    def top(self, scores: np.ndarray, labels: list[int], seen, k: int) -> list[tuple[int, float, int]]:
+        own = scores.argmax(axis=0)
+        best = scores[own, np.arange(len(self.ids))]
+        if seen is not None and len(seen):
+            places = np.minimum(np.searchsorted(self.ids, seen), len(self.ids) - 1)
+            best[places[self.ids[places] == seen]] = -np.inf
+        n = min(k, int(np.isfinite(best).sum()))
+        if not n:
+            return []
+        bound = np.partition(best, len(best) - n)[len(best) - n]
+        near = np.flatnonzero(best >= bound)
+        near = near[np.lexsort((near, -best[near]))][:n]
+        return [(int(self.ids[j]), float(best[j]), int(labels[own[j]])) for j in near.tolist()]
+
+
+def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str) -> DataFrame:
+    """(keys, movie_id, score, label, rank): for each query (keys, labels, vecs, seen) the k unseen items
+    of the largest dot product with any of its vectors. Equal scores go to the smaller id.
+
+    Each query row scores the item matrix block by block and keeps k rows, so neither pairs of
+    interests and items nor unseen items leave a task. A matrix of at most MATRIX numbers is
+    broadcast, and the queries stay where they are; a larger one is dealt to a grid of query and item
+    parts, each cell of which keeps k rows a query.
+    """
+    fields = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"{fields}, movie_id bigint, score double, label bigint"
+    narrow = queries.select(*keys, "labels", "vecs", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
+    own = items.select("movie_id", "vec")
+    size = own.agg(F.sum(F.size("vec"))).first()[0] or 0
+
+    def rows_of(pdf: pd.DataFrame, catalogue: Catalogue) -> pd.DataFrame:
+        out = [(q, *r) for q, found in catalogue.best(pdf["labels"].tolist(), pdf["vecs"].tolist(), pdf["seen"].tolist(), k) for r in found]
+        at = pdf.iloc[[r[0] for r in out]]
+        return pd.DataFrame({**{c: at[c].to_numpy() for c in keys}, **{name: [r[n] for r in out] for n, name in enumerate(("movie_id", "score", "label"), 1)}})
+
+    if size <= MATRIX:
+        shared = queries.sparkSession.sparkContext.broadcast(Catalogue.of(*(c for _, c in own.toPandas().items())))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield rows_of(pdf, shared.value)
+
+        found = narrow.mapInPandas(run, schema)
+    else:
+        across = -(-size // MATRIX)
+        down = max(1, -(-narrow.count() // QUERIES))
+        cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+        left = narrow.withColumns({"_q": F.pmod(F.xxhash64(*keys), F.lit(int(down))), "_i": cells(across)})
+        right = own.withColumns({"_i": F.pmod(F.xxhash64("movie_id"), F.lit(int(across))).cast("int"), "_q": cells(down)})
+        left, right = left.withColumn("_q", F.col("_q").cast("int")), right.withColumn("_q", F.col("_q").cast("int"))
+        cell = lambda a, b: rows_of(a, Catalogue.of(b["movie_id"], b["vec"]))
+        found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "movie_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+#: Queries of one part of the grid.
+QUERIES = 50_000
 
 
 def skip_reason(n: Column, sound: Column) -> Column:

@@ -83,16 +83,17 @@ def sample_windows(spark, d):
 
 @query(
     "win6_shifted",
-    f"""{Z}, s AS (SELECT user_id, list(movie_id ORDER BY ts_s, movie_id, event_id)[1:8] AS items FROM positives GROUP BY user_id HAVING count(*) >= 3)
-    SELECT user_id, array_to_string(list_concat([0 for x in range(12 - (len(items) - 1))], items[1 : len(items) - 1]), ',') AS input,
+    f"""{Z}, q AS (SELECT user_id, list(movie_id ORDER BY ts_s, movie_id, event_id) AS items, count(*) AS n FROM positives GROUP BY user_id),
+    w AS (SELECT user_id, items, unnest(CASE WHEN n <= 11 THEN [0] ELSE range(0, n - 10, 5) END) AS start FROM q WHERE n >= 3),
+    s AS (SELECT user_id, CAST(start AS BIGINT) AS start, items[start + 1 : start + 11] AS items FROM w)
+    SELECT user_id, start, array_to_string(list_concat([0 for x in range(12 - (len(items) - 1))], items[1 : len(items) - 1]), ',') AS input,
            array_to_string(list_concat([0 for x in range(12 - (len(items) - 1))], items[2 : len(items)]), ',') AS label FROM s""",
 )
 def shifted(spark, d):
     """WIN-6, ARR-5: inputs and labels one item apart, padded on the left."""
-    p = sq.positives(ad.ratings(spark, d)).where("event_idx < 8")
-    s = p.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*sq.BY_EVENT))), lambda x: x["movie_id"]).alias("items")).where(F.size("items") >= 3)
+    s = sq.sample_windows(sq.positives(ad.ratings(spark, d)), 10, 5)
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return sq.shifted(s, 12).select("user_id", text("input"), text("label"))
+    return sq.shifted(s, 12).select("user_id", "start", text("input"), text("label"))
 
 
 @query(
@@ -217,16 +218,16 @@ ranked AS (
   FROM scores s WHERE NOT EXISTS (SELECT 1 FROM positives p WHERE p.user_id = s.user_id AND p.movie_id = s.movie_id))"""
 
 
-def recommendations(spark, d, k=5):
-    m = members(spark, d)
-    scores = it.max_interest_scores(it.centroids(m, "user_id", "label", least=3), ad.items(spark, d))
-    # scores are compared to nine digits, so that ties do not hang on the order of a sum
-    return it.top_k(scores.withColumn("score", even(F.col("score"), 9)), sq.positives(ad.ratings(spark, d)), k)
+def recommendations(spark, d, k=5, seen=True):
+    """The k best items of each user; scores are compared to nine digits, so that ties do not hang on the order of a sum."""
+    p = sq.positives(ad.ratings(spark, d))
+    c = it.centroids(members(spark, d), "user_id", "label", least=3)
+    return it.best_items(it.user_queries(c, p.select("user_id", "movie_id").where(F.lit(seen))), ad.items(spark, d), k, "user_id")
 
 
 @query("top_max_interest", f"WITH {SCORES} SELECT user_id, movie_id, {e6('round_even(score * 1e9, 0) / 1e9')} AS score, rank FROM ranked WHERE rank <= 5")
 def top_max_interest(spark, d):
-    """REC-1, TOP-1, TOP-2, JOIN-16, WIN-11, FLT-14, MTH-4: the best unseen items by a user's best interest."""
+    """REC-1: the best unseen items by a user's best interest."""
     return recommendations(spark, d).select("user_id", "movie_id", even(F.col("score")).alias("score"), "rank")
 
 
@@ -256,11 +257,8 @@ def skip_reasons(spark, d):
 )
 def ranking_quality(spark, d):
     """AGG-38: recall and NDCG at 10 with the last positive as the relevant item."""
-    m = members(spark, d)
-    s = it.max_interest_scores(it.centroids(m, "user_id", "label", least=3), ad.items(spark, d)).withColumn("score", even(F.col("score"), 9))
-    none = s.limit(0).select("user_id", "movie_id")
     last = sq.positives(ad.ratings(spark, d)).groupBy("user_id").agg(F.max_by("movie_id", "event_idx").alias("movie_id"))
-    q = it.ranking_quality(it.top_k(s, none, 10), last, 10)
+    q = it.ranking_quality(recommendations(spark, d, 10, seen=False), last, 10)
     return q.select("users", even(F.col("recall")).alias("recall"), even(F.col("ndcg")).alias("ndcg"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import even
 from ..operators import clustering as cg
+from ..operators import interests as it
 from ..registry import RATINGS, query
 from ..session import scratch
 from ..sources import adapters as ad
@@ -33,22 +34,33 @@ def sliding_k(spark, d):
 
 
 LOG = RATINGS + """,
-o AS (SELECT user_id FROM ratings GROUP BY user_id ORDER BY min(event_id) LIMIT 40),
 log AS (
-  SELECT row_number() OVER (ORDER BY ts_s, user_id, movie_id, event_id) - 1 AS replay_order, event_id, user_id, movie_id, rating, ts_s
-  FROM ratings WHERE ts_s BETWEEN 1704300000 AND 1706000000 AND user_id IN (SELECT user_id FROM o))"""
+  SELECT row_number() OVER (ORDER BY ts_s, user_id, movie_id, event_id) - 1 AS replay_order,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts_s, movie_id, event_id) - 1 AS user_seq, event_id, user_id, movie_id, rating, ts_s
+  FROM ratings)"""
 
 
 def log(spark, d):
-    return replay.event_log(ad.ratings(spark, d), 1704300000, 1706000000, users=40)
+    """The replay log of the whole table."""
+    return replay.event_log(ad.ratings(spark, d), float("-inf"), float("inf"))
+
+
+def known_items(spark, d):
+    return ad.items(spark, d).where(ad.known())
 
 
 @query("stm1_event_log", f"WITH {LOG} SELECT * FROM log")
 def event_log(spark, d):
-    """STM-1, SRT-1, SRT-2: the replay log, densely numbered over the whole table."""
+    """STM-1: the replay log, densely numbered over the whole table and by user."""
     return log(spark, d).drop("rated_at")
 
 
+@query("stm1_ranged_log", f"WITH {RATINGS} SELECT row_number() OVER (ORDER BY ts_s, user_id, movie_id, event_id) - 1 AS replay_order, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_s, movie_id, event_id) - 1 AS user_seq FROM ratings WHERE ts_s BETWEEN 1704300000 AND 1706000000")
+def ranged_log(spark, d):
+    """FLT-5, SRT-1: a log of an inclusive time range; its numbers are dense again."""
+    return replay.event_log(ad.ratings(spark, d), 1704300000, 1706000000).select("replay_order", "event_id", "user_seq")
+
+
 CLOCK = LOG + """,
 due AS (SELECT *, (ts_s - min(ts_s) OVER ()) / 5000.0 AS due_s FROM log),
 clock AS (
@@ -57,53 +69,210 @@ clock AS (
 
 @query("stm2_trace_clock", f"WITH {CLOCK} SELECT replay_order, {e6('due_s')} AS due_s, {e6('emitted_s')} AS emitted_s, emitted_s - due_s > 0.001 AS behind FROM clock")
 def trace_clock(spark, d):
-    """STM-2, STM-3, DAT-7: when events are due and emitted at 5000 times the speed."""
+    """STM-2: when events are due and emitted at 5000 times the speed."""
     c = replay.scheduled(log(spark, d), 5000.0, 0.15)
     return c.select("replay_order", even(F.col("due_s")).alias("due_s"), even(F.col("emitted_s")).alias("emitted_s"), "behind")
 
 
+@query("stm3_ingress", f"WITH {CLOCK} SELECT event_id AS key, replay_order AS seq, {e6('emitted_s - due_s')} AS lag_s, emitted_s - due_s > 0.001 AS behind FROM clock")
+def ingress(spark, d):
+    """STM-3: ingress records as upserts by event: of a record that is sent twice the later stays."""
+    c = replay.scheduled(log(spark, d), 5000.0, 0.15)
+    rows = c.select(F.col("event_id").alias("key"), F.col("replay_order").alias("seq"), even(F.col("lag_s")).alias("lag_s"), "behind")
+    stale = rows.withColumns({"seq": F.col("seq") - 1, "lag_s": F.lit(-1.0), "behind": F.lit(None).cast("boolean")})
+    return store.upsert(rows.unionByName(stale), ["key"], "seq", ["lag_s", "behind"])
+
+
+@query("dat7_due", f"WITH {CLOCK} SELECT event_id, {e6('due_s')} AS due_s FROM clock")
+def due_times(spark, d):
+    """DAT-7: scheduled = (ts - first ts) / speed."""
+    return replay.scheduled(log(spark, d), 5000.0, 0.15).select("event_id", even(F.col("due_s")).alias("due_s"))
+
+
+@query("stm16_progress", f"WITH {CLOCK} SELECT replay_order // 1000 AS batch, count(*) AS events, {e6('max(emitted_s)')} AS done_s, {e6('max(emitted_s - due_s)')} AS max_lag_s FROM clock GROUP BY ALL")
+def progress(spark, d):
+    """STM-16: events, time and lag of every thousand events."""
+    c = replay.scheduled(log(spark, d), 5000.0, 0.15)
+    return c.groupBy(F.floor(F.col("replay_order") / 1000).alias("batch")).agg(F.count("*").alias("events"), even(F.max("emitted_s")).alias("done_s"), even(F.max("lag_s")).alias("max_lag_s"))
+
+
 @query("stm17_run_summary", f"WITH {CLOCK} SELECT count(*) AS events, {e6('count(*) * 5000.0 / 1700000.0')} AS target_eps, {e6('count(*) / max(emitted_s)')} AS actual_eps, {e6('avg(emitted_s - due_s)')} AS mean_lag_s, {e6('max(emitted_s - due_s)')} AS max_lag_s, count(*) FILTER (emitted_s - due_s > 0.001) AS behind FROM clock")
 def run_summary(spark, d):
-    """STM-16, STM-17: rates and lags of a run."""
+    """STM-17: rates and lags of a run."""
     return replay.run_summary(replay.scheduled(log(spark, d), 5000.0, 0.15), 5000.0, 1700000.0)
 
 
+# What the state machine holds after each event, from all pairs of a user's events: pos are the ratings that are positive
+# then, act those of known items, with the items of their contexts.
+STATES = LOG + """,
+bars AS (SELECT *, count(*) OVER w AS n, avg(rating) OVER w AS mean, stddev_pop(rating) OVER w AS std FROM log WINDOW w AS (PARTITION BY user_id ORDER BY user_seq)),
+pos AS (
+  SELECT a.user_id, a.user_seq AS i, b.user_seq AS j, b.movie_id FROM bars a JOIN log b ON a.user_id = b.user_id AND b.user_seq <= a.user_seq
+  WHERE a.n < 3 OR a.std <= 1e-8 OR b.rating > round_even(a.mean * 1e9, 0) / 1e9 + 1e-9),
+act AS (SELECT *, list(movie_id) OVER (PARTITION BY user_id, i ORDER BY j ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c FROM pos WHERE movie_id % 10 <> 7),
+n_act AS (SELECT user_id, i, count(*) AS active FROM act GROUP BY ALL),
+moved AS (
+  SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.i, b.i + 1) AS i, count(*) FILTER (a.c IS DISTINCT FROM b.c AND a.i IS NOT NULL) AS changed, count(*) FILTER (a.i IS NULL) AS inactive
+  FROM act a FULL JOIN act b ON a.user_id = b.user_id AND a.i = b.i + 1 AND a.j = b.j GROUP BY ALL),
+own AS (
+  SELECT l.user_id, l.event_id, l.user_seq AS i, coalesce(changed, 0) AS changed, coalesce(inactive, 0) AS inactive, coalesce(active, 0) AS active,
+         EXISTS (SELECT 1 FROM act WHERE act.user_id = l.user_id AND act.i = l.user_seq AND act.j = l.user_seq) AS on_,
+         EXISTS (SELECT 1 FROM pos WHERE pos.user_id = l.user_id AND pos.i = l.user_seq AND pos.j = l.user_seq) AS liked
+  FROM log l LEFT JOIN moved ON moved.user_id = l.user_id AND moved.i = l.user_seq LEFT JOIN n_act ON n_act.user_id = l.user_id AND n_act.i = l.user_seq)"""
+# A forced refit at each tenth event is tried until five rows are active.
+REFITS = STATES + """,
+tries AS (
+  SELECT *, CASE WHEN i >= 9 THEN i - (i + 1) % 10 END AS since, active >= 5 AS enough FROM own),
+told AS (
+  SELECT t.*, NOT EXISTS (SELECT 1 FROM tries e WHERE e.user_id = t.user_id AND e.i >= t.since AND e.i < t.i AND e.enough) AND t.since IS NOT NULL AS tried FROM tries t),
+outcomes AS (SELECT *, CASE WHEN tried AND enough THEN 'closed' WHEN tried THEN 'skipped' END AS refit FROM told)"""
+NEVER = 10**12
+FORCED = {"refit_min": 5, "pending_trigger": NEVER, "assign_trigger": NEVER, "outlier_trigger": NEVER, "forced_every": 10}
+
+
+def only_forced(**more) -> state.Options:
+    """A refit at every tenth event of a user, the usual triggers out of reach."""
+    return state.Options(**(FORCED | more))
+
+
+@query("stm4_states", f"WITH {STATES} SELECT event_id, CASE WHEN on_ THEN 'pending_no_interest' WHEN liked THEN 'unknown_item' ELSE 'not_positive' END AS status, active FROM own")
+def states(spark, d):
+    """STM-4: each event appended to its user's state, which is judged anew; without refits every known positive waits."""
+    o = state.Options(refit_min=NEVER, assign_trigger=NEVER, outlier_trigger=NEVER)
+    return state.fold_batch(log(spark, d), known_items(spark, d), o).select("event_id", "status", "active")
+
+
+@query("stm7_changed_rows", f"WITH {STATES} SELECT event_id, changed, inactive, active FROM own")
+def changed_rows(spark, d):
+    """STM-7: only rows whose context changed are embedded again; rows that cease to be positive leave."""
+    return state.fold_batch(log(spark, d), known_items(spark, d), OPTIONS).select("event_id", "changed", "inactive", "active")
+
+
 @query("stm9_fold_batch")
 def fold_batch(spark, d):
-    """STM-4, STM-7 to STM-12, STM-15: every user's events through the state machine, as a batch."""
-    return state.fold_batch(log(spark, d), ad.items(spark, d).where(ad.known()), OPTIONS)
+    """STM-9: every user's events through the state machine, as a batch."""
+    return state.fold_batch(log(spark, d), known_items(spark, d), OPTIONS).drop("vecs", "seen")
 
 
-@query("stm22_fold_stream")
-def fold_stream(spark, d):
-    """STM-22, STM-14, STO-14: the same from a file stream with state by user, in four micro-batches."""
-    base = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    replay.write_log(log(spark, d), f"{base}/log", 4)
-    events = replay.read_log_stream(spark, f"{base}/log")
-    return replay.run_stream(state.fold_stream(events, ad.items(spark, d).where(ad.known()), OPTIONS), f"{base}/out", f"{base}/checkpoint")
+PENDING = STATES + """,
+met AS (SELECT user_id, j, min(i) AS i FROM act GROUP BY ALL),
+waiting AS (SELECT o.user_id, o.event_id, o.i, o.active, (SELECT count(*) FROM met WHERE met.user_id = o.user_id AND met.i <= o.i) AS pending FROM own o)"""
 
 
-@query("stm6_seed_states")
-def seed_states(spark, d):
-    """STM-5, STM-6, JOIN-19: states at a cutoff, from which a stream can start."""
-    s = state.seed_states(log(spark, d), ad.items(spark, d).where(ad.known()), 1705000000.0, OPTIONS)
-    return s.select("user_id", (F.length("state") > 0).alias("stored"))
+@query("stm10_pending", f"WITH {PENDING} SELECT event_id, pending FROM waiting")
+def waiting(spark, d):
+    """STM-10: the counter behind the pending trigger: rows that wait, also those that have become inactive."""
+    o = state.Options(refit_min=NEVER, assign_trigger=NEVER, outlier_trigger=NEVER)
+    return state.fold_batch(log(spark, d), known_items(spark, d), o).select("event_id", "pending")
 
 
-@query("stm11_forced_refits")
+@query("stm12_first_refits", f"WITH {PENDING} SELECT user_id, arg_min(event_id, i) AS event_id FROM waiting WHERE pending >= 5 AND active >= 5 GROUP BY user_id")
+def first_refits(spark, d):
+    """STM-12: the refit that five pending rows ask for, put off while too few rows are active."""
+    out = state.fold_batch(log(spark, d), known_items(spark, d), OPTIONS).where("refit = 'closed'")
+    order = log(spark, d).select("event_id", "replay_order")
+    return out.join(order, "event_id").groupBy("user_id").agg(F.min_by("event_id", "replay_order").alias("event_id"))
+
+
+@query("stm11_forced_refits", f"WITH {REFITS} SELECT user_id, refit, count(*) AS n FROM outcomes WHERE refit IS NOT NULL GROUP BY ALL")
 def forced_refits(spark, d):
     """STM-11: a refit at every tenth event of a user, the usual triggers out of reach."""
-    never = 10**12
-    o = state.Options(refit_min=5, assign_trigger=never, outlier_trigger=never, forced_every=10)
-    out = state.fold_batch(log(spark, d), ad.items(spark, d).where(ad.known()), o)
+    out = state.fold_batch(log(spark, d), known_items(spark, d), only_forced())
     return out.where("refit is not null").groupBy("user_id", "refit").agg(F.count("*").alias("n"))
 
 
-@query("stm23_duplicates", f"WITH {LOG} SELECT event_id, 2 AS n FROM log WHERE event_id % 10 = 0")
+@query("clu8_refit_reset", f"WITH {REFITS}, c AS (SELECT *, max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS last FROM outcomes) SELECT event_id, CASE WHEN last IS NULL THEN 0 ELSE 1 END AS interests, refit FROM c")
+def refit_reset(spark, d):
+    """CLU-8: a refit in which all rows are noise leaves one interest, the mean of all."""
+    out = state.fold_batch(log(spark, d), known_items(spark, d), only_forced(min_cluster=NEVER))
+    return out.select("event_id", "interests", "refit")
+
+
+@query("stm15_projected", f"WITH {REFITS}, c AS (SELECT *, max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS last FROM outcomes) SELECT event_id, CASE WHEN NOT on_ THEN 'not_projected' WHEN coalesce(last < i, false) OR coalesce((SELECT max(e.i) FROM c e WHERE e.user_id = c.user_id AND e.refit = 'closed' AND e.i < c.i) >= 0, false) THEN 'projected' ELSE 'not_projected' END AS outcome FROM c")
+def projected_rows(spark, d):
+    """STM-15: an assigned row is drawn with the reducer of the last refit; others, and rows before a refit, are not."""
+    out = state.fold_batch(log(spark, d), known_items(spark, d), only_forced(min_cluster=NEVER, threshold=-1.0))
+    return out.select("event_id", F.when(F.col("point").isNotNull(), "projected").otherwise("not_projected").alias("outcome"))
+
+
+AFTER = REFITS + """,
+c AS (SELECT user_id, event_id, i, max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS last FROM outcomes),
+vecs AS (SELECT vec_id AS movie_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),
+cells AS (SELECT a.user_id, a.i, p, avg(x) AS x FROM act a JOIN (SELECT DISTINCT user_id, last AS i FROM c WHERE last IS NOT NULL) r USING (user_id, i) JOIN vecs USING (movie_id) GROUP BY ALL),
+dots AS (SELECT user_id, i AS last, v.movie_id, round_even(sum(cells.x * v.x) * 1e9, 0) / 1e9 AS score FROM cells JOIN vecs v USING (p) GROUP BY ALL),
+ranked AS (
+  SELECT event_id, d.movie_id, score, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, d.movie_id) AS rank
+  FROM c JOIN dots d ON c.user_id = d.user_id AND c.last = d.last
+  WHERE NOT EXISTS (SELECT 1 FROM pos WHERE pos.user_id = c.user_id AND pos.i = c.i AND pos.movie_id = d.movie_id))"""
+
+
+def after_events(records, items, k):
+    """The k best unseen items after each event, by the interests that it left."""
+    labels = F.transform("vecs", lambda v, i: i.cast("bigint"))
+    asked = records.where("size(vecs) > 0").select("user_id", "event_id", labels.alias("labels"), "vecs", "seen")
+    return it.best_items(asked, items, k, "user_id", "event_id")
+
+
+@query("stm14_after_event", f"WITH {AFTER} SELECT event_id, movie_id, {e6('score')} AS score, rank FROM ranked WHERE rank <= 3")
+def recommended_after(spark, d):
+    """STM-14: recommendations after every event, from the state as it is then: interests of the last refit, positives seen."""
+    o = only_forced(length=1, min_cluster=NEVER, recommend=True)
+    out = after_events(state.fold_batch(log(spark, d), known_items(spark, d), o), ad.items(spark, d), 3)
+    return out.select("event_id", "movie_id", even(F.col("score")).alias("score"), "rank")
+
+
+def streamed(spark, events, items, o, files=4, seed=None):
+    """What the fold makes of a log read as a stream, in files micro-batches."""
+    base = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    replay.write_log(events, f"{base}/log", files)
+    return replay.run_stream(state.fold_stream(replay.read_log_stream(spark, f"{base}/log"), items, o, seed), f"{base}/out", f"{base}/checkpoint")
+
+
+@query("stm22_fold_stream", f"WITH {STATES} SELECT event_id, changed, inactive, active FROM own")
+def fold_stream(spark, d):
+    """STM-22, STO-14: the same from a file stream with state by user, in whatever order its files come."""
+    return streamed(spark, log(spark, d), known_items(spark, d), OPTIONS).select("event_id", "changed", "inactive", "active")
+
+
+@query("stm6_seed_states", f"WITH {STATES}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM own JOIN log USING (user_id, event_id) WHERE ts_s < 1705000000) SELECT user_id, i + 1 AS ratings, active, CASE WHEN active > 0 THEN true ELSE false END AS fitted FROM l WHERE r = 1")
+def seed_states(spark, d):
+    """STM-6: states at an exclusive cutoff, from which a stream can start."""
+    s = state.seed_states(log(spark, d), known_items(spark, d), 1705000000.0, OPTIONS)
+    return s.select("user_id", "ratings", "active", (F.col("interests") > 0).alias("fitted"))
+
+
+@query("stm5_states_from_history", f"WITH {STATES} SELECT event_id, active FROM own JOIN log USING (user_id, event_id) WHERE ts_s >= 1705000000")
+def seeded_stream(spark, d):
+    """STM-5: a stream that starts from states built of the history before a cutoff."""
+    items, events = known_items(spark, d), log(spark, d)
+    seed = state.seed_states(events, items, 1705000000.0, OPTIONS).select("user_id", "state")
+    later = replay.event_log(ad.ratings(spark, d).where("ts_s >= 1705000000"), float("-inf"), float("inf"))
+    return streamed(spark, later, items, OPTIONS, seed=seed).select("event_id", "active")
+
+
+SOURCES = LOG + """,
+src AS (
+  SELECT user_id, 1 AS place, 'run' AS origin, max(event_id) AS version FROM log WHERE event_id % 3 = 0 AND user_id % 2 = 0 GROUP BY user_id
+  UNION ALL SELECT user_id, 2, 'seed', max(event_id) FROM log WHERE event_id % 5 = 0 AND user_id % 3 > 0 GROUP BY user_id
+  UNION ALL SELECT user_id, 3, 'file', min(event_id) FROM log GROUP BY user_id)"""
+
+
+@query("join19_state_sources", f"WITH {SOURCES} SELECT user_id, arg_min(origin, place) AS origin, arg_min(version, place) AS version FROM src GROUP BY user_id")
+def state_sources(spark, d):
+    """JOIN-19: a user's state from the run's store, else the seed's, else the file."""
+    e = log(spark, d)
+    of = lambda rows, v: rows.groupBy("user_id").agg(v.alias("version"))
+    run = of(e.where("event_id % 3 = 0 and user_id % 2 = 0"), F.max("event_id"))
+    seed = of(e.where("event_id % 5 = 0 and user_id % 3 > 0"), F.max("event_id"))
+    return store.first_of({"run": run, "seed": seed, "file": of(e, F.min("event_id"))}, "user_id", ["version"])
+
+
+@query("stm23_duplicates", f"WITH {LOG} SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END AS records, CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS duplicates FROM log")
 def duplicates(spark, d):
-    """STM-23: events that come twice; the second does not count."""
+    """STM-23: events that come twice; the second is told as a duplicate and changes nothing."""
     e = log(spark, d)
-    return e.unionByName(e.where("event_id % 10 = 0")).groupBy("event_id").agg(F.count("*").cast("int").alias("n")).where("n > 1")
+    out = state.fold_batch(e.unionByName(e.where("event_id % 10 = 0")), known_items(spark, d), OPTIONS)
+    return out.groupBy("event_id").agg(F.count("*").alias("records"), F.count_if(F.col("status") == "duplicate").alias("duplicates"))
 
 
 # A log of changes: each event upserts a row of its movie.

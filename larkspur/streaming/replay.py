@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import even, iso
 from ..operators.sequences import numbered
 
-EVENT = "replay_order bigint, event_id bigint, user_id bigint, movie_id bigint, rating double, rated_at string, ts_s double"
+EVENT = "replay_order bigint, user_seq bigint, event_id bigint, user_id bigint, movie_id bigint, rating double, rated_at string, ts_s double"
 
 
 def event_log(ratings: DataFrame, first_s: float, last_s: float, users: int | None = None, most: int | None = None) -> DataFrame:
     """The replay log: users admitted before the time range is applied, both ends inclusive, ordered by
-    (ts, user, movie, event) and numbered densely from 0; event ids keep their gaps."""
+    (ts, user, movie, event) and numbered densely from 0, over all and by user (user_seq); event ids keep their gaps."""
     if users is not None:
         first = ratings.groupBy("user_id").agg(F.min("event_id").alias("_first")).orderBy("_first").limit(users)
         ratings = ratings.join(first, "user_id", "left_semi")
     rows = ratings.where(F.col("ts_s").between(first_s, last_s))
     log = numbered(rows.select("event_id", "user_id", "movie_id", "rating", "ts_s"), ["ts_s", "user_id", "movie_id", "event_id"], "replay_order", start=0)
     log = log.where(F.col("replay_order") < most) if most is not None else log
+    by_user = Window.partitionBy("user_id").orderBy("replay_order")
+    log = log.withColumn("user_seq", F.row_number().over(by_user).cast("bigint") - 1)
     return log.withColumn("rated_at", iso(F.floor("ts_s").cast("bigint"))).select(*(c.split()[0] for c in EVENT.split(", ")))
 
 
 def write_log(log: DataFrame, path: str, files: int) -> None:
-    """The log as JSON lines in files of consecutive events, one micro-batch each."""
+    """The log as JSON lines in files of consecutive events, one micro-batch each.
+
+    The files are written side by side, so a stream may read them in any order; user_seq tells it
+    what to wait for.
+    """
     log.repartitionByRange(files, "replay_order").sortWithinPartitions("replay_order").write.mode("overwrite").json(path)
 
 
@@ -41,8 +47,6 @@ def scheduled(log: DataFrame, speed: float, service_s: float) -> DataFrame:
     """
     if speed <= 0:
         raise ValueError("speed must be positive")
-    from pyspark.sql import Window
-
     start = log.agg(F.min("ts_s")).first()[0]
     due = (F.col("ts_s") - F.lit(start)) / speed
     base = log.withColumn("due_s", due).withColumn("_lead", F.col("due_s") - F.col("replay_order") * service_s)

@@ -1,43 +1,80 @@
 """The state machine of one user: ratings in, positives, embeddings, assignments and refits out.
 
-The same fold runs over a batch (one group for each user) and over a stream (state by user). All that
-it needs between events is in UserState, which is kept as bytes.
+The same fold runs over a batch (rows in order of user and place) and over a stream (state by user).
+All that it needs between events is in UserState, which is kept as bytes. Every event brings the
+vector of its own item, so the catalogue is joined, not collected.
+
+Each event has a place in its user's log (user_seq). An event that comes before its predecessors
+waits in the state until they have come, so the records of a stream do not depend on the order in
+which its files are read. An event whose place has been taken is a duplicate and changes nothing.
+
+What an event changes is found from sorted lists: the ratings between the old and the new mean turn
+positive or cease to be, and only contexts within reach of such a row are embedded again.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.clustering import cluster
+from ..operators.clustering import cluster, pca, project
+
+
+def recency_mean(items: np.ndarray) -> np.ndarray:
+    """The default encoder: a mean of the context's item vectors, each weighing 0.8 of the next."""
+    w = 0.8 ** np.arange(len(items) - 1, -1, -1)
+    return (items * w[:, None]).sum(axis=0) / w.sum()
 
 
 @dataclass(frozen=True)
 class Options:
-    """Thresholds of the state machine."""
+    """Thresholds of the state machine, and its encoder of a context's item vectors."""
 
     length: int = 10
     threshold: float = 0.2
+    #: Active rows that a refit needs, and rows that must wait for one to be asked for (the same unless given).
     refit_min: int = 20
+    pending_trigger: int | None = None
     assign_trigger: int = 50
     outlier_trigger: int = 10
     min_cluster: int = 3
     forced_every: int | None = None
+    encode: Callable[[np.ndarray], np.ndarray] = recency_mean
+    #: Whether records carry the interests and the seen items, for recommendations after the event.
+    recommend: bool = False
+
+    @property
+    def waiting(self) -> int:
+        return self.refit_min if self.pending_trigger is None else self.pending_trigger
+
+
+Key = tuple[float, int, int]  # ts, movie, raw id
+SMALL = Fraction(1, 10**16)  # a variance up to this is no spread
 
 
 @dataclass
 class UserState:
-    raws: list[tuple[float, int, int, float]] = field(default_factory=list)  # ts, movie, raw id, rating
+    ratings: list[tuple[float, float, int, int]] = field(default_factory=list)  # rating and key, sorted
+    ids: set[int] = field(default_factory=set)
+    total: Fraction = Fraction(0)
+    squares: Fraction = Fraction(0)
+    items: dict[int, np.ndarray] = field(default_factory=dict)  # vectors of the known items met so far
+    liked: dict[int, int] = field(default_factory=dict)  # movie -> its positive events, unknown items too
+    active: list[Key] = field(default_factory=list)  # known positives, sorted
     contexts: dict[int, tuple] = field(default_factory=dict)  # active raw id -> its context
     vectors: dict[int, np.ndarray] = field(default_factory=dict)
     interests: list[np.ndarray] = field(default_factory=list)
     counts: list[int] = field(default_factory=list)
+    reducer: tuple[np.ndarray, np.ndarray] | None = None
     pending: set[int] = field(default_factory=set)
     processed: set[int] = field(default_factory=set)
     assigned: int = 0
@@ -46,37 +83,81 @@ class UserState:
     open: bool = False
     reasons: set[str] = field(default_factory=set)
     version: int = 0
+    next: int = 0  # place of the event that comes next
+    held: dict[int, tuple] = field(default_factory=dict)  # events that wait, by place
 
+    def bar(self) -> float | None:
+        """The mean that a positive rating exceeds; None while all are positive (few, or no spread).
 
-def recency_mean(items: np.ndarray) -> np.ndarray:
-    """The default encoder: a mean of the context's item vectors, each weighing 0.8 of the next."""
-    w = 0.8 ** np.arange(len(items) - 1, -1, -1)
-    return (items * w[:, None]).sum(axis=0) / w.sum()
-
+        Ratings count as the decimals that they are written as, so one that equals the mean does not exceed it.
+        """
+        n = len(self.ratings)
+        if n < 3 or self.squares * n - self.total**2 <= SMALL * n * n:
+            return None
+        return float(self.total / n)
 
-def positives(raws: list[tuple[float, int, int, float]]) -> list[tuple[float, int, int, float]]:
-    """The online policy over all ratings so far, in order of (ts, movie, raw id)."""
-    r = np.array([x[3] for x in raws])
-    if len(r) < 3 or r.std() <= 1e-8:
-        return raws
-    z = (r - r.mean()) / (r.std() + 1e-8)
-    return [x for x, ok in zip(raws, z > 0, strict=True) if ok]
 
+def insert(state: UserState, event: tuple, o: Options) -> tuple[bool, list[Key], list[int]]:
+    """Add a rating (ts, movie, raw id, rating, item vector or None).
 
-def reembed(state: UserState, items: dict[int, np.ndarray], o: Options) -> tuple[list[int], list[int]]:
-    """(changed, inactive) raw ids after a change of the ratings; vectors of changed contexts only."""
-    known = [x for x in positives(state.raws) if x[1] in items]
-    contexts = {}
-    for i, x in enumerate(known):
-        contexts[x[2]] = (x[0], *(y[1] for y in known[max(0, i - o.length + 1) : i + 1]))
-    changed = [k for k, c in contexts.items() if state.contexts.get(k) != c]
-    inactive = [k for k in state.contexts if k not in contexts]
-    for k in inactive:
-        state.vectors.pop(k)
-    for k in changed:
-        state.vectors[k] = recency_mean(np.stack([items[m] for m in contexts[k][1:]]))
-    state.contexts = contexts
-    return changed, inactive
+    Returns whether it is positive, the rows whose context changed, and the raw ids that left.
+    """
+    ts, movie, raw, rating, vec = event
+    before = state.bar()
+    exact = Fraction(repr(rating))
+    state.total += exact
+    state.squares += exact * exact
+    if vec is not None:
+        state.items.setdefault(movie, np.asarray(vec, dtype=np.float64))
+    own = (rating, ts, movie, raw)
+    insort(state.ratings, own)
+    state.ids.add(raw)
+    after, every = state.bar(), state.ratings
+    # what the bar's move turns over among the ratings so far
+    rating_of = lambda x: x[0]
+    on: list[tuple] = []
+    off: list[tuple] = []
+    if before is None or after is None:
+        if (before is None) != (after is None):
+            under = every[: bisect_right(every, after if before is None else before, key=rating_of)]
+            (off if before is None else on).extend(x for x in under if x is not own)
+    elif after > before:
+        off = [x for x in every[bisect_right(every, before, key=rating_of) : bisect_right(every, after, key=rating_of)] if x is not own]
+    elif after < before:
+        on = [x for x in every[bisect_right(every, after, key=rating_of) : bisect_right(every, before, key=rating_of)] if x is not own]
+    positive = after is None or rating > after
+    if positive:
+        on.append(own)
+    touched: set[Key] = set()
+    left = []
+    for x in off:
+        key = x[1:]
+        state.liked[key[1]] -= 1
+        if not state.liked[key[1]]:
+            del state.liked[key[1]]
+        if key[1] in state.items:
+            at = bisect_left(state.active, key)
+            del state.active[at]
+            touched.update(state.active[at : at + o.length - 1])
+            state.contexts.pop(key[2])
+            state.vectors.pop(key[2])
+            left.append(key[2])
+    for x in on:
+        key = x[1:]
+        state.liked[key[1]] = state.liked.get(key[1], 0) + 1
+        if key[1] in state.items:
+            at = bisect_left(state.active, key)
+            state.active.insert(at, key)
+            touched.update(state.active[at : at + o.length])
+    gone, changed = set(left), []
+    for key in sorted(k for k in touched if k[2] not in gone):
+        at = bisect_left(state.active, key)
+        context = (key[0], *(k[1] for k in state.active[max(0, at - o.length + 1) : at + 1]))
+        if state.contexts.get(key[2]) != context:
+            state.contexts[key[2]] = context
+            state.vectors[key[2]] = o.encode(np.stack([state.items[m] for m in context[1:]]))
+            changed.append(key)
+    return positive, changed, left
 
 
 def assign(state: UserState, raw: int, vec: np.ndarray, o: Options) -> tuple[str, int | None, float | None]:
@@ -91,7 +172,7 @@ def assign(state: UserState, raw: int, vec: np.ndarray, o: Options) -> tuple[str
         return "skipped_processed", None, None
     if not state.interests:
         wait(False)
-        return ("pending_refit_required" if len(state.pending) >= o.refit_min else "pending_no_interest"), None, None
+        return ("pending_refit_required" if len(state.pending) >= o.waiting else "pending_no_interest"), None, None
     m = np.stack(state.interests)
     sims = m @ vec / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(vec), 1e-8)
     if not np.isfinite(sims).all():
@@ -110,7 +191,7 @@ def assign(state: UserState, raw: int, vec: np.ndarray, o: Options) -> tuple[str
 
 def triggers(state: UserState, o: Options) -> set[str]:
     out = set()
-    if len(state.pending) >= o.refit_min:
+    if len(state.pending) >= o.waiting:
         out.add("pending_events" if state.interests else "no_interest_pending_events")
     if state.assigned >= o.assign_trigger:
         out.add("assigned_since_last_refit")
@@ -121,42 +202,44 @@ def triggers(state: UserState, o: Options) -> set[str]:
 
 def refit(state: UserState, o: Options) -> str:
     """Skipped for few active rows (the reasons stay), else new interests from the clusters' means,
-    or from the mean of all rows when all are noise."""
-    active = sorted(state.vectors)
+    or from the mean of all rows when all are noise, and a new 3-d projection."""
     state.open = False
-    if len(active) < o.refit_min:
+    if len(state.active) < o.refit_min:
         state.required = True
         return "skipped"
-    x = np.stack([state.vectors[k] for k in active])
+    x = np.stack([state.vectors[k[2]] for k in state.active])
     labels = cluster(x, o.min_cluster)[0]
     names = sorted(set(labels[labels >= 0].tolist()))
     state.interests = [x[labels == k].mean(axis=0) for k in names] or [x.mean(axis=0)]
     state.counts = [int((labels == k).sum()) for k in names] or [len(x)]
-    state.pending, state.processed = set(), set(active)
+    state.reducer = pca(x, min(3, len(x)))
+    state.pending, state.processed = set(), {k[2] for k in state.active}
     state.assigned = state.outliers = 0
     state.required, state.reasons = False, set()
     return "closed"
 
 
-def step(state: UserState, event: tuple[float, int, int, float], items: dict[int, np.ndarray], o: Options) -> dict:
-    """One rating; returns the record of what it led to."""
-    ts, movie, raw, rating = event
-    if any(x[2] == raw for x in state.raws):
-        return {"event_id": raw, "status": "duplicate", "changed": 0, "inactive": 0, "assigned": 0, "outliers": 0, "pending": len(state.pending), "refit": None, "interests": len(state.interests), "version": state.version}
-    state.raws = sorted([*state.raws, (ts, movie, raw, rating)])
-    changed, inactive = reembed(state, items, o)
+def step(state: UserState, event: tuple, o: Options) -> dict:
+    """One rating in its place; returns the record of what it led to."""
+    raw = event[2]
+    if raw in state.ids:
+        return {"event_id": raw, "status": "duplicate"}
+    positive, changed, inactive = insert(state, event, o)
     state.version += 1
     seen = {"assigned": 0, "outliers": 0}
-    own = None
-    order = {x[2]: i for i, x in enumerate(state.raws)}
-    for k in sorted(changed, key=lambda k: order[k]):
-        status, _, _ = assign(state, k, state.vectors[k], o)
+    own, point = None, None
+    for key in changed:
+        status, _, _ = assign(state, key[2], state.vectors[key[2]], o)
         seen["assigned"] += status == "assigned"
         seen["outliers"] += status.startswith("outlier")
-        own = status if k == raw else own
+        if key[2] == raw:
+            own = status
+            # an assigned row is drawn with the reducer of the last refit
+            if status == "assigned" and state.reducer is not None:
+                point = project(state.vectors[raw], *state.reducer).tolist()
     state.version += bool(changed)
     reasons = triggers(state, o)
-    if o.forced_every and len(state.raws) % o.forced_every == 0:
+    if o.forced_every and len(state.ratings) % o.forced_every == 0:
         reasons.add("forced")
     state.reasons |= reasons
     state.required = bool(state.reasons)
@@ -165,69 +248,134 @@ def step(state: UserState, event: tuple[float, int, int, float], items: dict[int
         state.open = True
         outcome = refit(state, o)
         state.version += 1
-    status = own or ("not_positive" if not any(x[2] == raw for x in positives(state.raws)) else "unknown_item")
-    return {"event_id": raw, "status": status, "changed": len(changed), "inactive": len(inactive), **seen, "pending": len(state.pending), "refit": outcome, "interests": len(state.interests), "version": state.version}
+    out = {"event_id": raw, "status": own or ("unknown_item" if positive else "not_positive"), "changed": len(changed), "inactive": len(inactive), **seen}
+    out |= {"active": len(state.active), "pending": len(state.pending), "refit": outcome, "interests": len(state.interests), "version": state.version, "point": point}
+    if o.recommend:
+        out |= {"vecs": [v.tolist() for v in state.interests], "seen": sorted(state.liked)}
+    return out
 
 
-RECORD = "user_id bigint, event_id bigint, status string, changed bigint, inactive bigint, assigned bigint, outliers bigint, pending bigint, refit string, interests bigint, version bigint"
+RECORD = (
+    "user_id bigint, event_id bigint, status string, changed bigint, inactive bigint, assigned bigint, outliers bigint, active bigint, pending bigint, "
+    "refit string, interests bigint, version bigint, point array<double>, vecs array<array<double>>, seen array<bigint>"
+)
 COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+EVENT = ["user_id", "user_seq", "event_id", "movie_id", "ts_s", "rating", "vec"]
 
 
-def events_of(pdf: pd.DataFrame) -> list[tuple[float, int, int, float]]:
-    pdf = pdf.sort_values(["replay_order"])
-    return [(float(t), int(m), int(e), float(r)) for t, m, e, r in zip(pdf["ts_s"], pdf["movie_id"], pdf["event_id"], pdf["rating"], strict=True)]
+def receive(state: UserState, seq: int, event: tuple, o: Options) -> Iterator[dict]:
+    """The records that an event leads to: its own, and those of events that waited for it."""
+    if seq < state.next or seq in state.held:
+        yield {"event_id": event[2], "status": "duplicate"}
+        return
+    state.held[seq] = event
+    while state.next in state.held:
+        yield step(state, state.held.pop(state.next), o)
+        state.next += 1
 
 
-def records(user: int, state: UserState, events: list, items: dict[int, np.ndarray], o: Options) -> pd.DataFrame:
-    return pd.DataFrame([{"user_id": user, **step(state, e, items, o)} for e in events], columns=COLUMNS)
+def received(state: UserState, pdf: pd.DataFrame, o: Options) -> Iterator[dict]:
+    columns = (pdf[c] for c in ("user_seq", "ts_s", "movie_id", "event_id", "rating", "vec"))
+    for seq, t, m, e, r, v in zip(*columns, strict=True):
+        yield from receive(state, int(seq), (float(t), int(m), int(e), float(r), v), o)
 
 
-def item_vectors(items: DataFrame, most: int = 200_000) -> dict[int, np.ndarray]:
-    """The catalogue's vectors for the encoder; a catalogue beyond `most` needs an encoder of its own."""
-    n = items.count()
-    if n > most:
-        raise ValueError(f"{n} item vectors, more than {most}")
-    return {r.movie_id: np.array(r.vec) for r in items.select("movie_id", "vec").toLocalIterator()}
+def rest(state: UserState, o: Options) -> Iterator[dict]:
+    """The records of what still waits when no more will come: in order, whatever is missing between."""
+    for seq in sorted(state.held):
+        yield step(state, state.held.pop(seq), o)
+        state.next = seq + 1
 
 
-def fold_batch(events: DataFrame, items: DataFrame, o: Options) -> DataFrame:
-    """The records of all events, each user folded in one group (a user's history, not a table's)."""
-    shared = events.sparkSession.sparkContext.broadcast(item_vectors(items))
+def frame(user: int, rows: list[dict]) -> pd.DataFrame:
+    """Records as a table; what a record lacks is null."""
+    plain = ("status", "refit", "point", "vecs", "seen")
+    columns = {c: pd.Series([r.get(c) for r in rows], dtype=object if c in plain else "Int64") for c in COLUMNS[1:]}
+    return pd.DataFrame({"user_id": pd.Series([user] * len(rows), dtype="int64"), **columns})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return records(int(pdf["user_id"].iloc[0]), UserState(), events_of(pdf), shared.value, o)
 
-    return events.groupBy("user_id").applyInPandas(run, RECORD)
+def located(events: DataFrame, items: DataFrame) -> DataFrame:
+    """events with the vector of their item, null where it is unknown."""
+    return events.join(items.select("movie_id", "vec"), "movie_id", "left").select(*EVENT)
 
 
-def fold_stream(events: DataFrame, items: DataFrame, o: Options, seed: DataFrame | None = None) -> DataFrame:
-    """The same records from a stream; each micro-batch is folded in replay order on the user's state.
+def by_user(rows: DataFrame, o: Options, each: Callable[[int, UserState, list[dict]], pd.DataFrame] | None, last: Callable[[int, UserState, list[dict]], pd.DataFrame], schema: str) -> DataFrame:
+    """A fold over the rows of each user in order; a task holds one user's state at a time.
 
-    seed (user_id, state) gives states to start from, looked up when a user first appears.
+    each makes rows of the records of a batch, last of those at the end of a user.
     """
-    sc = events.sparkSession.sparkContext
-    shared = sc.broadcast(item_vectors(items))
-    seeds = sc.broadcast({r.user_id: bytes(r.state) for r in seed.toLocalIterator()} if seed is not None else {})
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        raw = held.get[0] if held.exists else seeds.value.get(user)
-        state = pickle.loads(raw) if raw else UserState()
-        out = records(user, state, events_of(pd.concat(list(batches))), shared.value, o)
-        held.update((pickle.dumps(state),))
-        yield out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, UserState()
+        for pdf in batches:
+            for name, part in pdf.groupby("user_id", sort=False):
+                if name != user:
+                    if user is not None:
+                        yield last(user, state, list(rest(state, o)))
+                    user, state = int(name), UserState()
+                records = list(received(state, part, o))
+                if each is not None:
+                    yield each(user, state, records)
+        if user is not None:
+            yield last(user, state, list(rest(state, o)))
 
-    return events.groupBy("user_id").applyInPandasWithState(run, RECORD, "state binary", "append", "NoTimeout")
+    placed = rows.where("user_id is not null").repartition("user_id").sortWithinPartitions("user_id", "user_seq", "event_id")
+    return placed.mapInPandas(run, schema)
 
 
-def seed_states(events: DataFrame, items: DataFrame, cutoff_s: float, o: Options) -> DataFrame:
-    """(user_id, state) at an exclusive cutoff: all active rows count as processed, nothing is pending."""
-    shared = events.sparkSession.sparkContext.broadcast(item_vectors(items))
+def fold_batch(events: DataFrame, items: DataFrame, o: Options) -> DataFrame:
+    """The records of all events; each user's are folded in order of place, a batch of rows at a time."""
+    records = lambda user, _, rows: frame(user, rows)
+    return by_user(located(events, items), o, records, records, RECORD)
+
+
+class Fold(StatefulProcessor):
+    """The fold as a stateful operator; the state is one value of bytes by user."""
+
+    def __init__(self, o: Options):
+        self.o = o
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("state", "state binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = pickle.loads(self.state.get()[0]) if self.state.exists() else UserState()
+        out = [r for pdf in rows for r in received(state, pdf, self.o)]
+        self.state.update((pickle.dumps(state),))
+        yield frame(int(key[0]), out)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = UserState(raws=sorted(events_of(pdf)))
-        reembed(state, shared.value, o)
-        refit(state, Options(**{**o.__dict__, "refit_min": 1})) if state.vectors else None
-        return pd.DataFrame({"user_id": [int(pdf["user_id"].iloc[0])], "state": [pickle.dumps(state)]})
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.state.update((bytes(initialState["state"].iloc[0]),))
 
-    return events.where(F.col("ts_s") < cutoff_s).groupBy("user_id").applyInPandas(run, "user_id bigint, state binary")
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(events: DataFrame, items: DataFrame, o: Options, seed: DataFrame | None = None) -> DataFrame:
+    """The same records from a stream, in whatever order the events come.
+
+    seed (user_id, state) gives states to start from; it becomes the initial state of the operator.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    start = None if seed is None else seed.groupBy("user_id")
+    return located(events, items).groupBy("user_id").transformWithStateInPandas(Fold(o), RECORD, "Append", "None", initialState=start)
+
+
+def seed_states(events: DataFrame, items: DataFrame, cutoff_s: float, o: Options) -> DataFrame:
+    """(user_id, ratings, active, interests, state) at an exclusive cutoff: all active rows count as processed,
+    nothing is pending, and the places of the log to come begin at 0."""
+    quiet = Options(**{**o.__dict__, "refit_min": 10**12, "assign_trigger": 10**12, "outlier_trigger": 10**12, "forced_every": None, "recommend": False})
+    schema = "user_id bigint, ratings bigint, active bigint, interests bigint, state binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    w = Window.partitionBy("user_id").orderBy("ts_s", "movie_id", "event_id")
+    before = events.where(F.col("ts_s") < cutoff_s).withColumn("user_seq", F.row_number().over(w) - 1)
+
+    def finish(user: int, state: UserState, _: list[dict]) -> pd.DataFrame:
+        if state.active:
+            refit(state, Options(**{**o.__dict__, "refit_min": 1}))
+        state.pending, state.processed = set(), {k[2] for k in state.active}
+        state.reasons, state.required, state.next = set(), False, 0
+        return pd.DataFrame([(user, len(state.ratings), len(state.active), len(state.interests), pickle.dumps(state))], columns=names)
+
+    return by_user(located(before, items), quiet, None, finish, schema)

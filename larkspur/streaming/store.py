@@ -21,6 +21,16 @@ def upsert(changes: DataFrame, keys: list[str], seq: str, columns: list[str], co
     return out if coalesce else out.select(*keys, "_r.*", seq)
 
 
+def first_of(sources: dict[str, DataFrame], key: str, columns: list[str]) -> DataFrame:
+    """(key, origin, columns) of each key from the first of the sources that has it."""
+    rows = None
+    for place, (origin, df) in enumerate(sources.items()):
+        one = df.select(key, F.lit(place).alias("_place"), F.lit(origin).alias("origin"), *columns)
+        rows = one if rows is None else rows.unionByName(one)
+    found = rows.groupBy(key).agg(F.min_by(F.struct("origin", *columns), "_place").alias("_r"))
+    return found.select(key, "_r.*")
+
+
 def since_last(rows: DataFrame, key: str, seq: str, mark: Column) -> DataFrame:
     """A key's rows from its last marked one on; all rows where none is marked."""
     cuts = rows.where(mark).groupBy(key).agg(F.max(seq).alias("_cut"))

@@ -1,6 +1,7 @@
 """Rules that are easy to get wrong, on small inputs worked out by hand."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import numbers as num
 from larkspur.functions.text import genres, title_year
 from larkspur.operators import cleaning as cl
+from larkspur.operators import clustering as cg
 from larkspur.operators import history as hs
 from larkspur.operators import interests as it
 from larkspur.operators import sequences as sq
@@ -52,13 +54,44 @@ def test_positive_policies(spark, values, batch, online, seen):
 
 
 def test_retroactive_positives():
-    raws, seen = [], []
+    s, seen = state.UserState(), []
     for i, v in enumerate([4, 2, 3, 5]):
-        raws.append((float(i), i, i, float(v)))
-        seen.append([x[3] for x in state.positives(raws)])
+        state.insert(s, (float(i), i, i, float(v), [1.0]), state.Options())
+        seen.append([v for v, *_ in sorted(s.ratings, key=lambda x: x[1]) if s.bar() is None or v > s.bar()])
+        assert [k[2] for k in s.active] == [i for i in range(i + 1) if [4, 2, 3, 5][i] in seen[-1]]
     assert seen == [[4], [4, 2], [4], [4, 5]]
 
 
+def from_scratch(events, o):
+    """Positives and contexts of all events so far, computed anew."""
+    r = np.array([e[3] for e in events])
+    rows = sorted(events, key=lambda e: e[:3])
+    mean = float(sum(state.Fraction(repr(e[3])) for e in events) / len(events))
+    everyone = len(r) < 3 or r.std() <= 1e-8
+    liked = [e for e in rows if everyone or e[3] > mean]
+    known = [e for e in liked if e[4] is not None]
+    return {e[1] for e in liked}, {e[2]: (e[0], *(x[1] for x in known[max(0, i - o.length + 1) : i + 1])) for i, e in enumerate(known)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 5), st.sampled_from([1.0, 2.5, 3.0, 3.0, 0.1, 0.2, 0.3])), min_size=1, max_size=30), st.integers(1, 4))
+def test_incremental_states(events, length):
+    """After each event, late ones too: the same positives and contexts as from scratch, and exactly the changes told."""
+    o, s, past = state.Options(length=length), state.UserState(), []
+    for raw, (ts, movie, rating) in enumerate(events):
+        event = (float(ts), movie, raw, rating, None if movie == 5 else np.eye(6)[movie])
+        past.append(event)
+        before = dict(s.contexts)
+        positive, changed, left = state.insert(s, event, o)
+        liked, contexts = from_scratch(past, o)
+        assert set(s.liked) == liked and s.contexts == contexts and set(s.vectors) == set(contexts)
+        assert [k[2] for k in s.active] == sorted(contexts, key=lambda k: next(e[:3] for e in past if e[2] == k))
+        assert {k[2] for k in changed} == {k for k, c in contexts.items() if before.get(k) != c}
+        assert sorted(left) == sorted(k for k in before if k not in contexts)
+        for k, c in contexts.items():
+            assert np.allclose(s.vectors[k], state.recency_mean(np.stack([np.eye(6)[m] for m in c[1:]])))
+
+
 def test_context_skips_unknown(spark):
     rows = [(1, m, 5.0, float(i), i, i) for i, m in enumerate([0, 1, 7, 3, 4])]
     p = spark.createDataFrame(rows, "user_id bigint, movie_id bigint, rating double, ts_s double, event_id bigint, event_idx bigint")
@@ -98,7 +131,7 @@ def test_skipped_refit_reopens():
     items = {k: np.eye(4)[k] for k in range(4)}
     o = state.Options(refit_min=3, assign_trigger=99, outlier_trigger=99, forced_every=2)
     s = state.UserState()
-    out = [state.step(s, (float(i), i % 4, i, 5.0), items, o) for i in range(3)]
+    out = [state.step(s, (float(i), i % 4, i, 5.0, items[i % 4]), o) for i in range(3)]
     assert [x["refit"] for x in out] == [None, "skipped", "closed"]
 
 
@@ -106,10 +139,36 @@ def test_max_interest(spark):
     i = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 2.0])], "user_id bigint, label bigint, vec array<double>")
     v = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [1.0, 1.0])], "movie_id bigint, vec array<double>")
     seen = spark.createDataFrame([(1, 11)], "user_id bigint, movie_id bigint")
-    got = it.top_k(it.max_interest_scores(i, v), seen, 5).orderBy("rank").collect()
+    got = it.best_items(it.user_queries(i, seen), v, 5, "user_id").orderBy("rank").collect()
     assert [(r.movie_id, r.score, r.label) for r in got] == [(12, 2.0, 1), (10, 1.0, 0)]
 
 
+@pytest.mark.parametrize("matrix", [10**9, 64])
+@pytest.mark.parametrize("scores", [10**9, 40])
+def test_best_items(spark, monkeypatch, matrix, scores):
+    """Against all pairs: ties, vectors that are not finite, users without interests or unseen items, many small blocks."""
+    monkeypatch.setattr(it, "MATRIX", matrix)
+    monkeypatch.setattr(it, "SCORES", scores)
+    monkeypatch.setattr(it, "QUERIES", 3)
+    rng = np.random.default_rng(0)
+    items = {m: rng.integers(-2, 3, 4).astype(float) for m in range(40)}
+    items[7], items[8] = np.array([math.nan, 0, 0, 0]), items[9]
+    users = {u: [rng.integers(-2, 3, 4).astype(float) for _ in range(u % 4)] for u in range(12)}
+    users[5][0] = np.array([math.inf, 0, 0, 0])
+    seen = {u: set(rng.choice(40, 38 if u == 3 else 5, replace=False).tolist()) for u in range(11)}
+    i = spark.createDataFrame([(u, n, v.tolist()) for u, vs in users.items() for n, v in enumerate(vs)], "user_id bigint, label bigint, vec array<double>")
+    v = spark.createDataFrame([(m, x.tolist()) for m, x in items.items()], "movie_id bigint, vec array<double>")
+    s = spark.createDataFrame([(u, m) for u, ms in seen.items() for m in ms], "user_id bigint, movie_id bigint")
+    got = sorted((r.user_id, r["rank"], r.movie_id, r.score, r.label) for r in it.best_items(it.user_queries(i, s), v, 6, "user_id").collect())
+    want = []
+    for u, vs in users.items():
+        sound = [(n, x) for n, x in enumerate(vs) if np.isfinite(x).all()]
+        rows = [max((float(x @ y), -n) for n, x in sound) + (m,) for m, y in items.items() if sound and np.isfinite(y).all() and m not in seen.get(u, ())]
+        rows.sort(key=lambda r: (-r[0], r[2]))
+        want += [(u, k + 1, m, score, -n) for k, (score, n, m) in enumerate(rows[:6])]
+    assert got == want and len({u for u, *_ in got}) > 6
+
+
 @pytest.mark.parametrize(("values", "gini"), [([1, 1, 1, 1], 0.0), ([0, 0, 0, 4], 0.75)])
 def test_gini(spark, values, gini):
     assert stt.gini(spark.createDataFrame([(v,) for v in values], "n bigint"), "n").first()[0] == gini
@@ -148,15 +207,47 @@ def test_positional_delta_is_lossy(spark):
     assert hs.keyed_delta(f).orderBy("event_id").collect()[1].added == ["b"]
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
-    from larkspur.plans.stream import OPTIONS, log
-    from larkspur.sources import adapters as ad
-
-    events, items = log(spark, sf), ad.items(spark, sf)
-    want = sorted(map(tuple, state.fold_batch(events, items, OPTIONS).collect()), key=repr)
-    replay.write_log(events, f"{tmp_path}/log", 3)
+@pytest.mark.parametrize("order", ["forward", "backward", "mixed"])
+def test_stream_equals_batch(spark, sf, tmp_path, order):
+    """Every record of the stream is that of the batch, in whatever order the files come, and repeats change nothing."""
+    from larkspur.plans.stream import OPTIONS, known_items, log
+
+    events, items = log(spark, sf), known_items(spark, sf)
+    twice = events.unionByName(events.where("event_id % 37 = 0"))
+    want = sorted(map(tuple, state.fold_batch(twice, items, OPTIONS).collect()), key=repr)
+    replay.write_log(twice, f"{tmp_path}/log", 5)
+    files = sorted((tmp_path / "log").glob("part-*"), reverse=order == "backward")
+    if order == "mixed":
+        files = files[1::2] + files[::2]
+    for n, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + 10 * n,) * 2)
     out = replay.run_stream(state.fold_stream(replay.read_log_stream(spark, f"{tmp_path}/log"), items, OPTIONS), f"{tmp_path}/out", f"{tmp_path}/cp")
-    assert sorted(map(tuple, out.collect()), key=repr) == want
+    assert sorted(map(tuple, out.collect()), key=repr) == want and len(want) == twice.count()
+
+
+def test_events_wait_for_their_predecessors():
+    o, s = state.Options(), state.UserState()
+    event = lambda k: (float(k), k, k, float(k % 4), [1.0])
+    told = [[r["event_id"] for r in state.receive(s, k, event(k), o)] for k in (2, 1, 1, 0, 0, 4)]
+    assert told == [[], [], [1], [0, 1, 2], [0], []]
+    assert [r["event_id"] for r in state.rest(s, o)] == [4]
+
+
+def test_a_heavy_user(spark):
+    """A user with most of the rows: all come back, the history joins and the fold do not grow with their square."""
+    rng = np.random.default_rng(6)
+    n = 6000
+    users = np.where(rng.random(n) < 0.9, 1, rng.integers(2, 40, n)).tolist()
+    rows = [(u, int(m), float(r), float(k), k) for k, (u, m, r) in enumerate(zip(users, rng.integers(0, 50, n), rng.random(n), strict=True))]
+    r = spark.createDataFrame(rows, "user_id bigint, movie_id bigint, rating double, ts_s double, event_id bigint")
+    v = spark.createDataFrame([(m, rng.normal(size=8).tolist()) for m in range(45)], "movie_id bigint, vec array<double>")
+    o = state.Options(refit_min=5, assign_trigger=10**9, outlier_trigger=10**9, forced_every=1000)
+    out = state.fold_batch(replay.event_log(r, float("-inf"), float("inf")), v, o)
+    assert out.groupBy("user_id").count().orderBy("count", ascending=False).first()["count"] == users.count(1)
+    m = r.join(v, "movie_id").withColumn("event_idx", F.col("event_id"))
+    c = cg.cluster_users(m, least=3)
+    assert c.count() == m.count()
+    assert cg.cluster_users(m, least=3, stride=10).where("user_id = 1").count() == -(-m.where("user_id = 1").count() // 10)
 
 
 def test_contract(spark):
@@ -189,6 +280,46 @@ def test_clusters(rows, least):
         assert not found
 
 
+def brute_labels(x, least, quantile=0.7):
+    """The same from all pairs of rows."""
+    n = len(x)
+    if n <= max(2, least):
+        return np.full(n, -1)
+    far = np.sqrt(sum((x[:, k, None] - x[None, :, k]) ** 2 for k in range(x.shape[1])))
+    core = np.sort(far, axis=1)[:, least - 1]
+    eps = np.quantile(core, quantile)
+    dense = core <= eps
+    group = [{i} for i in range(n)]
+    for i in range(n):
+        for j in range(i):
+            if dense[i] and dense[j] and far[i, j] <= eps and group[i] is not group[j]:
+                group[i] |= group[j]
+                for k in group[j]:
+                    group[k] = group[i]
+    member = {i: min(group[i]) for i in range(n) if dense[i]}
+    for i in range(n):
+        near = [j for j in range(n) if dense[j] and far[i, j] <= eps]
+        if not dense[i] and near:
+            member[i] = min(group[min(near, key=lambda j: far[i, j])])
+    sizes = {g: list(member.values()).count(g) for g in member.values()}
+    names, out = {}, np.full(n, -1)
+    for i in sorted(member):
+        if sizes[member[i]] >= least:
+            out[i] = names.setdefault(member[i], len(names))
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_swept_clusters_equal_all_pairs(monkeypatch, block):
+    monkeypatch.setattr(cg, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        x = rng.normal(size=(int(rng.integers(3, 90)), int(rng.integers(1, 4)))) + rng.integers(0, 3, (1, 1)) * 0
+        x[: len(x) // 2] += 3
+        least = int(rng.integers(2, 6))
+        assert (density_labels(x, least) == brute_labels(x, least)).all()
+
+
 def test_two_blobs():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (30, 3)), rng.normal(5, 0.1, (30, 3))])
@@ -204,9 +335,9 @@ def test_fold_by_batches(events):
 
     items = {k: np.eye(6)[k] for k in range(5)}
     o = state.Options(refit_min=3, assign_trigger=4, outlier_trigger=2)
-    log = [(float(i), m, i, float(r)) for i, (m, r) in enumerate(events)]
+    log = [(float(i), m, i, float(r), items.get(m)) for i, (m, r) in enumerate(events)]
     one, two = state.UserState(), state.UserState()
-    whole = [state.step(one, e, items, o) for e in log]
-    first = [state.step(two, e, items, o) for e in log[: len(log) // 2]]
+    whole = [state.step(one, e, o) for e in log]
+    first = [state.step(two, e, o) for e in log[: len(log) // 2]]
     two = pickle.loads(pickle.dumps(two))
-    assert whole == first + [state.step(two, e, items, o) for e in log[len(log) // 2 :]]
+    assert whole == first + [state.step(two, e, o) for e in log[len(log) // 2 :]]
