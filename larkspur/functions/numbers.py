@@ -65,3 +65,8 @@ def pad_left(a: Column, length: int, with_: int = 0) -> Column:
 
 def pad_right(a: Column, length: int, with_: int = 0) -> Column:
     return F.concat(a, F.array_repeat(F.lit(with_).cast("bigint"), F.greatest(F.lit(length) - F.size(a), F.lit(0))))
+
+
+def clamped_year(seconds: Column, first: int = 1970, last: int = 2030) -> Column:
+    """The year of an epoch, no earlier than the first and no later than the last."""
+    return F.least(F.lit(last), F.greatest(F.lit(first), F.year(F.timestamp_seconds(F.floor(seconds))))).cast("bigint")

@@ -57,3 +57,22 @@ def multi_hot(names: Column, vocabulary: list[str]) -> Column:
 
 def list_text(c: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+
+
+def run_id(c: Column) -> Column:
+    """What is no letter, digit, dot, dash or underscore becomes one underscore."""
+    return F.regexp_replace(c, r"[^A-Za-z0-9_.-]+", "_")
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """One digit; 0.0% of nothing."""
+    return F.when(whole == 0, "0.0%").otherwise(F.format_string("%.1f%%", F.lit(100.0) * part / F.when(whole != 0, whole)))
+
+
+def not_a_list(c: Column) -> Column:
+    """Whether a JSON text is something else than a list."""
+    return F.coalesce(~F.startswith(F.ltrim(c), F.lit("[")), F.lit(True)) | json_list(c).isNull()

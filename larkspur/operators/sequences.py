@@ -73,10 +73,15 @@ def context_windows(events: DataFrame, known: Column, length: int) -> DataFrame:
     return events.where(known).select("user_id", "event_id", "event_idx", F.collect_list("movie_id").over(w).alias("items"), F.first("event_idx").over(w).alias("context_start_idx")).withColumn("history_len", F.size("items").cast("bigint"))
 
 
+def sequences(events: DataFrame) -> DataFrame:
+    """(user_id, items): each user's items in order of the events."""
+    return events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*BY_EVENT))), lambda x: x["movie_id"]).alias("items"))
+
+
 def sample_windows(events: DataFrame, length: int, stride: int) -> DataFrame:
     """Training windows of length + 1 items: starts 0, stride, ... below n - length; the whole
     sequence when it is no longer than one window; none for fewer than three items."""
-    seq = events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*BY_EVENT))), lambda x: x["movie_id"]).alias("items"))
+    seq = sequences(events)
     n = F.size("items")
     starts = F.when(n <= length + 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - length - 1, F.lit(stride)))
     cut = seq.where(n >= 3).select("user_id", "items", F.explode(starts).alias("start"))

@@ -58,3 +58,16 @@ def enforce(df: DataFrame, contract: Contract) -> DataFrame:
     if bad := violations(df, contract).count():
         raise ContractError(f"{contract.name}: {bad} rows break a constraint")
     return df
+
+
+def other_dimensions(rows: DataFrame, group: str, vec: str) -> DataFrame:
+    """(group, wrong): how many vectors of a group have another length than most of them."""
+    sizes = rows.groupBy(group, F.size(vec).alias("_n")).agg(F.count("*").alias("_rows"))
+    own = sizes.groupBy(group).agg(F.sum("_rows").alias("_all"), F.max("_rows").alias("_most"))
+    return own.select(group, (F.col("_all") - F.col("_most")).alias("wrong"))
+
+
+def option_issues(speed: float, top_k: int, skip_refit: bool, forced_every: int | None) -> list[str]:
+    """Names of a run's options that are out of bounds or contradict each other."""
+    tests = {"speed": speed <= 0, "top_k": top_k <= 0, "refit": skip_refit and forced_every is not None}
+    return [name for name, wrong in tests.items() if wrong]

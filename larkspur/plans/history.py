@@ -38,9 +38,10 @@ timeline AS (
   FROM ev LEFT JOIN st ON st.user_id = ev.user_id AND st.event_id = ev.event_id GROUP BY ALL)"""
 
 
-def history(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events with epochs, members, changes)."""
+def history(spark, d, user: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events with epochs, members, changes), of one user if given: then only that user's events are read on."""
     e = ad.load(spark, d, "events").select("user_id", "event_id", F.col("event_id").alias("replay_order"), "event_type", "value")
+    e = e if user is None else e.where(F.col("user_id") == user)
     refits = e.where("event_id % 13 = 0").select("user_id", "replay_order", F.col("event_id").alias("epoch"))
     ev = hs.as_of(e, refits, "user_id", "replay_order", ["epoch"])
     ev = ev.withColumn("prev", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")))
@@ -51,8 +52,8 @@ def history(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ev, members, drawn.unionByName(gone)
 
 
-def timeline_of(spark, d) -> DataFrame:
-    ev, members, changes = history(spark, d)
+def timeline_of(spark, d, user: int | None = None) -> DataFrame:
+    ev, members, changes = history(spark, d, user)
     return hs.timeline(ev, hs.point_intervals(members, changes))
 
 
@@ -94,11 +95,11 @@ def timeline(spark, d):
     return timeline_of(spark, d)
 
 
-@query("agg32_cluster_sizes", f"WITH {HISTORY} SELECT user_id, event_id, label, count(*) FILTER (kind = 'base') AS base, count(*) FILTER (kind = 'assigned') AS assigned FROM st WHERE kind <> 'removed' AND event_id % 50 = 7 GROUP BY ALL")
+@query("agg32_cluster_sizes", f"WITH {HISTORY} SELECT user_id, event_id, label, count(*) FILTER (kind = 'base') AS base, count(*) FILTER (kind = 'assigned') AS assigned FROM st WHERE kind <> 'removed' GROUP BY ALL")
 def cluster_sizes(spark, d):
-    """AGG-32: base and assigned points of each cluster at chosen events."""
+    """AGG-32: base and assigned points of each cluster at every event."""
     ev, members, changes = history(spark, d)
-    return hs.cluster_sizes(ev.where("event_id % 50 = 7 and epoch is not null"), hs.point_intervals(members, changes))
+    return hs.cluster_sizes(ev.where("epoch is not null"), hs.point_intervals(members, changes))
 
 
 FRAMES = """f AS (
@@ -108,9 +109,10 @@ c AS (SELECT *, max(CASE WHEN is_checkpoint THEN event_id END) OVER w AS checkpo
 s AS (SELECT *, CASE WHEN is_checkpoint THEN points ELSE points[before + 1 :] END AS stored FROM c)"""
 
 
-def frames_of(spark, d):
+def frames_of(spark, d, user: int | None = None):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-6, 0)
-    f = ad.load(spark, d, "events").select("user_id", "event_id", F.col("event_id").alias("replay_order"), F.collect_list("event_id").over(w).alias("points"))
+    e = ad.load(spark, d, "events")
+    f = (e if user is None else e.where(F.col("user_id") == user)).select("user_id", "event_id", F.col("event_id").alias("replay_order"), F.collect_list("event_id").over(w).alias("points"))
     return hs.positional_delta(hs.checkpoints(f, F.col("event_id") % 13 == 0))
 
 
@@ -157,17 +159,17 @@ def users(spark, d):
 
 @query("api2_timeline", f"WITH {HISTORY} SELECT event_id, epoch, k_count, noise, assigned, event_id = epoch AS is_refit_triggered FROM timeline WHERE user_id = 5")
 def user_timeline(spark, d):
-    """API-2, WIN-23: one user's events in order."""
-    t = timeline_of(spark, d).where("user_id = 5")
+    """API-2: one user's events in order."""
+    t = timeline_of(spark, d, user=5)
     return t.select("event_id", "epoch", "k_count", "noise", "assigned", (F.col("event_id") == F.col("epoch")).alias("is_refit_triggered")).orderBy("event_id")
 
 
 @query("api3_points", f"WITH {HISTORY} SELECT raw_id, kind, label FROM st WHERE kind <> 'removed' AND user_id = 5 AND event_id = (SELECT max(event_id) FROM events WHERE user_id = 5)")
 def points(spark, d):
     """API-3: the points of one event."""
-    ev, members, changes = history(spark, d)
-    last = ev.where("user_id = 5").agg(F.max_by(F.struct("user_id", "epoch", "event_id", "replay_order"), "event_id").alias("e")).select("e.*")
-    s = hs.point_intervals(members.where("user_id = 5"), changes.where("user_id = 5"))
+    ev, members, changes = history(spark, d, user=5)
+    last = ev.agg(F.max_by(F.struct("user_id", "epoch", "event_id", "replay_order"), "event_id").alias("e")).select("e.*")
+    s = hs.point_intervals(members, changes)
     met = last.join(s, ["user_id", "epoch"]).where((F.col("from_order") <= F.col("replay_order")) & (F.col("to_order").isNull() | (F.col("to_order") > F.col("replay_order"))))
     return met.select("raw_id", "kind", "label").orderBy("raw_id")
 
@@ -175,7 +177,7 @@ def points(spark, d):
 @query("api4_segment", f"WITH {FRAMES} SELECT event_id, is_checkpoint, array_to_string(stored, ',') AS stored FROM s WHERE user_id = 5 AND checkpoint_id = (SELECT max(checkpoint_id) FROM s WHERE user_id = 5)")
 def segment(spark, d):
     """API-4: the frames of a user's last checkpoint."""
-    f = frames_of(spark, d).where("user_id = 5")
+    f = frames_of(spark, d, user=5)
     last = f.withColumn("_last", F.max("checkpoint_id").over(Window.partitionBy("user_id"))).where("checkpoint_id = _last")
     return last.select("event_id", "is_checkpoint", listed("stored")).orderBy("event_id")
 
@@ -183,8 +185,8 @@ def segment(spark, d):
 @query("api5_clusters", f"WITH {HISTORY} SELECT event_id, label, count(*) AS size FROM st WHERE kind <> 'removed' AND user_id = 5 AND label >= 0 GROUP BY ALL")
 def clusters(spark, d):
     """API-5, API-7, JOIN-11: the clusters of a user's events."""
-    ev, members, changes = history(spark, d)
-    c = hs.cluster_sizes(ev.where("user_id = 5 and epoch is not null"), hs.point_intervals(members.where("user_id = 5"), changes.where("user_id = 5")))
+    ev, members, changes = history(spark, d, user=5)
+    c = hs.cluster_sizes(ev.where("epoch is not null"), hs.point_intervals(members, changes))
     return c.where("label >= 0").select("event_id", "label", (F.col("base") + F.col("assigned")).alias("size")).orderBy("event_id", "label")
 
 

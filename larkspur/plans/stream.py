@@ -55,9 +55,9 @@ def event_log(spark, d):
     return log(spark, d).drop("rated_at")
 
 
-@query("stm1_ranged_log", f"WITH {RATINGS} SELECT row_number() OVER (ORDER BY ts_s, user_id, movie_id, event_id) - 1 AS replay_order, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_s, movie_id, event_id) - 1 AS user_seq FROM ratings WHERE ts_s BETWEEN 1704300000 AND 1706000000")
+@query("flt5_time_range", f"WITH {RATINGS} SELECT row_number() OVER (ORDER BY ts_s, user_id, movie_id, event_id) - 1 AS replay_order, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_s, movie_id, event_id) - 1 AS user_seq FROM ratings WHERE ts_s BETWEEN 1704300000 AND 1706000000")
 def ranged_log(spark, d):
-    """FLT-5, SRT-1: a log of an inclusive time range; its numbers are dense again."""
+    """FLT-5: a log of an inclusive time range; its numbers are dense again."""
     return replay.event_log(ad.ratings(spark, d), 1704300000, 1706000000).select("replay_order", "event_id", "user_seq")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+from collections.abc import Callable
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -110,12 +110,17 @@ def vocabulary_map(text: str, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "movie_id bigint, item_idx bigint")
 
 
-def digest(path: str, most: int = 1 << 30) -> str | None:
-    """SHA-256 of a local file, or None beyond a size."""
-    if os.path.getsize(path) > most:
-        return None
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+def digests(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
+    """(path, bytes, too_large, digest): the SHA-256 of each file, null beyond a size; files are read by the executors."""
+    listed = spark.read.format("binaryFile").load(path)
+    large = F.col("length") > most
+    small = listed.where(~large).select("path", F.col("length").alias("bytes"), F.lit(False).alias("too_large"), F.sha2("content", 256).alias("digest"))
+    return small.unionByName(listed.where(large).select("path", F.col("length").alias("bytes"), F.lit(True).alias("too_large"), F.lit(None).cast("string").alias("digest")))
+
+
+def attached(spark: SparkSession, stores: dict[str, DataFrame]) -> Callable[[str], DataFrame]:
+    """Run statements over several stores, each named in braces."""
+    return lambda statement: spark.sql(statement, **stores)
 
 
 def write_report(summary: DataFrame, issues: DataFrame, path: str) -> None:

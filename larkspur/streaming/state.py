@@ -27,12 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.clustering import cluster, pca, project
-
-
-def recency_mean(items: np.ndarray) -> np.ndarray:
-    """The default encoder: a mean of the context's item vectors, each weighing 0.8 of the next."""
-    w = 0.8 ** np.arange(len(items) - 1, -1, -1)
-    return (items * w[:, None]).sum(axis=0) / w.sum()
+from ..operators.encoding import recency_mean
 
 
 @dataclass(frozen=True)

@@ -80,3 +80,7 @@ class Table:
         rows = batch if old is None else old.unionByName(batch)
         upsert(rows, self.keys, self.seq, columns).write.mode("overwrite").parquet(f"{self.base}/{self.version + 1}")
         self.version += 1
+
+    def clear(self) -> None:
+        """The table is empty from here on; what was read from it before stays."""
+        self.base, self.version = f"{scratch(self.spark)}/table-{uuid.uuid4().hex}", 0
