@@ -28,6 +28,24 @@ def numbered(df: DataFrame, order: str | list[str], name: str, start: int = 1) -
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_start") + start).drop("_part", "_at", "_start")
 
 
+def running(df: DataFrame, order: str, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """df with the running sum of a column in an order, over all or by group; no task holds all rows.
+
+    As numbered(): sums within ranges of the order, and the sums of the ranges before. The order's
+    values should be distinct, so that no range holds most rows.
+    """
+    by, spark = by or [], df.sparkSession
+    path = f"{scratch(spark)}/running-{uuid.uuid4().hex}"
+    df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sums = rows.groupBy("_part", *by).agg(F.sum(value).alias("_n"))
+    # a row for each range, or for each range of a group
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("_part", *by, before.alias("_start"))
+    own = F.sum(value).over(Window.partitionBy("_part", *by).orderBy(order))
+    return rows.withColumn("_own", own).join(starts, ["_part", *by]).withColumn(name, F.col("_own") + F.col("_start")).drop("_part", "_own", "_start")
+
+
 def vocabulary(rows: DataFrame, item: str = "movie_id") -> DataFrame:
     """(item, item_idx): distinct items in order, from 1; 0 is padding."""
     return numbered(rows.select(item).distinct(), item, "item_idx")

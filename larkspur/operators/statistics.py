@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import even
-from .sequences import numbered
+from .sequences import numbered, running
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -35,22 +35,36 @@ def by_candidate(ratings: DataFrame, cutoffs: list[str]) -> DataFrame:
     return wide.select("user_id", F.inline(rows))
 
 
+def picked(df: DataFrame, column: str, at: dict[str, float], by: str | None = None) -> DataFrame:
+    """Exact quantiles, linear between neighbours, picked by rank from the counts of the distinct values."""
+    groups = [by] if by else []
+    by_value = df.groupBy(*groups, column).agg(F.count("*").alias("_k"))
+    upto = running(by_value, column, "_k", "_upto", groups)
+    whole = upto.groupBy(*groups).agg(F.max("_upto").alias("_n"))
+    rows = upto.join(whole, by) if by else upto.crossJoin(F.broadcast(whole))  # one row
+    place = lambda q: (F.col("_n") - 1) * F.lit(q)
+    value = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(column).cast("double")))
+    ends = rows.groupBy(*groups).agg(F.first("_n").alias("_n"), *(f(place(q)).alias(f"{side}{k}") for k, q in enumerate(at.values()) for side, f in (("lo", lambda p: value(F.floor(p))), ("hi", lambda p: value(F.ceil(p))))))
+    between = lambda k, q: F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (place(q) - F.floor(place(q)))
+    return ends.select(*groups, *(even(between(k, q)).alias(name) for k, (name, q) in enumerate(at.items())))
+
+
 def quantiles(df: DataFrame, column: str, at: dict[str, float], total: bool = False, by: str | None = None) -> DataFrame:
     """count, mean, max, exact quantiles (linear between neighbours) and perhaps the sum; nulls and
     values that are not finite are left out."""
     x = F.col(column).cast("double")
     good = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     aggs = [F.count("*").alias("count"), even(F.avg(column)).alias("mean"), F.max(column).alias("max")]
-    aggs += [even(F.percentile(column, q)).alias(name) for name, q in at.items()]
     aggs += [F.sum(column).alias("total")] * total
-    out = (good.groupBy(by) if by else good.groupBy()).agg(*aggs)
+    q = picked(good, column, at, by)
+    out = good.groupBy(by).agg(*aggs).join(q, by) if by else good.agg(*aggs).join(F.broadcast(q), how="left")  # single rows
     return out.withColumn("max", even(F.col("max").cast("double"))) if dict(df.dtypes)[column] == "double" else out
 
 
 def eight_numbers(df: DataFrame, column: str, by: str) -> DataFrame:
     """min, p25, p50, p75, p90, p99, max and mean by group."""
     q = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
-    return df.groupBy(by).agg(F.min(column).alias("min"), *(even(F.percentile(column, v)).alias(k) for k, v in q.items()), F.max(column).alias("max"), even(F.avg(column)).alias("mean"))
+    return df.groupBy(by).agg(F.min(column).alias("min"), F.max(column).alias("max"), even(F.avg(column)).alias("mean")).join(picked(df.where(F.col(column).isNotNull()), column, q, by), by, "left")
 
 
 def lags(ratings: DataFrame) -> DataFrame:
@@ -62,11 +76,9 @@ def lags(ratings: DataFrame) -> DataFrame:
 def gini(df: DataFrame, column: str) -> DataFrame:
     """Gini coefficient of a column, from ranks by value: equal values share the sum of their ranks,
     so only one row for each distinct value is ranked."""
-    by_value = df.groupBy(column).agg(F.count("*").alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by_value.withColumn("_before", before)  # distinct values
+    ranked = running(df.groupBy(column).agg(F.count("*").alias("_k")), column, "_k", "_upto")
     x, k = F.col(column), F.col("_k")
-    weighted = F.sum(x * (k * F.col("_before") + k * (k + 1) / 2))
+    weighted = F.sum(x * (k * (F.col("_upto") - k) + k * (k + 1) / 2))
     n, total = F.sum("_k"), F.sum(x * k)
     return ranked.agg(even((2.0 * weighted - (n + 1) * total) / (n * total)).alias("gini"))
 
