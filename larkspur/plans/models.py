@@ -174,6 +174,12 @@ def best_interest(spark, d):
     return recommendations(spark, d, 5).select("user_id", "movie_id", "label")
 
 
+@query("rec1_scored", f"WITH {SCORES}, d AS (SELECT user_id, movie_id, label, round_even(s * 1e9, 0) AS s FROM dots), b AS (SELECT user_id, movie_id, arg_min(label, struct_pack(a := -s, b := label)) AS label FROM d GROUP BY ALL) SELECT r.user_id, rank, r.movie_id, {e6('round_even(score * 1e9, 0) / 1e9')} AS score, CAST(b.label AS BIGINT) AS label FROM ranked r JOIN b USING (user_id, movie_id) WHERE rank <= 8")
+def scored(spark, d):
+    """REC-1: the largest product over a user's interests, seen items left out, the best eight with score and interest."""
+    return recommendations(spark, d, 8).select("user_id", "rank", "movie_id", even(F.col("score")).alias("score"), "label")
+
+
 @query("rec2_candidates", f"WITH {VOCABULARY} SELECT v.item_idx, v.movie_id FROM v JOIN embeddings e ON e.vec_id = v.movie_id WHERE item_idx > 0 AND item_idx < (SELECT count(*) FROM embeddings)")
 def candidates(spark, d):
     """REC-2: vocabulary ids that have a row in the item matrix, padding left out, ascending."""

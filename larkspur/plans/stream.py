@@ -230,10 +230,21 @@ def streamed(spark, events, items, o, files=4, seed=None):
 
 @query("stm22_fold_stream", f"WITH {STATES} SELECT event_id, changed, inactive, active FROM own")
 def fold_stream(spark, d):
-    """STM-22, STO-14: the same from a file stream with state by user, in whatever order its files come."""
+    """STM-22: the same from a file stream with state by user, in whatever order its files come."""
     return streamed(spark, log(spark, d), known_items(spark, d), OPTIONS).select("event_id", "changed", "inactive", "active")
 
 
+@query("sto14_resumed", f"WITH {STATES} SELECT event_id, changed, active FROM own")
+def resumed(spark, d):
+    """STO-14: a stream that stops and goes on from its checkpoint: what it has told is kept, and nothing is told twice."""
+    base, events, items = f"{scratch(spark)}/{uuid.uuid4().hex}", log(spark, d), known_items(spark, d)
+    half = events.count() // 2
+    for part in (F.col("replay_order") < half, F.col("replay_order") >= half):
+        replay.write_log(events.where(part), f"{base}/log", 2, append=True)
+        out = replay.run_stream(state.fold_stream(replay.read_log_stream(spark, f"{base}/log"), items, OPTIONS), f"{base}/out", f"{base}/checkpoint")
+    return out.select("event_id", "changed", "active")
+
+
 @query("stm6_seed_states", f"WITH {STATES}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS r FROM own JOIN log USING (user_id, event_id) WHERE ts_s < 1705000000) SELECT user_id, i + 1 AS ratings, active, CASE WHEN active > 0 THEN true ELSE false END AS fitted FROM l WHERE r = 1")
 def seed_states(spark, d):
     """STM-6: states at an exclusive cutoff, from which a stream can start."""

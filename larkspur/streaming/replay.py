@@ -25,13 +25,13 @@ def event_log(ratings: DataFrame, first_s: float, last_s: float, users: int | No
     return log.withColumn("rated_at", iso(F.floor("ts_s").cast("bigint"))).select(*(c.split()[0] for c in EVENT.split(", ")))
 
 
-def write_log(log: DataFrame, path: str, files: int) -> None:
+def write_log(log: DataFrame, path: str, files: int, append: bool = False) -> None:
     """The log as JSON lines in files of consecutive events, one micro-batch each.
 
     The files are written side by side, so a stream may read them in any order; user_seq tells it
     what to wait for.
     """
-    log.repartitionByRange(files, "replay_order").sortWithinPartitions("replay_order").write.mode("overwrite").json(path)
+    log.repartitionByRange(files, "replay_order").sortWithinPartitions("replay_order").write.mode("append" if append else "overwrite").json(path)
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
