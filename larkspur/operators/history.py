@@ -23,10 +23,13 @@ def as_of(left: DataFrame, right: DataFrame, by: str, order: str, value: list[st
 def deltas_since(events: DataFrame, bases: DataFrame, deltas: DataFrame) -> DataFrame:
     """(user_id, replay_order, base_order, delta_order): the changes after each event's base and up to
     the event. The base is strictly before: what happened at its own place belongs to the past."""
-    base = as_of(events.select("user_id", "replay_order"), bases.select("user_id", "replay_order", F.col("replay_order").alias("base_order")), "user_id", "replay_order", ["base_order"])
-    d = deltas.select("user_id", F.col("replay_order").alias("delta_order"))
-    inside = (F.col("delta_order") > F.coalesce("base_order", F.lit(-1))) & (F.col("delta_order") <= F.col("replay_order"))
-    return base.join(d, "user_id").where(inside)
+    keyed = bases.select("user_id", "replay_order", F.col("replay_order").alias("base_order"))
+    base = as_of(events.select("user_id", "replay_order"), keyed, "user_id", "replay_order", ["base_order"])
+    # a change belongs to the last base at or before it: only events and changes of one base meet
+    own = as_of(deltas.select("user_id", "replay_order"), keyed, "user_id", "replay_order", ["base_order"])
+    d = own.select("user_id", F.coalesce("base_order", F.lit(-1)).alias("_base"), F.col("replay_order").alias("delta_order"))
+    met = base.withColumn("_base", F.coalesce("base_order", F.lit(-1))).join(d, ["user_id", "_base"])
+    return met.where((F.col("delta_order") > F.col("_base")) & (F.col("delta_order") <= F.col("replay_order"))).select("user_id", "replay_order", "base_order", "delta_order")
 
 
 def point_intervals(members: DataFrame, changes: DataFrame) -> DataFrame:
