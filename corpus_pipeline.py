@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps; run() writes each result
 as Parquet in the shared folder and reads it back for the next stage. SQL cannot express the
 classifier nor the SimHash groups, so ORACLE_SQL is None and the stages are tested one by one.
+
+Results in odd cases, of every stage: a null text counts as empty, is no duplicate but of other
+texts without words, holds no benchmark item and no secret, and passes on as null; null ids, and ids that rows share, do not
+make rows one: near-duplicates are told by their texts, of which the smallest id stays, nulls last;
+whether a row is toxic hangs on its own text; but a benchmark item found in one row of an id takes all rows of that id along,
+and mixing takes all rows of an id or none; nulls in other columns pass through; very long texts
+are taken whole; an empty table gives an empty one; columns beside those of documents pass through,
+whatever their names, but the last stage replaces those named size, source_size, target and taken.
 """
 
 from __future__ import annotations
