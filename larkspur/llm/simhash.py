@@ -8,8 +8,8 @@ goes to one tile per slice, and no pair within the radius is missed. (Wide radii
 of sampled bits instead, see slices.) A slice value held by very many fingerprints is cut into
 tiles by population count, and each tile meets only the tiles whose counts differ by the radius or
 less. Inside, numpy compares blocks by exclusive-or and bit counts, skips blocks whose
-population counts are too far apart, and returns a spanning forest of the links it found, never all
-pairs. Connected components over these links give the groups.
+population counts are too far apart, and returns edges that connect what it found near, fewer than
+twice the rows, never all pairs. Connected components over these links give the groups.
 
 Results in odd cases: a null or empty text has the fingerprint zero and links like any other; rows
 of the same id are one document of the groups (its smallest id stands for itself); a null id takes
@@ -149,13 +149,40 @@ def tiled(distinct: DataFrame, cuts: list[np.ndarray], lanes: int) -> DataFrame:
     return distinct.select("node", "fp").mapInArrow(run, "slice int, value bigint, pop int, node bigint, fp binary")
 
 
+def thinned(node: np.ndarray, parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the rows that pairs (i, j) connect: each row with the smallest node it is near
+    (parent, the place of that row in the order of nodes), and pairs where these leave rows apart.
+
+    Tiles that hold the same rows then name the same edges, and equal edges are one.
+    """
+    order = np.argsort(node, kind="stable")
+    rank = np.empty(len(node), dtype=np.int64)
+    rank[order] = np.arange(len(node))
+    root = np.empty(len(node), dtype=np.int64)
+    root[rank] = np.minimum(parent, rank)
+    own = np.flatnonzero(root < np.arange(len(node)))
+    src, dst = node[order[own]], node[order[root[own]]]
+    while True:
+        further = root[root]
+        if (further == root).all():
+            break
+        root = further
+    p, q = root[rank[i]], root[rank[j]]
+    apart = np.flatnonzero(p != q)
+    # one pair for each two trees
+    first = apart[np.unique(np.minimum(p, q)[apart] * len(node) + np.maximum(p, q)[apart], return_index=True)[1]]
+    return np.concatenate([src, node[i[first]]]), np.concatenate([dst, node[j[first]]])
+
+
 def links(fp: np.ndarray, node: np.ndarray, pop: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest over all pairs of rows within the radius, found block by block."""
+    """Edges that connect all pairs of rows within the radius, found block by block; fewer than twice the rows."""
     order = np.argsort(pop, kind="stable")
     fp, node, pop = fp[order], node[order], pop[order]
     n = len(fp)
-    root = np.arange(n)
-    src, dst = [], []
+    root, rank = np.arange(n), np.empty(n, dtype=np.int64)
+    rank[np.argsort(node, kind="stable")] = np.arange(n)
+    parent = rank.copy()
+    left, right = [], []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -172,6 +199,8 @@ def links(fp: np.ndarray, node: np.ndarray, pop: np.ndarray, radius: int, block:
             for lane in range(fp.shape[1]):
                 apart += np.bitwise_count(fp[a : a + block, lane, None] ^ fp[None, b : b + block, lane])
             near = apart <= radius
+            parent[a : a + block] = np.minimum(parent[a : a + block], np.where(near, rank[None, b : b + block], n).min(axis=1))
+            parent[b : b + block] = np.minimum(parent[b : b + block], np.where(near, rank[a : a + block, None], n).min(axis=0))
             while True:
                 # a row's first partner outside its own tree, for all rows at once
                 mine = np.array([find(i) for i in range(a, min(a + block, n))])
@@ -184,9 +213,9 @@ def links(fp: np.ndarray, node: np.ndarray, pop: np.ndarray, radius: int, block:
                     p, q = find(i), find(j)
                     if p != q:
                         root[max(p, q)] = min(p, q)
-                        src.append(node[i])
-                        dst.append(node[j])
-    return np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64)
+                        left.append(i)
+                        right.append(j)
+    return thinned(node, parent, np.array(left, dtype=np.int64), np.array(right, dtype=np.int64))
 
 
 def small_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, pop: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -198,6 +227,7 @@ def small_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, pop: np.nda
         out.append(links(fp[at : at + n], node[at : at + n], pop[at : at + n], radius))
     few = np.repeat(sizes <= 24, sizes)
     fp, node, pop, group = fp[few], node[few], pop[few], group[few]
+    left, right = [], []
     for d in range(1, 24):
         i = np.flatnonzero(group[d:] == group[:-d])
         if not len(i):
@@ -205,12 +235,23 @@ def small_links(group: np.ndarray, fp: np.ndarray, node: np.ndarray, pop: np.nda
         i = i[np.abs(pop[i + d] - pop[i]) <= radius]
         apart = np.bitwise_count(fp[i] ^ fp[i + d]).sum(axis=1, dtype=np.int32)
         i = i[apart <= radius]
-        out.append((node[i], node[i + d]))
+        left.append(i)
+        right.append(i + d)
+    if left:
+        # one fingerprint stands in several groups: ranks tell rows apart, groups cannot meet
+        i, j = np.concatenate(left), np.concatenate(right)
+        rank = np.empty(len(node), dtype=np.int64)
+        rank[np.argsort(node, kind="stable")] = np.arange(len(node))
+        parent = rank.copy()
+        low = np.minimum(rank[i], rank[j])
+        np.minimum.at(parent, i, low)
+        np.minimum.at(parent, j, low)
+        out.append(thinned(node, parent, i, j))
     return out
 
 
 def near_links(distinct: DataFrame, radius: int, lanes: int = 1, tables: int | None = None, taken: int = 14) -> DataFrame:
-    """(src, dst) links between distinct fingerprints (node, fp), a forest from every tile."""
+    """(src, dst) links between distinct fingerprints (node, fp): edges from every tile that connect all it holds near."""
     rows = tiled(distinct, slices(64 * lanes, radius, tables, taken), lanes)
     hot = table(rows.groupBy("slice", "value").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("slice", "value"), "simhash-hot")
     cut = not hot.isEmpty()

@@ -67,6 +67,34 @@ def test_hot_slices(spark, monkeypatch, tile):
     assert all(got.get(p, p) == find(p) for p in prints)
 
 
+@pytest.mark.parametrize("n", [5, 24, 60, 700])
+def test_thinned_edges_connect_what_all_pairs_connect(n):
+    rng = np.random.default_rng(n)
+    fp = np.zeros((n, 4), dtype=np.uint64)
+    for k in range(n):
+        # chains and clumps: each row a few bits from one before it
+        fp[k] = fp[int(rng.integers(max(0, k - 8), k))] if k else rng.integers(0, 1 << 63, 4)
+        for bit in rng.integers(0, 256, int(rng.integers(0, 9))):
+            fp[k, bit >> 6] ^= np.uint64(1) << np.uint64(bit & 63)
+    node = rng.permutation(10 * n)[:n].astype(np.int64)
+    pop = np.bitwise_count(fp).sum(axis=1).astype(np.int64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= 6
+
+    def parts(pairs):
+        root = {int(x): int(x) for x in node}
+        for a, b in pairs:
+            u, v = root[int(a)], root[int(b)]
+            root = {k: min(u, v) if r in (u, v) else r for k, r in root.items()}
+        return root
+
+    want = parts([(node[i], node[j]) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    for found in ([simhash.links(fp, node, pop, 6, block=64)], simhash.small_links(np.zeros(n, dtype=np.int64), fp, node, pop, 6)):
+        src, dst = (np.concatenate(x) for x in zip(*found, strict=True))
+        assert len(src) < 2 * n and parts(zip(src, dst, strict=True)) == want
+        at = {int(x): k for k, x in enumerate(node)}
+        assert all(near[at[int(a)], at[int(b)]] for a, b in zip(src, dst, strict=True))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "one"), (4, "one"), (5, "ONE"), (6, "a b c d " * 3000), (7, "other words here")]
     docs = spark.createDataFrame([(*r, "e", "f") for r in rows], "doc_id bigint, text string, fp string, node string")
