@@ -96,7 +96,6 @@ def components(edges: DataFrame) -> DataFrame:
     A round's tables are dropped when the next one has been written.
     """
     spark = edges.sparkSession
-    pair = lambda a, b: F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))
     now, path = kept(
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -105,11 +104,11 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     while True:
-        # large-star: neighbours above u go to the smallest node around u
-        both = now.select(F.inline(pair(F.col("u"), F.col("v"))))
+        # large-star: neighbours above a node go to the smallest node around it, itself if none is smaller;
         # written, so that a hub's edges can be split in the join that follows
-        low, low_path = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
-        large, large_path = kept(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low, low_path = kept(now.groupBy("u").agg(F.min("v").alias("m")), "stars")
+        around = now.select(F.col("v").alias("_at"), "u").join(low.withColumnRenamed("u", "_at"), "_at", "left")
+        large, large_path = kept(around.select("u", F.coalesce("m", "_at").alias("v")).distinct(), "edges")
         drop(spark, path, low_path)
         # small-star: u and its smaller neighbours go to the smallest of them
         low, low_path = kept(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
