@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, embeddings, licenses, mixing, quality, secrets, simhash, substrings, tokens, toxicity
+from . import chat, decontaminate, divergence, embeddings, licenses, mixing, quality, secrets, simhash, substrings, tokens, toxicity, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,10 +18,14 @@ QUERIES = {
     "op8_scan_secrets": secrets.query,
     "op9_score_quality": quality.query,
     "op10_score_toxicity": toxicity.query,
+    "op11_audit_sources": divergence.query,
+    "op12_whiten_embeddings": whitening.query,
+    "op13_format_chats": chat.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op3_remove_repeats": substrings.SQL,
     "op5_embedding_groups": embeddings.SQL,
+    "op11_audit_sources": divergence.SQL,
 }
