@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,36 +183,47 @@ def shared_terms(terms: DataFrame, known) -> DataFrame:
             return pairs, value
 
         def told() -> Iterator[pa.RecordBatch]:
-            for lang in sums:
+            for lang in [x for x in sums if sums[x][0]]:
                 pairs, value = added(lang)
                 yield s.told(lang, pairs // len(s.plain[lang]), pairs % len(s.plain[lang]), value)
             sums.clear()
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if len(r["by"]) < 2:
-                    continue
-                lang = r["lang"]
-                plain, places = s.plain[lang], s.at[lang]
-                i = np.array([places[x["source"]] for x in r["by"]])
-                p = shares(np.array([x["n"] for x in r["by"]], dtype=np.int64), s.whole[lang][i])
-                default = plain[i]
+            by = batch.column("by")
+            sizes, begins = pc.list_value_length(by).to_numpy(), by.offsets.to_numpy()[:-1] - by.offsets[0].as_py()
+            flat = by.flatten()
+            names, counts = flat.field("source"), flat.field("n").to_numpy()
+            langs = batch.column("lang").dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                own = langs.indices.to_numpy() == code
+                plain = s.plain[lang]
+                places = pc.index_in(names, pa.array(s.names[lang], pa.string())).fill_null(-1).to_numpy()
                 codes, values = sums.setdefault(lang, ([], []))
-                for k in range(0, len(i), 256):
-                    part = slice(k, k + 256)
-                    pa_, da = p[part, None], default[part, None]
-                    value = far(pa_, p[None, :]) - far(pa_, default[None, :]) - far(da, p[None, :]) + far(da, default[None, :])
-                    codes.append((i[part, None] * len(plain) + i[None, :]).ravel())
-                    values.append(value.ravel())
-                    waiting += value.size
-                if waiting > MOST:
-                    for x in sums:
+                # terms of as many sources at once
+                for k in np.unique(sizes[own & (sizes > 1)]).tolist():
+                    rows = begins[own & (sizes == k)]
+                    many = max(1, MOST // (k * k))
+                    for at in range(0, len(rows), many):
+                        cells = rows[at : at + many, None] + np.arange(k)
+                        i = places[cells]
+                        p, default = shares(counts[cells], s.whole[lang][i]), plain[i]
+                        for part in range(0, k, 256):  # of a term that very many sources have, some rows of its pairs at a time
+                            a, da, b, db = p[:, part : part + 256, None], default[:, part : part + 256, None], p[:, None, :], default[:, None, :]
+                            pairs, back = np.unique((i[:, part : part + 256, None] * len(plain) + i[:, None, :]).ravel(), return_inverse=True)
+                            value = np.zeros(len(pairs), dtype=np.int64)
+                            np.add.at(value, back, (far(a, b) - far(a, db) - far(da, b) + far(da, db)).ravel())
+                            codes.append(pairs)
+                            values.append(value)
+                            waiting += len(pairs)
+            if waiting > MOST:
+                for x in sums:
+                    if sums[x][0]:
                         pairs, value = added(x)
                         sums[x] = ([pairs], [value])
-                    waiting = sum(len(x[0][0]) for x in sums.values())
-                    if waiting > MOST // 2:
-                        yield from told()
-                        waiting = 0
+                waiting = sum(len(y) for x in sums.values() for y in x[0])
+                if waiting > MOST // 2:
+                    yield from told()
+                    waiting = 0
         yield from told()
 
     return terms.mapInArrow(run, PARTIAL)
@@ -220,7 +232,9 @@ def shared_terms(terms: DataFrame, known) -> DataFrame:
 def audited(docs: DataFrame, least: int = 3, top: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): every pair of sources of a language, and the top terms of each source."""
     spark = docs.sparkSession
-    counts = occurrences(collapsed(docs)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by term once: the counts of a source and those of its language are added up where they are
+    dealt = occurrences(collapsed(docs)).repartition("lang", "term")
+    counts = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = table(
         counts.groupBy("lang", "term")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("by"))
