@@ -1,17 +1,20 @@
-"""Density clustering of one user's vectors, PCA projection, and their application by user.
+"""Hierarchical density clusters of users' vectors in the space of their leading directions, by user and by window.
 
-A cluster's labels run from 0 in order of its first member; noise is -1. The contract is the one of
-the clustering that it stands for (min_cluster_size, noise, all noise for few rows), not its labels.
+A cluster's labels run from 0 in order of its first member; noise is -1.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-#: Rows that are compared with their surroundings at once.
-BLOCK = 256
+from ..session import written
+from . import density
+from .sequences import numbered
 
 
 def dims(wanted: int, n: int) -> int:
@@ -31,91 +34,33 @@ def project(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return (x - mean) @ axes.T
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of all rows of x from all of y, a component at a time."""
-    out = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        out += (x[:, k, None] - y[None, :, k]) ** 2
-    return np.sqrt(out)
-
-
-def density_labels(x: np.ndarray, least: int, quantile: float = 0.7) -> np.ndarray:
-    """Connected dense rows: those with `least` rows (themselves included) within eps, where eps is a
-    quantile of the distances to the least-th row; other rows within eps join the nearest of them.
-
-    Rows are swept in order of their first component, a block against those that its reach can hold, so
-    memory grows with the rows, not with their pairs.
-    """
-    n = len(x)
-    if n <= max(2, least):
-        return np.full(n, -1)
-    order = np.argsort(x[:, 0], kind="stable")
-    s = x[order]
-    first = s[:, 0]
-
-    def around(a: int, b: int, reach: float) -> tuple[int, int]:
-        return int(np.searchsorted(first, first[a] - reach)), int(np.searchsorted(first, first[b - 1] + reach, side="right"))
-
-    blocks = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
-    core = np.empty(n)
-    for a, b in blocks:
-        # rows nearby in the order bound how far the least-th row can be
-        lo, hi = max(0, a - least), min(n, b + least)
-        bound = np.partition(apart(s[a:b], s[lo:hi]), least - 1, axis=1)[:, least - 1].max()
-        lo, hi = around(a, b, bound)
-        core[a:b] = np.partition(apart(s[a:b], s[lo:hi]), least - 1, axis=1)[:, least - 1]
-    eps = np.quantile(core, quantile)
-    dense = core <= eps
-    root = np.arange(n)
-    for a, b in blocks:
-        hi = around(a, b, eps)[1]
-        near = (apart(s[a:b], s[a:hi]) <= eps) & dense[a:b, None] & dense[None, a:hi]
-        while True:
-            open_ = near & (root[a:b, None] != root[None, a:hi])
-            rows = np.flatnonzero(open_.any(axis=1))
-            if not len(rows):
-                break
-            for i, j in zip((rows + a).tolist(), (open_[rows].argmax(axis=1) + a).tolist(), strict=True):
-                if root[i] != root[j]:
-                    root[root == max(root[i], root[j])] = min(root[i], root[j])
-    group = np.where(dense, root, -1)
-    for a, b in blocks:
-        lo, hi = around(a, b, eps)
-        cols = np.flatnonzero(dense[lo:hi]) + lo
-        rows = np.flatnonzero(~dense[a:b]) + a
-        if len(rows) and len(cols):
-            far = apart(s[rows], s[cols])
-            at = far.argmin(axis=1)
-            met = far[np.arange(len(rows)), at] <= eps
-            group[rows[met]] = root[cols[at[met]]]
-    labels = np.full(n, -1)
-    labels[order] = group
-    big = np.bincount(labels[labels >= 0], minlength=n) >= least
-    names, out = {}, np.full(n, -1)
-    for i, g in enumerate(labels.tolist()):
-        if g >= 0 and big[g]:
-            out[i] = names.setdefault(g, len(names))
-    return out
-
-
 def cluster(x: np.ndarray, least: int = 3, wanted: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(labels, mean, axes): clusters in the space of the leading directions."""
     if len(x) < 2:
         return np.full(len(x), -1), x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), np.eye(x.shape[1])[:1]
     mean, axes = pca(x, dims(wanted, len(x)))
-    return density_labels(project(x, mean, axes), least), mean, axes
+    return density.density_labels(project(x, mean, axes), least), mean, axes
+
+
+POINT = "user_id bigint, event_id bigint, label bigint, x double, y double, z double"
 
 
-def cluster_users(members: DataFrame, least: int = 3, wanted: int = 3, skip_under: int | None = None, stride: int = 1) -> DataFrame:
-    """(user_id, event_id, label, x, y, z) of each user's vectors in order of event_idx.
+def cluster_users(members: DataFrame, least: int = 3, wanted: int = 3, skip_under: int | None = None, stride: int = 1, tile: int | None = None) -> DataFrame:
+    """(user_id, event_id, label, x, y, z) of each user's vectors in order of event_idx, every stride-th of them if that is asked for.
 
-    Users with fewer than skip_under rows are left out. One user's rows, every stride-th of them if
-    that is asked for, are one task's group: a user's history, whose vectors fit a task.
+    Users with fewer than skip_under rows are left out. A user of up to `tile` rows is clustered in one task; the rows of
+    larger ones are spread over tasks, with the same labels.
     """
+    tile = tile or density.TILE
+    rows = members.select("user_id", "event_id", "event_idx", "vec")
+    if stride > 1:
+        ordered = Window.partitionBy("user_id").orderBy("event_idx", "event_id")
+        rows = rows.withColumn("_at", F.row_number().over(ordered) - 1).where(F.col("_at") % stride == 0).drop("_at")
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    large = sizes.where((F.col("n") > tile) & (F.col("n") >= (skip_under or 0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["event_idx", "event_id"])
-        pdf = pdf.iloc[::stride]
         if skip_under is not None and len(pdf) < skip_under:
             return pd.DataFrame({"user_id": [], "event_id": [], "label": [], "x": [], "y": [], "z": []})
         x = np.stack(pdf["vec"].to_numpy())
@@ -125,8 +70,50 @@ def cluster_users(members: DataFrame, least: int = 3, wanted: int = 3, skip_unde
         at[:, : len(axes)] = project(x, mean, axes)
         return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "label": labels, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
 
-    schema = "user_id bigint, event_id bigint, label bigint, x double, y double, z double"
-    return members.select("user_id", "event_id", "event_idx", "vec").groupBy("user_id").applyInPandas(run, schema)
+    if large.limit(1).count() == 0:
+        return rows.groupBy("user_id").applyInPandas(run, POINT)
+    few = large.select("user_id").withColumn("_large", F.lit(True))
+    told = written(rows.join(few, "user_id", "left"), "members")
+    small = told.where("_large is null").drop("_large").groupBy("user_id").applyInPandas(run, POINT)
+    return small.unionByName(cluster_large(told.where("_large").drop("_large"), least, wanted, tile))
+
+
+def principal(rows: DataFrame, k: int) -> DataFrame:
+    """(user_id, mean, axes) of each user: as pca(), from sums that tasks make of their rows."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for user, part in pdf.groupby("user_id"):
+                x = np.stack(part["vec"].to_numpy()) - np.stack(part["mean"].to_numpy())
+                s = x.T @ x
+                yield pd.DataFrame({"user_id": user, "row": np.arange(len(s)), "sums": list(s), "mean": [part["mean"].iloc[0]] * len(s)})
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = np.zeros((len(pdf["mean"].iloc[0]),) * 2)
+        np.add.at(s, pdf["row"].to_numpy(), np.stack(pdf["sums"].to_numpy()))
+        values, vectors = np.linalg.eigh(s)
+        axes = vectors[:, np.argsort(-values)[:k]].T
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1], "mean": [pdf["mean"].iloc[0]], "axes": [list(axes)]})
+
+    cells = rows.select("user_id", F.posexplode("vec").alias("pos", "x")).groupBy("user_id", "pos").agg(F.avg("x").alias("x"))
+    means = cells.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("mean"))
+    parts = rows.join(means, "user_id").select("user_id", "vec", "mean").mapInPandas(products, "user_id bigint, row bigint, sums array<double>, mean array<double>")
+    return parts.groupBy("user_id").applyInPandas(solved, "user_id bigint, mean array<double>, axes array<array<double>>")
+
+
+def cluster_large(rows: DataFrame, least: int, wanted: int, tile: int) -> DataFrame:
+    """As cluster_users(), for users whose rows no task should hold."""
+    at = numbered(rows, ["user_id", "event_idx", "event_id"], "number", start=0)
+    at = at.join(at.groupBy("user_id").agg(F.min("number").alias("start")), "user_id").withColumn("place", F.col("number") - F.col("start"))
+    dim = max(wanted, 3)
+    space = written(principal(rows, dim), "axes")
+    # as its axes are in order of their spread, the plane of the clusters is the first of the point's components
+    point = F.transform("axes", lambda axis: F.aggregate(F.zip_with(F.zip_with("vec", "mean", lambda v, m: v - m), axis, lambda v, a: v * a), F.lit(0.0), lambda s, x: s + x))
+    points = written(at.join(space, "user_id").select("user_id", "event_id", "place", point.alias("point")), "points")
+    labels = density.clustered(points.select(F.col("user_id").alias("group"), "place", F.slice("point", 1, wanted).alias("vec")), least, tile)
+    named = points.join(labels.withColumnRenamed("group", "user_id"), ["user_id", "place"])
+    return named.select("user_id", "event_id", "label", *(F.coalesce(F.get("point", F.lit(k)), F.lit(0.0)).alias(c) for k, c in enumerate("xyz")))
 
 
 def sliding_counts(members: DataFrame, width: int = 100, step: int = 10, least: int = 3) -> DataFrame:

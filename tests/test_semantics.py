@@ -13,12 +13,13 @@ from larkspur.functions import numbers as num
 from larkspur.functions.text import genres, title_year
 from larkspur.operators import cleaning as cl
 from larkspur.operators import clustering as cg
+from larkspur.operators import density
 from larkspur.operators import history as hs
 from larkspur.operators import interests as it
 from larkspur.operators import sequences as sq
 from larkspur.operators import statistics as stt
 from larkspur.operators import validation as val
-from larkspur.operators.clustering import cluster, density_labels
+from larkspur.operators.density import density_labels
 from larkspur.sources import files
 from larkspur.streaming import replay, state
 
@@ -272,7 +273,7 @@ def test_checked_csv(spark, tmp_path):
 @given(st.lists(st.lists(st.floats(-1, 1), min_size=4, max_size=4), min_size=1, max_size=30), st.integers(2, 5))
 def test_clusters(rows, least):
     x = np.array(rows)
-    labels, _, _ = cluster(x, least)
+    labels, _, _ = cg.cluster(x, least)
     found = sorted(set(labels.tolist()) - {-1})
     assert found == list(range(len(found)))
     assert all((labels == k).sum() >= least for k in found)
@@ -280,44 +281,97 @@ def test_clusters(rows, least):
         assert not found
 
 
-def brute_labels(x, least, quantile=0.7):
-    """The same from all pairs of rows."""
+def brute_labels(x, least):
+    """The same from all pairs of rows: the least largest step on any way between two rows, and the definitions."""
     n = len(x)
     if n <= max(2, least):
         return np.full(n, -1)
     far = np.sqrt(sum((x[:, k, None] - x[None, :, k]) ** 2 for k in range(x.shape[1])))
-    core = np.sort(far, axis=1)[:, least - 1]
-    eps = np.quantile(core, quantile)
-    dense = core <= eps
-    group = [{i} for i in range(n)]
-    for i in range(n):
-        for j in range(i):
-            if dense[i] and dense[j] and far[i, j] <= eps and group[i] is not group[j]:
-                group[i] |= group[j]
-                for k in group[j]:
-                    group[k] = group[i]
-    member = {i: min(group[i]) for i in range(n) if dense[i]}
-    for i in range(n):
-        near = [j for j in range(n) if dense[j] and far[i, j] <= eps]
-        if not dense[i] and near:
-            member[i] = min(group[min(near, key=lambda j: far[i, j])])
-    sizes = {g: list(member.values()).count(g) for g in member.values()}
-    names, out = {}, np.full(n, -1)
-    for i in sorted(member):
-        if sizes[member[i]] >= least:
-            out[i] = names.setdefault(member[i], len(names))
+    core = np.sort(far, axis=1)[:, least]
+    step = np.maximum(far, np.maximum(core[:, None], core[None, :]))
+    for k in range(n):
+        step = np.minimum(step, np.maximum(step[:, k, None], step[k]))
+    off = ~np.eye(n, dtype=bool)
+    floor = 1e-9 * step[off].max() or 1.0
+
+    def grown(rows, birth):
+        """(rows, mass, parts) of a cluster."""
+        all_rows, mass = rows, 0.0
+        while True:
+            inner = step[np.ix_(rows, rows)]
+            width = inner[~np.eye(len(rows), dtype=bool)].max()
+            here = 1 / max(width, floor)
+            parts = {}
+            for i in range(len(rows)):
+                parts.setdefault(min([i, *np.flatnonzero((inner[i] < width) & (np.arange(len(rows)) != i)).tolist()]), []).append(rows[i])
+            big = [np.array(p) for p in parts.values() if len(p) >= least]
+            birth = here if birth is None else birth
+            mass += (here - birth) * (len(rows) - (len(big[0]) if len(big) == 1 else 0))
+            if len(big) != 1:
+                return all_rows, mass, [grown(p, here) for p in big]
+            rows = big[0]
+
+    def best(node):
+        rows, mass, parts = node
+        below = [best(p) for p in parts]
+        total = sum(b[0] for b in below)
+        return (mass, [rows]) if mass >= total else (total, [r for b in below for r in b[1]])
+
+    picked = [r for p in grown(np.arange(n), None)[2] for r in best(p)[1]]
+    out = np.full(n, -1)
+    for k, rows in enumerate(sorted(picked, key=min)):
+        out[rows] = k
     return out
 
 
-@pytest.mark.parametrize("block", [7, 256])
-def test_swept_clusters_equal_all_pairs(monkeypatch, block):
-    monkeypatch.setattr(cg, "BLOCK", block)
-    rng = np.random.default_rng(3)
-    for _ in range(25):
-        x = rng.normal(size=(int(rng.integers(3, 90)), int(rng.integers(1, 4)))) + rng.integers(0, 3, (1, 1)) * 0
-        x[: len(x) // 2] += 3
-        least = int(rng.integers(2, 6))
-        assert (density_labels(x, least) == brute_labels(x, least)).all()
+def blobs(seed, n=40):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 4, (4, 3))
+    return np.concatenate([rng.normal(c, s, (n // 4 + k, 3)) for k, (c, s) in enumerate(zip(centres, (0.05, 0.3, 1.0, 3.0), strict=True))])
+
+
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_density_clusters_equal_all_pairs(least):
+    found = set()
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        x = [blobs(seed), rng.normal(size=(30, 2)), np.round(rng.normal(size=(40, 2)) * 2), np.repeat(rng.normal(size=(8, 2)), 5, axis=0)][seed % 4]
+        labels = density_labels(x, least)
+        assert (labels == brute_labels(x, least)).all()
+        found.add(labels.max())
+        order = rng.permutation(len(x))
+        # the same groups in another order of rows
+        again = density_labels(x[order], least)
+        assert ((again[:, None] == again[None, :]) == (labels[order][:, None] == labels[order][None, :])).all()
+    assert len(found) > 3
+
+
+def test_clusters_of_unlike_density():
+    """Two tight clusters side by side and a wide one: no one distance separates them."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 0.02, (40, 2)), rng.normal(0.4, 0.02, (40, 2)), rng.normal(8, 1.0, (40, 2))])
+    labels = density_labels(x, 8)
+    for k, part in enumerate((slice(0, 40), slice(40, 80), slice(80, 120))):
+        own = labels[part]
+        assert (own == k).sum() >= 25 and set(own.tolist()) <= {-1, k}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for eps in np.quantile(far, np.linspace(0, 1, 200)):
+        group = np.arange(120)
+        for _ in range(120):
+            new = np.where(far <= eps, group[None, :], 120).min(axis=1)
+            if (new == group).all():
+                break
+            group = new
+        sizes = [np.bincount(group[p], minlength=120).max() for p in (slice(0, 40), slice(40, 80), slice(80, 120))]
+        assert not (min(sizes) >= 25 and len(set(group[:40]) & set(group[40:80])) == 0)
+
+
+def test_odd_groups():
+    assert (density_labels(np.zeros((20, 3)), 3) == -1).all()
+    assert len(density_labels(np.zeros((0, 3)), 3)) == 0
+    assert (density_labels(np.zeros((2, 3)), 1) == -1).all()
+    x = np.concatenate([np.zeros((10, 2)), np.ones((10, 2)), [[5.0, 5.0]]])
+    assert density_labels(x, 4).tolist() == [0] * 10 + [1] * 10 + [-1]
 
 
 def test_two_blobs():
@@ -327,6 +381,29 @@ def test_two_blobs():
     assert set(labels[:30].tolist()) - {-1} == {0} and set(labels[30:].tolist()) - {-1} == {1}
 
 
+@pytest.mark.parametrize("tile", [4, 13, 50, 1000])
+def test_tiles_give_the_labels_of_one_task(spark, tile):
+    groups = {7: blobs(3, 120), 8: np.round(blobs(4) * 4), 9: np.zeros((3, 3)), 10: np.ones((1, 3)), 11: np.zeros((30, 3))}
+    rows = [(g, i, v.tolist()) for g, x in groups.items() for i, v in enumerate(x)]
+    got = density.clustered(spark.createDataFrame(rows, "group bigint, place bigint, vec array<double>"), 3, tile).collect()
+    want = {(g, i): int(k) for g, x in groups.items() for i, k in enumerate(density_labels(x, 3))}
+    assert len(got) == len(want) and {(r.group, r.place): r.label for r in got} == want
+
+
+def test_large_users_get_the_labels_of_one_task(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for user, n in ((1, 60), (2, 9), (3, 25)):
+        turn = rng.normal(size=(3, 6))
+        rows += [(user, 100 * user + i, (i * 7) % n, v.tolist()) for i, v in enumerate(blobs(user, n)[:n] @ turn)]
+    m = spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_idx bigint, vec array<double>")
+    rows_of = lambda df: {r.event_id: r for r in df.collect()}
+    for kw in ({}, {"skip_under": 10}, {"stride": 2}):
+        one, many = rows_of(cg.cluster_users(m, **kw)), rows_of(cg.cluster_users(m, tile=11, **kw))
+        assert {e: r.label for e, r in one.items()} == {e: r.label for e, r in many.items()} and max(r.label for r in one.values()) > 0
+        np.testing.assert_allclose([many[e][3:] for e in one], [r[3:] for r in one.values()], atol=1e-9)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 10)), min_size=1, max_size=25))
 def test_fold_by_batches(events):
