@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Encoder = Callable[[np.ndarray], np.ndarray]
+ManyEncoder = Callable[[list[np.ndarray]], np.ndarray]
 
 
 def recency_mean(items: np.ndarray) -> np.ndarray:
@@ -18,16 +19,28 @@ def recency_mean(items: np.ndarray) -> np.ndarray:
     return (items * w[:, None]).sum(axis=0) / w.sum()
 
 
-def encoded(contexts: DataFrame, items: DataFrame, encode: Encoder = recency_mean) -> DataFrame:
+def encoded(contexts: DataFrame, items: DataFrame, encode: Encoder = recency_mean, many: ManyEncoder | None = None, batch: int = 512) -> DataFrame:
     """(user_id, event_id, vec) of contexts (user_id, event_id, items), whose items all have vectors.
 
     Items are joined with their vectors, not collected; a context's vectors come together in one row.
+    many encodes up to `batch` contexts at once, in the place of encode.
     """
     parts = contexts.select("user_id", "event_id", F.posexplode("items").alias("_at", "movie_id")).join(items.select("movie_id", "vec"), "movie_id")
     rows = parts.groupBy("user_id", "event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "vec"))), lambda x: x["vec"]).alias("vecs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "vec": [encode(np.stack(v)) for v in pdf["vecs"]]})
+            own = [np.stack(v) for v in pdf["vecs"]]
+            if many is None:
+                vecs = [encode(v) for v in own]
+            else:
+                # contexts of like length together, so that little is padded
+                order = np.argsort([len(v) for v in own], kind="stable")
+                vecs = [None] * len(own)
+                for at in range(0, len(own), batch):
+                    rows = order[at : at + batch].tolist()
+                    for i, v in zip(rows, many([own[i] for i in rows]), strict=True):
+                        vecs[i] = v
+            yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "vec": vecs})
 
     return rows.mapInPandas(run, "user_id bigint, event_id bigint, vec array<double>")

@@ -41,8 +41,13 @@ def point_intervals(members: DataFrame, changes: DataFrame) -> DataFrame:
     """
     base = members.select("user_id", "epoch", "raw_id", F.col("epoch").alias("order"), F.lit(-1).alias("_n"), F.lit("base").alias("kind"), "label")
     later = changes.select("user_id", "epoch", "raw_id", "order", F.when(F.col("change") == "inactivate", 0).otherwise(1).alias("_n"), F.when(F.col("change") == "inactivate", "removed").otherwise("assigned").alias("kind"), "label")
+    return spells_of(base.unionByName(later))
+
+
+def spells_of(rows: DataFrame) -> DataFrame:
+    """The spells of points from rows (user_id, epoch, raw_id, order, _n, kind, label) of what they become; 'removed' ends one."""
     w = Window.partitionBy("user_id", "epoch", "raw_id").orderBy("order", "_n")
-    spells = base.unionByName(later).withColumn("to_order", F.lead("order").over(w))
+    spells = rows.withColumn("to_order", F.lead("order").over(w))
     # of two changes at one place the last counts
     return spells.where((F.col("kind") != "removed") & (F.col("to_order").isNull() | (F.col("to_order") > F.col("order")))).select("user_id", "epoch", "raw_id", "kind", "label", F.col("order").alias("from_order"), "to_order")
 
@@ -72,11 +77,29 @@ def timeline(events: DataFrame, spells: DataFrame) -> DataFrame:
 def cluster_sizes(events: DataFrame, spells: DataFrame) -> DataFrame:
     """(user_id, event_id, label, base, assigned): sizes of each cluster at chosen events.
 
-    A range join of events and spells within (user, epoch); for a whole run take timeline().
+    A sweep: the starts and ends of spells in order give each cluster's sizes between two changes by running sums,
+    and the events that lie between them are found by their numbers, so the work is that of the spells, the events and the result.
     """
     e = events.select("user_id", "epoch", "event_id", "replay_order")
-    met = e.join(spells, ["user_id", "epoch"]).where((F.col("from_order") <= F.col("replay_order")) & (F.col("to_order").isNull() | (F.col("to_order") > F.col("replay_order"))))
-    return met.groupBy("user_id", "event_id", "label").agg(F.count_if(F.col("kind") == "base").alias("base"), F.count_if(F.col("kind") == "assigned").alias("assigned"))
+    ends = F.array(F.struct(F.col("from_order").alias("order"), F.lit(1).alias("d")), F.struct(F.col("to_order").alias("order"), F.lit(-1).alias("d")))
+    edges = spells.select("user_id", "epoch", "kind", "label", F.explode(ends).alias("e")).select("user_id", "epoch", "kind", "label", "e.*").where("order is not null")
+    moves = edges.groupBy("user_id", "epoch", "label", "order").agg(*(F.sum(F.when(F.col("kind") == kind, F.col("d")).otherwise(0)).alias(f"_{kind}") for kind in ("base", "assigned")))
+    w = Window.partitionBy("user_id", "epoch", "label").orderBy("order")
+    sizes = moves.select("user_id", "epoch", "label", "order", F.sum("_base").over(w).alias("base"), F.sum("_assigned").over(w).alias("assigned"), F.lead("order").over(w).alias("until"))
+    sizes = sizes.where(F.col("base") + F.col("assigned") > 0)
+    # how many events of the epoch come before each change; an event comes after what happens at its own place
+    place = Window.partitionBy("user_id", "epoch").orderBy("replay_order")
+    numbered = e.withColumn("_n", F.row_number().over(place))
+    changes = sizes.select("user_id", "epoch", F.explode(F.array_distinct(F.array_compact(F.array("order", "until")))).alias("order")).distinct()
+    both = numbered.select("user_id", "epoch", F.col("replay_order").alias("order"), F.lit(1).alias("_event")).unionByName(changes.select("user_id", "epoch", "order", F.lit(0).alias("_event")))
+    before = Window.partitionBy("user_id", "epoch").orderBy("order", "_event").rowsBetween(Window.unboundedPreceding, 0)
+    counts = both.withColumn("_before", F.sum("_event").over(before)).where("_event = 0").select("user_id", "epoch", "order", "_before")
+    until = counts.select("user_id", "epoch", F.col("order").alias("until"), F.col("_before").alias("_last"))
+    met = sizes.join(counts, ["user_id", "epoch", "order"]).join(until, ["user_id", "epoch", "until"], "left")
+    totals = numbered.groupBy("user_id", "epoch").agg(F.max("_n").alias("_all"))
+    met = met.join(totals, ["user_id", "epoch"]).withColumn("_last", F.coalesce("_last", "_all")).where(F.col("_last") > F.col("_before"))
+    each = met.select("user_id", "epoch", "label", "base", "assigned", F.explode(F.sequence((F.col("_before") + 1).cast("int"), F.col("_last").cast("int"))).alias("_n"))
+    return each.join(numbered.select("user_id", "epoch", "_n", "event_id"), ["user_id", "epoch", "_n"]).select("user_id", "event_id", "label", "base", "assigned")
 
 
 def checkpoints(frames: DataFrame, is_refit: Column) -> DataFrame:

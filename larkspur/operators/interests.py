@@ -142,9 +142,68 @@ class Catalogue:
         return [(int(self.ids[j]), float(best[j]), int(labels[own[j]])) for j in near.tolist()]
 
 
-def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str) -> DataFrame:
+class Cells(Catalogue):
+    """Items in cells around pivots, of which a query visits those that can still matter.
+
+    No item of a cell scores more than vec . centre + |vec| * radius. Cells are visited in order of this bound
+    until the k-th best score is above that of all others, so the result is that of all items.
+    """
+
+    #: Room for the rounding of scores, which are compared to nine digits.
+    ROOM = 1e-8
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
+        super().__init__(ids, vecs)
+        n = len(self.ids)
+        self.products = self.pairs = 0
+        if not n:
+            return
+        unit = self.vecs / np.maximum(np.linalg.norm(self.vecs, axis=1, keepdims=True), 1e-300)
+        # pivots from all over: each the item that is furthest from those before, from the first on
+        pivots, near = [0], unit @ unit[0]
+        while len(pivots) < int(n**0.5):
+            pivots.append(int(near.argmin()))
+            near = np.maximum(near, unit @ unit[pivots[-1]])
+        cell = (unit @ unit[pivots].T).argmax(axis=1)
+        order = np.argsort(cell, kind="stable")
+        self.parts = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)
+        self.centres = np.stack([self.vecs[p].mean(axis=0) for p in self.parts])
+        self.radius = np.array([np.linalg.norm(self.vecs[p] - c, axis=1).max() for p, c in zip(self.parts, self.centres, strict=True)])
+
+    def best(self, labels: list, vecs: list, seen: list, k: int) -> Iterator[tuple[int, list[tuple[int, float, int]]]]:
+        for q, (ls, vs) in enumerate(zip(labels, vecs, strict=True)):
+            sound = [(lab, v) for lab, v in zip(ls, vs, strict=True) if np.isfinite(v).all()]
+            if not sound or not len(self.ids):
+                continue
+            names, matrix = np.array([lab for lab, _ in sound]), np.stack([v for _, v in sound])
+            bound = (matrix @ self.centres.T + np.linalg.norm(matrix, axis=1)[:, None] * self.radius).max(axis=0) + self.ROOM
+            gone = np.asarray([] if seen[q] is None else seen[q], dtype=np.int64)
+            rows, scores, own = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+            for c in np.argsort(-bound, kind="stable").tolist():
+                if len(rows) == k and scores[-1] > bound[c]:
+                    continue
+                part = self.parts[c]
+                self.products += len(part) * len(matrix)
+                all_scores = np.rint(matrix @ self.vecs[part].T * 1e9) / 1e9
+                at = all_scores.argmax(axis=0)
+                best = all_scores[at, np.arange(len(part))]
+                free = np.isfinite(best) & ~np.isin(self.ids[part], gone)
+                rows, scores, own = np.concatenate([rows, part[free]]), np.concatenate([scores, best[free]]), np.concatenate([own, at[free]])
+                first = np.lexsort((rows, -scores))[:k]
+                rows, scores, own = rows[first], scores[first], own[first]
+            self.pairs += len(self.ids) * len(matrix)
+            yield q, [(int(self.ids[i]), float(x), int(names[o])) for i, x, o in zip(rows, scores, own, strict=True)]
+
+    @property
+    def share_skipped(self) -> float:
+        """Of the products of all queries with all items, those that were not computed."""
+        return 1 - self.products / self.pairs if self.pairs else 0.0
+
+
+def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str, prune: bool = False) -> DataFrame:
     """(keys, movie_id, score, label, rank): for each query (keys, labels, vecs, seen) the k unseen items
     of the largest dot product with any of its vectors. Equal scores go to the smaller id.
+    With prune, cells of items that cannot be among them are left out, which pays where items lie in groups.
 
     Each query row scores the item matrix block by block and keeps k rows, so neither pairs of
     interests and items nor unseen items leave a task. A matrix of at most MATRIX numbers is
@@ -156,6 +215,7 @@ def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str) -> Data
     narrow = queries.select(*keys, "labels", "vecs", F.coalesce("seen", F.array().cast("array<bigint>")).alias("seen"))
     own = items.select("movie_id", "vec")
     size = own.agg(F.sum(F.size("vec"))).first()[0] or 0
+    kind = Cells if prune else Catalogue
 
     def rows_of(pdf: pd.DataFrame, catalogue: Catalogue) -> pd.DataFrame:
         out = [(q, *r) for q, found in catalogue.best(pdf["labels"].tolist(), pdf["vecs"].tolist(), pdf["seen"].tolist(), k) for r in found]
@@ -163,7 +223,7 @@ def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str) -> Data
         return pd.DataFrame({**{c: at[c].to_numpy() for c in keys}, **{name: [r[n] for r in out] for n, name in enumerate(("movie_id", "score", "label"), 1)}})
 
     if size <= MATRIX:
-        shared = queries.sparkSession.sparkContext.broadcast(Catalogue.of(*(c for _, c in own.toPandas().items())))
+        shared = queries.sparkSession.sparkContext.broadcast(kind.of(*(c for _, c in own.toPandas().items())))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -177,7 +237,7 @@ def best_items(queries: DataFrame, items: DataFrame, k: int, *keys: str) -> Data
         left = narrow.withColumns({"_q": F.pmod(F.xxhash64(*keys), F.lit(int(down))), "_i": cells(across)})
         right = own.withColumns({"_i": F.pmod(F.xxhash64("movie_id"), F.lit(int(across))).cast("int"), "_q": cells(down)})
         left, right = left.withColumn("_q", F.col("_q").cast("int")), right.withColumn("_q", F.col("_q").cast("int"))
-        cell = lambda a, b: rows_of(a, Catalogue.of(b["movie_id"], b["vec"]))
+        cell = lambda a, b: rows_of(a, kind.of(b["movie_id"], b["vec"]))
         found = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInPandas(cell, schema)
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "movie_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

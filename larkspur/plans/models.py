@@ -162,6 +162,12 @@ def best_of_all(spark, d):
     return recommendations(spark, d, 3, seen=False).select("user_id", "movie_id", even(F.col("score")).alias("score"))
 
 
+@query("rec1_pruned", f"WITH {SCORES} SELECT user_id, movie_id, {e6('round_even(score * 1e9, 0) / 1e9')} AS score, rank FROM ranked WHERE rank <= 7")
+def pruned_search(spark, d):
+    """REC-1, JOIN-16: the same by cells of items, of which only those are scored that can hold one of the best."""
+    return recommendations(spark, d, 7, prune=True).select("user_id", "movie_id", even(F.col("score")).alias("score"), "rank")
+
+
 @query("top1_items", f"WITH {SCORES} SELECT user_id, movie_id, rank FROM ranked WHERE rank <= 12")
 def top_items(spark, d):
     """TOP-1: the best twelve of each user; ties go to the smaller id."""

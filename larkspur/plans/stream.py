@@ -13,7 +13,7 @@ from ..operators import interests as it
 from ..registry import RATINGS, query
 from ..session import scratch
 from ..sources import adapters as ad
-from ..streaming import replay, state, store
+from ..streaming import compact, late, replay, state, store
 from .interests import members
 from .stats import e6
 
@@ -151,7 +151,7 @@ def changed_rows(spark, d):
 @query("stm9_fold_batch")
 def fold_batch(spark, d):
     """STM-9: every user's events through the state machine, as a batch."""
-    return state.fold_batch(log(spark, d), known_items(spark, d), OPTIONS).drop("vecs", "seen")
+    return state.fold_batch(log(spark, d), known_items(spark, d), OPTIONS).drop("vecs", "seen", "decisions")
 
 
 PENDING = STATES + """,
@@ -234,6 +234,67 @@ def fold_stream(spark, d):
     return streamed(spark, log(spark, d), known_items(spark, d), OPTIONS).select("event_id", "changed", "inactive", "active")
 
 
+@query("stm22_late_events", f"WITH {STATES} SELECT event_id, changed, inactive, active FROM own")
+def late_events(spark, d):
+    """STM-22: a stream whose files hold the events in no order: what was told too early is told again, and ends as the batch."""
+    events = log(spark, d).select("user_id", "event_id", "movie_id", "ts_s", "rating")
+    base = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{base}/log")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    out = replay.run_stream(late.fold_late(stream, known_items(spark, d), OPTIONS), f"{base}/out", f"{base}/checkpoint")
+    return late.latest(out).select("event_id", "changed", "inactive", "active")
+
+
+# The fold's own decisions as history, projected and served. Labels are the clusters', which SQL does not have; what it does
+# have: at the refit before an event (e) all active rows are members, and a row that is first met after it is assigned, until it leaves.
+DECIDED = REFITS + """,
+c AS (
+  SELECT *, max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS e,
+         max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM outcomes),
+spans AS (
+  SELECT c.user_id, c.event_id, c.i, c.e, a.j, count(*) AS n, min(a.i) AS first, max(a.i) AS last
+  FROM c JOIN act a ON a.user_id = c.user_id AND a.i BETWEEN c.e AND c.i GROUP BY ALL),
+drawn AS (
+  SELECT c.user_id, c.event_id, c.i AS place, c.e IS NOT NULL AS fitted, coalesce(x.assigned, 0) AS assigned, coalesce(x.base, 0) AS base
+  FROM c LEFT JOIN (
+    SELECT user_id, event_id, count(*) FILTER (last = i AND n = i - first + 1 AND first > e) AS assigned, count(*) FILTER (last = i AND n = i - first + 1 AND first = e) AS base
+    FROM spans GROUP BY ALL) x USING (user_id, event_id))"""
+
+
+def projection(spark, d):
+    """The fold's history of the whole log, appended as one epoch, with clustering on."""
+    h = compact.History(spark, f"{scratch(spark)}/history-{uuid.uuid4().hex}")
+    h.append(state.fold_batch(log(spark, d), known_items(spark, d), only_forced(threshold=-1.0, decide=True)), 0)
+    return h
+
+
+@query("stm18_fold_decisions", f"""WITH {DECIDED}
+SELECT user_id, 'base' AS kind, CAST(sum(active) AS BIGINT) AS n FROM outcomes WHERE refit = 'closed' GROUP BY user_id
+UNION ALL SELECT user_id, 'inactivate', CAST(sum(inactive) AS BIGINT) FROM outcomes GROUP BY user_id HAVING sum(inactive) > 0
+UNION ALL SELECT user_id, 'projection', count(*) FROM (
+  SELECT DISTINCT c.user_id, c.before, a.j FROM c JOIN act a ON a.user_id = c.user_id AND a.i = c.i
+  WHERE c.before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM act b WHERE b.user_id = c.user_id AND b.i = c.before AND b.j = a.j)) GROUP BY user_id""")
+def fold_decisions(spark, d):
+    """STM-18: the fold's decisions on single rows, as its history keeps them."""
+    told = projection(spark, d).read("decisions").select("user_id", F.inline("decisions"))
+    return told.groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("stm19_fold_timeline", f"WITH {DECIDED} SELECT user_id, event_id, fitted, assigned FROM drawn")
+def fold_timeline(spark, d):
+    """STM-19: the compact projection of the fold's own history: after each event the points drawn since the last refit."""
+    return projection(spark, d).read("timeline").select("user_id", "event_id", F.col("refit").isNotNull().alias("fitted"), "assigned")
+
+
+@query("api2_served", f"WITH {DECIDED} SELECT event_id, assigned FROM drawn WHERE user_id = 5")
+def served_timeline(spark, d):
+    """API-2: one user's timeline from a table laid out by user; the plan reads one bucket."""
+    at = f"{scratch(spark)}/served-{uuid.uuid4().hex}"
+    compact.lay_out(projection(spark, d).read("timeline").select("user_id", "event_id", "replay_order", "k_count", "noise", "assigned"), at, "user_id", "replay_order")
+    return compact.served(spark, at, "user_id", 5).select("event_id", "assigned").orderBy("event_id")
+
+
 @query("sto14_resumed", f"WITH {STATES} SELECT event_id, changed, active FROM own")
 def resumed(spark, d):
     """STO-14: a stream that stops and goes on from its checkpoint: what it has told is kept, and nothing is told twice."""

@@ -46,6 +46,8 @@ class Options:
     encode: Callable[[np.ndarray], np.ndarray] = recency_mean
     #: Whether records carry the interests and the seen items, for recommendations after the event.
     recommend: bool = False
+    #: Whether records carry the decisions on single rows, for a history of them.
+    decide: bool = False
 
     @property
     def waiting(self) -> int:
@@ -196,12 +198,16 @@ def triggers(state: UserState, o: Options) -> set[str]:
 
 
 def refit(state: UserState, o: Options) -> str:
+    return refitted(state, o)[0]
+
+
+def refitted(state: UserState, o: Options) -> tuple[str, list[int]]:
     """Skipped for few active rows (the reasons stay), else new interests from the clusters' means,
-    or from the mean of all rows when all are noise, and a new 3-d projection."""
+    or from the mean of all rows when all are noise, and a new 3-d projection. Also the active rows' labels."""
     state.open = False
     if len(state.active) < o.refit_min:
         state.required = True
-        return "skipped"
+        return "skipped", []
     x = np.stack([state.vectors[k[2]] for k in state.active])
     labels = cluster(x, o.min_cluster)[0]
     names = sorted(set(labels[labels >= 0].tolist()))
@@ -211,7 +217,7 @@ def refit(state: UserState, o: Options) -> str:
     state.pending, state.processed = set(), {k[2] for k in state.active}
     state.assigned = state.outliers = 0
     state.required, state.reasons = False, set()
-    return "closed"
+    return "closed", labels.tolist()
 
 
 def step(state: UserState, event: tuple, o: Options) -> dict:
@@ -223,8 +229,11 @@ def step(state: UserState, event: tuple, o: Options) -> dict:
     state.version += 1
     seen = {"assigned": 0, "outliers": 0}
     own, point = None, None
+    decisions = [("inactivate", r, None) for r in inactive]
     for key in changed:
-        status, _, _ = assign(state, key[2], state.vectors[key[2]], o)
+        status, best, _ = assign(state, key[2], state.vectors[key[2]], o)
+        if status == "assigned":
+            decisions.append(("projection", key[2], best))
         seen["assigned"] += status == "assigned"
         seen["outliers"] += status.startswith("outlier")
         if key[2] == raw:
@@ -241,18 +250,21 @@ def step(state: UserState, event: tuple, o: Options) -> dict:
     outcome = None
     if state.required and not state.open:
         state.open = True
-        outcome = refit(state, o)
+        outcome, labels = refitted(state, o)
+        decisions += [("base", k[2], label) for k, label in zip(state.active, labels, strict=False)]
         state.version += 1
     out = {"event_id": raw, "status": own or ("unknown_item" if positive else "not_positive"), "changed": len(changed), "inactive": len(inactive), **seen}
     out |= {"active": len(state.active), "pending": len(state.pending), "refit": outcome, "interests": len(state.interests), "version": state.version, "point": point}
     if o.recommend:
         out |= {"vecs": [v.tolist() for v in state.interests], "seen": sorted(state.liked)}
+    if o.decide:
+        out["decisions"] = [{"kind": kind, "raw_id": r, "label": label} for kind, r, label in decisions]
     return out
 
 
 RECORD = (
     "user_id bigint, event_id bigint, status string, changed bigint, inactive bigint, assigned bigint, outliers bigint, active bigint, pending bigint, "
-    "refit string, interests bigint, version bigint, point array<double>, vecs array<array<double>>, seen array<bigint>"
+    "refit string, interests bigint, version bigint, point array<double>, vecs array<array<double>>, seen array<bigint>, decisions array<struct<kind:string,raw_id:bigint,label:bigint>>"
 )
 COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
 EVENT = ["user_id", "user_seq", "event_id", "movie_id", "ts_s", "rating", "vec"]
@@ -284,7 +296,7 @@ def rest(state: UserState, o: Options) -> Iterator[dict]:
 
 def frame(user: int, rows: list[dict]) -> pd.DataFrame:
     """Records as a table; what a record lacks is null."""
-    plain = ("status", "refit", "point", "vecs", "seen")
+    plain = ("status", "refit", "point", "vecs", "seen", "decisions")
     columns = {c: pd.Series([r.get(c) for r in rows], dtype=object if c in plain else "Int64") for c in COLUMNS[1:]}
     return pd.DataFrame({"user_id": pd.Series([user] * len(rows), dtype="int64"), **columns})
 

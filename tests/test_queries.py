@@ -81,8 +81,68 @@ def test_fold_equals_states_from_scratch(spark, sf):
     assert got == want and sum(x[5] == "closed" for x in want.values()) > 5
 
 
+def test_catalogue_clusters_equal_all_pairs(spark, sf):
+    from larkspur.sources import adapters as ad
+
+    items = ad.items(spark, sf).orderBy("movie_id").collect()
+    want = brute_labels(np.array([r.vec[:3] for r in items]), 4)
+    got = {r.movie_id: r.label for r in catalog.QUERIES["clu1_catalogue"](spark, sf).collect()}
+    assert got == {r.movie_id: int(k) for r, k in zip(items, want, strict=True)} and len(set(want.tolist())) > 2
+
+
+def test_layouts_are_those_of_each_user_alone(spark, sf):
+    """Every user's layout from distances of all pairs of rows, and the later rows of each in that of the earlier ones."""
+    from larkspur.operators import density, layout
+
+    got = {r.event_id: (r.x, r.y, r.z) for r in catalog.QUERIES["clu1_layout"](spark, sf).collect()}
+    placed = {r.event_id: (r.x, r.y, r.z) for r in catalog.QUERIES["clu4_placed"](spark, sf).collect()}
+    rows = by_user(spark, sf)
+    assert set(got) == {r.event_id for x in rows.values() for r in x}
+    assert set(placed) == {r.event_id for x in rows.values() for i, r in enumerate(x) if 5 * i >= 4 * len(x)} and np.isfinite(list(placed.values())).all()
+    for events in list(rows.values())[:3]:
+        x, n = np.stack([r.vec for r in events]), len(events)
+        far = density.apart(x, x)
+        np.fill_diagonal(far, np.inf)
+        at, d = np.argsort(far, axis=1, kind="stable")[:, :10], np.sort(far, axis=1)[:, :10]
+        seen = np.zeros((n, n))
+        np.put_along_axis(seen, at, layout.smoothed(d), axis=1)
+        met = np.zeros((n, n), dtype=bool)
+        np.put_along_axis(met, at, True, axis=1)
+        # to the last bit, as a layout grows from its start through many steps
+        both = 1.0 - (1.0 - np.maximum(seen, seen.T)) * (1.0 - np.minimum(seen, seen.T))
+        a, b = np.nonzero(np.triu(met | met.T))
+        want = layout.laid_out(n, a, b, both[a, b], 3, 100, 42)
+        np.testing.assert_allclose([got[r.event_id] for r in events], want, atol=1e-9)
+
+
+def test_transformer_equals_single_contexts(spark, sf):
+    from larkspur.operators import sequences as sq
+    from larkspur.operators import transformer as tr
+    from larkspur.plans import learned
+    from larkspur.sources import adapters as ad
+
+    _, kinds = learned.indexed(spark, sf)
+    s = learned.shape_of(kinds, width=16, length=10)
+    w, index = tr.drawn(s), {r.movie_id: (r.item_idx, r.genres) for r in kinds.collect()}
+    flags = learned.flags(kinds, s)
+    contexts = sq.context_windows(sq.positives(ad.ratings(spark, sf)), ad.known(), 10).collect()
+    got = {r.event_id: r.vec for r in catalog.QUERIES["mdl3_transformer"](spark, sf).collect()}
+    assert len(got) == len(contexts) > 300
+    for c in contexts[::7]:
+        ids = np.array([[index[m][0] for m in c["items"]]])
+        np.testing.assert_allclose(got[c.event_id], tr.body(w, s, tr.entered(w, ids, flags[ids]), ids != 0)[0][0, -1], atol=1e-10)
+
+
+def test_training_lowers_its_losses(spark, sf):
+    got = catalog.QUERIES["mdl4_trained"](spark, sf).orderBy("epoch").collect()
+    assert [r.epoch for r in got] == [1, 2, 3] and got[2].ce < got[0].ce
+    assert all(np.isfinite([r.ce, r.cl]).all() and 0 <= r.ndcg <= r.recall <= 1 for r in got)
+
+
 def test_all_others_are_checked_above():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"clu1_density", "win7_sliding_k", "stm9_fold_batch"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {
+        "clu1_density", "clu1_catalogue", "clu1_layout", "clu4_placed", "mdl3_transformer", "mdl4_trained", "win7_sliding_k", "stm9_fold_batch",
+    }
 
 
 def test_entry(spark):

@@ -381,6 +381,29 @@ def test_two_blobs():
     assert set(labels[:30].tolist()) - {-1} == {0} and set(labels[30:].tolist()) - {-1} == {1}
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.5, 10.0])
+def test_pruned_search_equals_the_full_scan(spread):
+    """All items by cells and by a full scan; where items lie in groups, most products are skipped."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 12))
+    vecs = np.concatenate([c * rng.uniform(0.5, 2) + rng.normal(0, spread, (50, 12)) for c in centres])
+    vecs[::97] = vecs[5]  # equal items
+    vecs[3] = np.nan
+    ids = rng.permutation(len(vecs))
+    labels, queries, seen = [], [], []
+    for q in range(40):
+        n = int(rng.integers(0, 4))
+        labels.append(list(range(n)))
+        queries.append([centres[rng.integers(30)] + rng.normal(0, 0.1, 12) for _ in range(n)])
+        seen.append(None if q % 3 == 0 else rng.choice(ids, 100).tolist())
+    queries[0] = [np.full(12, np.nan), centres[0]]
+    labels[0] = [0, 1]
+    cells = it.Cells(ids, vecs)
+    assert dict(cells.best(labels, queries, seen, 10)) == dict(it.Catalogue(ids, vecs).best(labels, queries, seen, 10))
+    print(f"spread {spread}: {cells.share_skipped:.2f} of all products skipped")
+    assert spread > 0.1 or cells.share_skipped > 0.8
+
+
 @pytest.mark.parametrize("tile", [4, 13, 50, 1000])
 def test_tiles_give_the_labels_of_one_task(spark, tile):
     groups = {7: blobs(3, 120), 8: np.round(blobs(4) * 4), 9: np.zeros((3, 3)), 10: np.ones((1, 3)), 11: np.zeros((30, 3))}
