@@ -8,14 +8,16 @@ the bits are cut into four blocks of 32, and since the blocks' bounds (REACH) ad
 RADIUS - 3, a pair within the radius is within the bound of one block at least. An item's block is found by posting
 lists: block and value -> the items within the bound, computed when a value is first met and kept for the
 windows that follow. Of unrelated pairs about 1.2 in 100 pass a block. Each pair within the radius is then
-verified by its exact weighted Jaccard similarity, the weight of a shingle being its count.
+verified by its exact weighted Jaccard similarity, the weight of a shingle being its count; the similarities of
+neighbouring windows with an item come from one pass over their shingles.
 
 The radius: at a similarity of just 0.8, 19.4 of 128 bits differ on average, with a deviation of 4.1;
 what differs in more than 34 is missed, about one of 10,000 windows of just that similarity, and fewer
 the closer they are. The tests measure it by item length.
 
-The items go to the tasks in broadcasts of bounded size, each built from one block of items that passes through the
-driver; the documents are read once, whatever the number of blocks, and not shuffled. A document
+The items go to the tasks in blocks of bounded size, each of which passes through the driver and is broadcast. A benchmark of
+one block is met as the documents are read; of a larger one the blocks follow each other, each reading the documents
+and giving its memory back before the next. The documents are not shuffled. A document
 shorter than an item counts as one window if it has four fifths of its words.
 
 Results in odd cases: null and empty texts and items match nothing; equal items each get their own
@@ -29,6 +31,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +101,16 @@ def similarity(a: list[bytes], b: list[bytes], width: int) -> float:
     return both / (sum(p.values()) + sum(q.values()) - both)
 
 
+def covered(anchors: np.ndarray, run: int, last: int) -> list[tuple[int, int]]:
+    """First and last start of the windows of `run` shingles that hold an anchor (rising), as spans that do not meet."""
+    low, high = np.maximum(anchors - run + 1, 0), np.minimum(anchors, last)
+    low, high = low[low <= high], high[low <= high]
+    if not len(low):
+        return []
+    cut = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+    return list(zip(low[np.r_[0, cut]].tolist(), high[np.r_[cut - 1, len(high) - 1]].tolist(), strict=True))
+
+
 class Known:
     """Membership in a fixed set of hashes: a table of their top bits first, then a sorted search."""
 
@@ -130,6 +143,44 @@ class Items:
         self.prints = np.concatenate([window_prints(h, len(h)) for h in hashes])
         self.values = np.ascontiguousarray(self.prints.view(np.uint32).T)
         self.lists: dict[tuple[int, int], np.ndarray] = {}
+        self.own: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+
+    def shingles_of(self, i: int) -> tuple[np.ndarray, np.ndarray, list]:
+        """Hashes of an item's distinct shingles in order, how often each stands in it, and their words."""
+        if i not in self.own:
+            if len(self.own) >= LISTS:
+                self.own.clear()
+            counts = Counter(tuple(self.words[i][k : k + self.width]) for k in range(self.length - self.width + 1))
+            grams = list(counts)
+            h = np.concatenate([shingles(np.array([word_hash(w) for w in g], dtype=np.int64), self.width) for g in grams])
+            order = np.argsort(h, kind="stable")
+            self.own[i] = h[order], np.array([counts[grams[k]] for k in order.tolist()]), [grams[k] for k in order.tolist()]
+        return self.own[i]
+
+    def similarities(self, i: int, words: list[bytes], h: np.ndarray, low: int, high: int, run: int) -> np.ndarray:
+        """Weighted Jaccard of item i and each window of `run` shingles that starts from low to high, in one pass.
+
+        A shingle that an item holds m times counts in a window for its last m places there: a place counts from
+        where a window first reaches it until the window leaves it or reaches the m-th place of the same shingle after it.
+        """
+        known, counts, grams = self.shingles_of(i)
+        part = h[low : high + run]
+        at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+        places = np.flatnonzero(known[at] == part)
+        # hashes that are equal are compared by their words
+        places = np.array([p for p in places.tolist() if tuple(words[low + p : low + p + self.width]) == grams[at[p]]], dtype=np.int64)
+        kinds = at[places]
+        order = np.argsort(kinds, kind="stable")
+        kinds, places = kinds[order], places[order]
+        later = np.arange(len(places)) + counts[kinds]
+        same = later < len(places)
+        same[same] = kinds[later[same]] == kinds[same]
+        until = np.where(same, places[np.minimum(later, len(places) - 1)] - run, len(part)) if len(places) else places
+        first, last = np.maximum(places - run + 1, 0), np.minimum(np.minimum(places, until), high - low)
+        first, last = first[first <= last], last[first <= last]
+        change = np.bincount(first, minlength=high - low + 2) - np.bincount(last + 1, minlength=high - low + 2)
+        both = change[: high - low + 1].cumsum()
+        return both / (run + self.length - self.width + 1 - both)
 
     def near(self, block: int, value: int) -> np.ndarray:
         """The items whose block lies within its bound of a value."""
@@ -194,21 +245,21 @@ class Index:
             if not len(anchors):
                 continue
             run = size - items.width + 1  # shingles of a window
-            # windows that hold an anchor
-            starts = np.unique((anchors[:, None] - np.arange(run)[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(h) - run)]
-            # neighbouring windows share one pass of sums
-            for zone in np.split(starts, np.flatnonzero(np.diff(starts) > run) + 1):
-                for k in range(0, len(zone), WINDOWS):
-                    part = zone[k : k + WINDOWS]
-                    low, high = int(part[0]), int(part[-1])
-                    prints = window_prints(h[low : high + run], run)[part - low]
-                    for w, i in zip(*(x.tolist() for x in items.candidates(prints)), strict=True):
-                        start = int(part[w])
-                        s = similarity(words[start : start + size], items.words[i], items.width)
-                        if s >= least:
-                            best = found.get(items.ids[i], (0.0, 0, 0, 0))
-                            found[items.ids[i]] = (s, start, size, best[3] + 1) if s > best[0] else (*best[:3], best[3] + 1)
+            # windows that hold an anchor; neighbouring ones share one pass of sums
+            for begin, end in covered(anchors, run, len(h) - run):
+                step = max(WINDOWS, run)
+                for low in range(begin, end + 1, step):
+                    high = min(low + step - 1, end)
+                    w, i = items.candidates(window_prints(h[low : high + run], run))
+                    for one in np.unique(i).tolist():
+                        own = w[i == one]
+                        s = items.similarities(one, words, h, low + int(own[0]), low + int(own[-1]), run)[own - own[0]]
+                        close = np.flatnonzero(s >= least)
+                        if len(close):
+                            top = int(close[s[close].argmax()])
+                            best = found.get(items.ids[one], (0.0, 0, 0, 0))
+                            mine = (float(s[top]), low + int(own[top]), size) if s[top] > best[0] else best[:3]
+                            found[items.ids[one]] = (*mine, best[3] + len(close))
         return found
 
 
@@ -230,28 +281,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, key: str
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType
     schema = f"{key} {kind}, {item} {item_kind.simpleString()}, similarity double, first_word bigint, n_words bigint, n_windows bigint"
-    shared = [spark.sparkContext.broadcast(pickle.dumps(Index(rows))) for rows in blocks(benchmark, item, "text")]
-    if not shared:
+    parts = blocks(benchmark, item, "text")
+    now, out = next(parts, None), []
+    if now is None:
         return spark.createDataFrame([], schema)
-    return docs.select(key, "text").mapInArrow(_search(shared, least, key, item), schema)
-
-
-def _search(shared: list, least: float, key: str, item: str):
+    while now is not None:
+        shared = spark.sparkContext.broadcast(pickle.dumps(Index(now)))
+        found = docs.select(key, "text").mapInArrow(_search(shared, least, key, item), schema)
+        now = next(parts, None)
+        if now is None and not out:
+            return found
+        # one block of items at a time, on the driver and in the tasks
+        out.append(table(found, "block-matches"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, out)
+
+
+def _search(shared, least: float, key: str, item: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index = WordIds(word_hash), None
+        ids, index = WordIds(word_hash), pickle.loads(shared.value)
         names = [key, item, "similarity", "first_word", "n_words", "n_windows"]
         for batch in batches:
-            words = [t.translate(ALNUM).split() for t in texts(batch, "text")] if len(shared) > 1 else None
-            for block in shared:
-                if index is None or len(shared) > 1:
-                    index = pickle.loads(block.value)  # one block of items at a time
-                at, rows = [], []
-                for n, w in enumerate(words or (t.translate(ALNUM).split() for t in texts(batch, "text"))):
-                    for i, found in index.match(w, hash_ids(w, ids), least).items():
-                        at.append(n)
-                        rows.append((i, *found))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *map(pa.array, zip(*rows, strict=True))], names)
+            at, rows = [], []
+            for n, text in enumerate(texts(batch, "text")):
+                words = text.translate(ALNUM).split()
+                for i, found in index.match(words, hash_ids(words, ids), least).items():
+                    at.append(n)
+                    rows.append((i, *found))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at)), *map(pa.array, zip(*rows, strict=True))], names)
 
     return run
 

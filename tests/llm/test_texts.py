@@ -193,8 +193,56 @@ def test_index_finds_all_within_the_radius(length):
     assert len(close) > 100 and recall >= 0.995 and met[unrelated].mean() < 0.05
 
 
+@pytest.mark.parametrize("vocabulary", [3, 12, 400])
+def test_sliding_similarities_equal_single_ones(vocabulary):
+    """All windows in one pass, repeated shingles included, against the counts of each window."""
+    rng = np.random.default_rng(vocabulary)
+    words = [f"w{k}".encode() for k in range(vocabulary)]
+    for length in (2, 5, 9, 40):
+        rows = [(k, rng.choice(words, length).tolist()) for k in range(5)]
+        items = decontaminate.Items(rows)
+        doc = [*rng.choice(words, 60).tolist(), *rows[2][1], *rows[2][1][: length // 2], *rows[2][1], *rng.choice(words, 30).tolist()]
+        ids = np.array([decontaminate.word_hash(w) for w in doc], dtype=np.int64)
+        h, run = decontaminate.shingles(ids, items.width), length - items.width + 1
+        for i in range(5):
+            want = [decontaminate.similarity(doc[s : s + length], rows[i][1], items.width) for s in range(len(h) - run + 1)]
+            np.testing.assert_allclose(items.similarities(i, doc, h, 0, len(h) - run, run), want)
+            np.testing.assert_allclose(items.similarities(i, doc, h, 7, 31, run), want[7:32])
+
+
+def test_spans_of_windows():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        last, run = int(rng.integers(0, 60)), int(rng.integers(1, 9))
+        anchors = np.unique(rng.integers(0, last + run, int(rng.integers(1, 12))))
+        want = sorted({s for a in anchors.tolist() for s in range(a - run + 1, a + 1) if 0 <= s <= last})
+        assert [s for a, b in decontaminate.covered(anchors, run, last) for s in range(a, b + 1)] == want
+
+
+def test_a_long_item_repeated_in_a_long_document():
+    """Eight copies of an item of 3,000 words in one document: the work is that of the document's length."""
+    import time
+
+    rng = np.random.default_rng(6)
+    words = [f"w{k}".encode() for k in range(5000)]
+    item = rng.choice(words, 3000).tolist()
+    doc = []
+    for k in range(8):
+        copy = list(item)
+        copy[10 * k] = b"other"
+        doc += copy
+    index = decontaminate.Index([(1, b" ".join(item)), (2, b" ".join(rng.choice(words, 3000).tolist()))])
+    ids = np.array([decontaminate.word_hash(w) for w in doc], dtype=np.int64)
+    began = time.process_time()
+    found = index.match(doc, ids, 0.8)
+    took = time.process_time() - began
+    print(f"24,000 words against 3,000: {took:.2f} s")
+    s, start, size, n = found[1]
+    assert list(found) == [1] and (start, size) == (0, 3000) and s > 0.99 and n > 1000 and took < 10
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
-    """Documents are read once whatever the number of item blocks, and the result is the same."""
+    """Blocks of items follow each other, and the result is the same."""
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(500)]
     items = [(k, " ".join(rng.choice(words, 20))) for k in range(25)]
