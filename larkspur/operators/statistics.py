@@ -35,11 +35,22 @@ def by_candidate(ratings: DataFrame, cutoffs: list[str]) -> DataFrame:
     return wide.select("user_id", F.inline(rows))
 
 
+#: Distinct values that one task may sort.
+SMALL = 100_000
+
+
+def summed_up(by_value: DataFrame, column: str, groups: list[str]) -> DataFrame:
+    """by_value (groups, column, _k) with _upto, the running sum of _k by value: in one go while the values are few, else by ranges."""
+    if by_value.limit(SMALL + 1).count() > SMALL:
+        return running(by_value, column, "_k", "_upto", groups)
+    return by_value.withColumn("_upto", F.sum("_k").over(Window.partitionBy(*groups).orderBy(column)))
+
+
 def picked(df: DataFrame, column: str, at: dict[str, float], by: str | None = None) -> DataFrame:
     """Exact quantiles, linear between neighbours, picked by rank from the counts of the distinct values."""
     groups = [by] if by else []
     by_value = df.groupBy(*groups, column).agg(F.count("*").alias("_k"))
-    upto = running(by_value, column, "_k", "_upto", groups)
+    upto = summed_up(by_value, column, groups)
     whole = upto.groupBy(*groups).agg(F.max("_upto").alias("_n"))
     rows = upto.join(whole, by) if by else upto.crossJoin(F.broadcast(whole))  # one row
     place = lambda q: (F.col("_n") - 1) * F.lit(q)
@@ -76,7 +87,7 @@ def lags(ratings: DataFrame) -> DataFrame:
 def gini(df: DataFrame, column: str) -> DataFrame:
     """Gini coefficient of a column, from ranks by value: equal values share the sum of their ranks,
     so only one row for each distinct value is ranked."""
-    ranked = running(df.groupBy(column).agg(F.count("*").alias("_k")), column, "_k", "_upto")
+    ranked = summed_up(df.groupBy(column).agg(F.count("*").alias("_k")), column, [])
     x, k = F.col(column), F.col("_k")
     weighted = F.sum(x * (k * (F.col("_upto") - k) + k * (k + 1) / 2))
     n, total = F.sum("_k"), F.sum(x * k)

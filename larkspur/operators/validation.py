@@ -34,6 +34,16 @@ def schema_issues(df: DataFrame, contract: Contract) -> list[tuple[str, str, str
     return out
 
 
+def schema_report(df: DataFrame, contract: Contract) -> DataFrame:
+    """(issue, column, details, affected): schema_issues() with the values of the column, or for a missing one the rows, in one pass."""
+    found = schema_issues(df, contract)
+    if not found:
+        return df.sparkSession.createDataFrame([], f"{ISSUE}, affected bigint")
+    counts = df.agg(*(F.count(F.col(f"`{c}`") if c in df.columns else F.lit(1)).alias(f"_{k}") for k, (_, c, _) in enumerate(found)))
+    rows = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(issue, ("issue", "column", "details"), strict=True)), F.col(f"_{k}").alias("affected")) for k, issue in enumerate(found)))
+    return counts.select(F.inline(rows))
+
+
 def violations(df: DataFrame, contract: Contract) -> DataFrame:
     """df's rows with an array of the constraints that each breaks; rows that break none are left out.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import even
 from ..operators import history as hs
+from ..operators import statistics as st
 from ..registry import query
 from ..sources import adapters as ad
 from .clean import PARSED
@@ -219,10 +220,12 @@ def attempts(spark, d):
 @query("rpt1_stages", f"WITH {ATTEMPTS}, s AS (SELECT stage, count(*) AS count, count(*) FILTER (status = 'failed') AS failed, {e6('avg(latency)')} AS mean, {e6('quantile_cont(latency, 0.5)')} AS p50, {e6('quantile_cont(latency, 0.95)')} AS p95, max(latency) AS max, round_even(sum(latency), 2) AS total FROM a GROUP BY stage) SELECT *, total = max(total) OVER () AS dominant FROM s")
 def stages(spark, d):
     """RPT-1: attempts, failures and latency of each stage; the stage with the largest total leads."""
-    s = attempts(spark, d).groupBy("stage").agg(
-        F.count("*").alias("count"), F.count_if(F.col("status") == "failed").alias("failed"), even(F.avg("latency")).alias("mean"), even(F.percentile("latency", 0.5)).alias("p50"), even(F.percentile("latency", 0.95)).alias("p95"), F.max("latency").alias("max"), even(F.sum("latency"), 2).alias("total")
+    a = attempts(spark, d)
+    s = a.groupBy("stage").agg(
+        F.count("*").alias("count"), F.count_if(F.col("status") == "failed").alias("failed"), even(F.avg("latency")).alias("mean"), F.max("latency").alias("max"), even(F.sum("latency"), 2).alias("total")
     )
     # a row for each stage
+    s = s.join(st.picked(a, "latency", {"p50": 0.5, "p95": 0.95}, "stage"), "stage")
     return s.withColumn("dominant", F.col("total") == F.max("total").over(Window.partitionBy(F.lit(1))))
 
 
@@ -280,7 +283,8 @@ def recommendation_report(spark, d):
 )
 def findings(spark, d):
     """RPT-9: rules over the stage report."""
-    a = attempts(spark, d).groupBy("stage").agg(F.avg((F.col("status") == "failed").cast("double")).alias("rate"), F.percentile("latency", 0.95).alias("p95"), F.sum("latency").alias("total"))
+    rows = attempts(spark, d)
+    a = rows.groupBy("stage").agg(F.avg((F.col("status") == "failed").cast("double")).alias("rate"), F.sum("latency").alias("total")).join(st.picked(rows, "latency", {"p95": 0.95}, "stage"), "stage")
     a = a.withColumn("part", F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(1))))
     rules = {"failures": F.col("rate") > 0.085, "slow_tail": F.col("p95") > 60, "dominant": F.col("part") > 0.2}
     return a.select("stage", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in rules.items())))).alias("finding"))

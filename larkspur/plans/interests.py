@@ -16,15 +16,16 @@ from .stats import e6
 
 Z = f"WITH {ZSCORED}"
 POLICY = RATINGS + """,
-few AS (SELECT * FROM ratings WHERE (user_id % 10 <> 3 OR event_id < 150)),
+few AS (SELECT * REPLACE (CASE WHEN user_id % 10 = 3 THEN -(user_id * 1000 + dayofyear(ts)) ELSE user_id END AS user_id) FROM ratings),
 half AS (SELECT * REPLACE (CASE WHEN user_id % 10 = 5 THEN 40.0 ELSE rating END AS rating) FROM few),
 m AS (SELECT user_id, avg(rating) AS mean, stddev_pop(rating) AS std, count(*) AS n FROM half GROUP BY user_id),
 z AS (SELECT h.*, mean, std, n, (rating - mean) / (std + 1e-8) AS z FROM half h JOIN m USING (user_id))"""
 
 
 def policy_rows(spark, d):
-    """Ratings with users of few ratings and users without spread."""
-    r = ad.ratings(spark, d).where("user_id % 10 <> 3 or event_id < 150")
+    """All ratings, with users of few ratings (a user's days as users of their own) and users without spread."""
+    by_day = F.when(F.col("user_id") % 10 == 3, -(F.col("user_id") * 1000 + F.dayofyear("ts"))).otherwise(F.col("user_id"))
+    r = ad.ratings(spark, d).withColumn("user_id", by_day)
     return sq.zscored(r.withColumn("rating", F.when(F.col("user_id") % 10 == 5, 40.0).otherwise(F.col("rating"))))
 
 

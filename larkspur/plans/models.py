@@ -22,7 +22,6 @@ from .rows import VOCABULARY
 from .stats import e6
 from .stream import CHANGES, changes
 
-NEVER = 10**9
 Z, M = f"WITH {ZSCORED}", f"WITH {MEMBERS}"
 
 
@@ -41,17 +40,23 @@ ENCODED = CONTEXT + """,
 own AS (SELECT user_id, event_id, unnest(items) AS movie_id, generate_subscripts(items, 1) AS k, history_len FROM ctx),
 cells AS (
   SELECT user_id, event_id, p, sum(x * pow({decay}, history_len - k)) / sum(pow({decay}, history_len - k)) AS x
-  FROM own JOIN (SELECT vec_id AS movie_id, unnest((embedding::DOUBLE[])[1:4]) AS x, generate_subscripts((embedding::DOUBLE[])[1:4], 1) - 1 AS p FROM embeddings) v USING (movie_id) GROUP BY ALL)"""
+  FROM own JOIN (SELECT vec_id AS movie_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) v USING (movie_id) GROUP BY ALL),
+told AS (SELECT user_id, event_id, sum(p * x) AS x FROM cells GROUP BY ALL)"""
+
+
+def placed_sum(vec):
+    """The sum of a vector's components, each times its place from 1."""
+    return F.aggregate(F.transform(vec, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
 
 
 def embedded(spark, d, encode):
-    """Contexts encoded, and the first four components of each as rows."""
+    """Contexts encoded, and of each the sum of all components, each times its place."""
     contexts = sq.context_windows(sq.positives(ad.ratings(spark, d)), ad.known(), 10)
     v = en.encoded(contexts, ad.items(spark, d), encode)
-    return v.select("user_id", "event_id", F.posexplode(F.slice("vec", 1, 4)).alias("p", "x")).select("user_id", "event_id", F.col("p").cast("bigint").alias("p"), even(F.col("x")).alias("x"))
+    return v.select("user_id", "event_id", even(placed_sum("vec")).alias("x"))
 
 
-@query("mdl6_canonical", f"WITH {ENCODED.replace('{decay}', '0.8')} SELECT user_id, event_id, p, {e6('x')} AS x FROM cells")
+@query("mdl6_canonical", f"WITH {ENCODED.replace('{decay}', '0.8')} SELECT user_id, event_id, {e6('x')} AS x FROM told")
 def canonical(spark, d):
     """MDL-6: an embedding for each known positive, from its context of at most ten items."""
     return embedded(spark, d, en.recency_mean)
@@ -61,7 +66,7 @@ def plain_mean(items: np.ndarray) -> np.ndarray:
     return items.mean(axis=0)
 
 
-@query("mdl3_encoder", f"WITH {ENCODED.replace('{decay}', '1.0')} SELECT user_id, event_id, p, {e6('x')} AS x FROM cells")
+@query("mdl3_encoder", f"WITH {ENCODED.replace('{decay}', '1.0')} SELECT user_id, event_id, {e6('x')} AS x FROM told")
 def other_encoder(spark, d):
     """MDL-3: another encoder in the place of the default: any function of a context's item vectors."""
     return embedded(spark, d, plain_mean)
@@ -79,10 +84,11 @@ def sound_clusters(spark, d):
     return own.select("user_id", "n", ((F.col("top") + 1 == F.col("k")) & (F.coalesce("least", F.lit(3)) >= 3)).alias("sound"))
 
 
-@query("clu2_few_rows", f"{M} SELECT event_id, -1 AS label FROM members")
+@query("clu2_few_rows", f"{M}, s AS (SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n FROM members) SELECT event_id, CASE WHEN n <= 30 THEN -1 END AS label FROM s")
 def few_rows(spark, d):
-    """CLU-2: users with fewer rows than a cluster needs are all noise."""
-    return cg.cluster_users(members(spark, d), least=NEVER).select("event_id", "label")
+    """CLU-2: users with no more rows than a cluster needs are all noise; the others are clustered, with labels of their own."""
+    c = cg.cluster_users(members(spark, d), least=30).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    return c.select("event_id", F.when(F.col("n") <= 30, F.col("label")).alias("label"))
 
 
 REDUCERS = MEMBERS + """,
@@ -110,8 +116,8 @@ def strided(spark, d):
 
 @query("clu6_drawn", f"{M} SELECT user_id, count(*) AS n, true AS centred, true AS ordered FROM members GROUP BY user_id")
 def drawn(spark, d):
-    """CLU-6: the 3-d projection: centred, its directions in order of their spread."""
-    c = cg.cluster_users(members(spark, d), least=NEVER)
+    """CLU-6: the 3-d projection: centred, its directions in order of their spread, whatever the clusters."""
+    c = cg.cluster_users(members(spark, d), least=3)
     a = c.groupBy("user_id").agg(F.count("*").alias("n"), *(F.avg(x).alias(f"m{x}") for x in "xyz"), *(F.var_pop(x).alias(f"v{x}") for x in "xyz"))
     centred = F.greatest(*(F.abs(f"m{x}") for x in "xyz")) < 1e-9
     return a.select("user_id", "n", centred.alias("centred"), ((F.col("vx") >= F.col("vy") - 1e-12) & (F.col("vy") >= F.col("vz") - 1e-12)).alias("ordered"))
@@ -130,20 +136,20 @@ top AS (SELECT user_id, max(l) AS t FROM lab GROUP BY user_id),
 fit AS (SELECT user_id, CASE WHEN t < 0 THEN 0 ELSE l END AS label, vec FROM lab JOIN top USING (user_id) WHERE l >= 0 OR t < 0)"""
 
 
-@query("clu8_refit", f"WITH {NOISY} SELECT user_id, CAST(label AS BIGINT) AS label, count(*) AS size, {e6('avg(vec[1])')} AS first FROM fit GROUP BY ALL")
+@query("clu8_refit", f"WITH {NOISY} SELECT user_id, CAST(label AS BIGINT) AS label, max(n) AS size, {e6('sum(p * x)')} AS whole FROM (SELECT user_id, label, p, count(*) AS n, avg(x) AS x FROM (SELECT user_id, label, unnest(vec) AS x, generate_subscripts(vec, 1) AS p FROM fit) GROUP BY ALL) GROUP BY user_id, label")
 def refit(spark, d):
     """CLU-8: labels to interest vectors; where all are noise, the mean of all rows."""
     m = members(spark, d)
     noisy = m.withColumn("label", F.when((F.col("user_id") % 3 == 0) | (F.col("label") > 6), -1).otherwise(F.col("label")))
-    return it.refitted(noisy, "user_id").select("user_id", "label", "size", even(F.col("vec")[0]).alias("first"))
+    return it.refitted(noisy, "user_id").select("user_id", "label", "size", even(placed_sum("vec")).alias("whole"))
 
 
-@query("clu9_exported", f"{M} SELECT event_id, -1 AS label, event_idx AS timepoint, count(*) OVER (PARTITION BY user_id) AS sequence_length FROM members")
+@query("clu9_exported", f"{M} SELECT event_id, true AS labelled, event_idx AS timepoint, count(*) OVER (PARTITION BY user_id) AS sequence_length FROM members")
 def exported(spark, d):
     """CLU-9: the label table with each row's time and its user's number of rows."""
     m = members(spark, d)
-    c = cg.cluster_users(m, least=NEVER).select("user_id", "event_id", "label").join(m.select("event_id", F.col("event_idx").alias("timepoint")), "event_id")
-    return c.select("event_id", "label", "timepoint", F.count("*").over(Window.partitionBy("user_id")).alias("sequence_length"))
+    c = cg.cluster_users(m, least=3).select("user_id", "event_id", "label").join(m.select("event_id", F.col("event_idx").alias("timepoint")), "event_id")
+    return c.select("event_id", (F.col("label") >= -1).alias("labelled"), "timepoint", F.count("*").over(Window.partitionBy("user_id")).alias("sequence_length"))
 
 
 @query("win7_windows", f"{M}, s AS (SELECT user_id, list(event_idx ORDER BY event_idx, event_id) AS at_, count(*) AS n FROM members GROUP BY user_id), w AS (SELECT *, unnest(range(0, greatest(1, n - 19), 5)) AS a FROM s) SELECT user_id, at_[least((a + least(a + 20, n)) // 2, n - 1) + 1] AS centre, true AS sound FROM w")

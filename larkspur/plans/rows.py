@@ -11,6 +11,7 @@ from ..functions import text as txt
 from ..functions.numbers import even
 from ..operators import cleaning as cl
 from ..operators import sequences as sq
+from ..operators import statistics as st
 from ..operators import validation as val
 from ..registry import MOVIES, RATINGS, ZSCORED, query
 from ..sources import adapters as ad
@@ -491,7 +492,7 @@ def cosines(spark, d):
 @query("mth6_percentiles", f"{R} SELECT movie_id, {e6('quantile_cont(rating, 0.95)')} AS p95 FROM ratings GROUP BY movie_id")
 def percentiles(spark, d):
     """MTH-6: percentiles by linear interpolation."""
-    return ad.ratings(spark, d).groupBy("movie_id").agg(even(F.percentile("rating", 0.95)).alias("p95"))
+    return st.picked(ad.ratings(spark, d), "rating", {"p95": 0.95}, "movie_id")
 
 
 @query("mth7_close", "SELECT vec_id, vec_id % 3 = 0 AS near FROM embeddings")
@@ -575,28 +576,24 @@ def file_digests(spark, d):
 # Validation.
 
 
-def issue_frame(spark, rows):
-    return spark.createDataFrame(rows, val.ISSUE)
-
-
 def contract_rows(spark, d):
     """The catalogue in the columns of the contract, with some prices broken."""
     price = F.when(F.col("movie_id") % 13 == 0, F.lit(None)).when(F.col("movie_id") % 11 == 0, -F.col("p_retailprice")).otherwise(F.col("p_retailprice"))
     return ad.movies(spark, d).select("movie_id", txt.title_year(F.col("raw_title")).alias("t"), price.alias("price")).select("movie_id", "t.title", "t.year", "price")
 
 
-@query("val1_columns", "SELECT * FROM (VALUES ('missing_column', 'year'), ('unexpected_column', 'extra')) t(issue, column_)")
+@query("val1_columns", "SELECT 'missing_column' AS issue, 'year' AS column_, count(*) AS affected FROM part UNION ALL SELECT 'unexpected_column', 'extra', count(CASE WHEN p_size % 7 > 0 THEN 1 END) FROM part")
 def column_issues(spark, d):
-    """VAL-1: missing and unexpected columns."""
-    found = val.schema_issues(contract_rows(spark, d).drop("year").withColumn("extra", F.lit(1)), files.contract(CONTRACT))
-    return issue_frame(spark, found).select("issue", F.col("column").alias("column_"))
+    """VAL-1: missing and unexpected columns, and the rows that lack a value or have one too many."""
+    rows = contract_rows(spark, d).withColumnRenamed("year", "extra")
+    return val.schema_report(rows, files.contract(CONTRACT)).select("issue", F.col("column").alias("column_"), "affected")
 
 
-@query("val2_types", "SELECT * FROM (VALUES ('dtype_mismatch', 'year', 'string for bigint'), ('dtype_mismatch', 'price', 'float for double')) t(issue, column_, details)")
+@query("val2_types", "SELECT 'dtype_mismatch' AS issue, 'year' AS column_, 'string for bigint' AS details, count(CASE WHEN p_size % 7 > 0 THEN 1 END) AS affected FROM part UNION ALL SELECT 'dtype_mismatch', 'price', 'float for double', count(CASE WHEN p_partkey % 13 > 0 THEN 1 END) FROM part")
 def type_issues(spark, d):
-    """VAL-2: columns of another type than the contract's."""
+    """VAL-2: columns of another type than the contract's, and their values."""
     rows = contract_rows(spark, d).withColumns({"year": F.col("year").cast("string"), "price": F.col("price").cast("float")})
-    return issue_frame(spark, val.schema_issues(rows, files.contract(CONTRACT))).select("issue", F.col("column").alias("column_"), "details")
+    return val.schema_report(rows, files.contract(CONTRACT)).select("issue", F.col("column").alias("column_"), "details", "affected")
 
 
 def broken(spark, d, kind):

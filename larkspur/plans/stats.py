@@ -118,7 +118,7 @@ def span_by_length(spark, d):
     """AGG-24: spans of the users with so many ratings at least."""
     u = st.user_spans(ad.ratings(spark, d))
     t = u.select("days", F.explode(F.filter(F.array(*map(F.lit, (50, 65, 75))), lambda t: t <= F.col("n"))).alias("threshold"))
-    return t.groupBy("threshold").agg(F.count("*").alias("users"), even(F.percentile("days", 0.5)).alias("median_days"), even(F.avg("days")).alias("mean_days"))
+    return t.groupBy("threshold").agg(F.count("*").alias("users"), even(F.avg("days")).alias("mean_days")).join(st.picked(t, "days", {"median_days": 0.5}, "threshold"), "threshold")
 
 
 @query("agg25_genre_ratings", f"WITH {PARSED}, {RATINGS}, {STARS}, g AS (SELECT movie_id, unnest(genres) AS genre FROM parsed) SELECT genre, count(*) AS n, {e6('avg(rating)')} AS mean FROM g JOIN stars USING (movie_id) GROUP BY genre")

@@ -191,7 +191,7 @@ def refit_reset(spark, d):
 @query("stm15_projected", f"WITH {REFITS}, c AS (SELECT *, max(CASE WHEN refit = 'closed' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS last FROM outcomes) SELECT event_id, CASE WHEN NOT on_ THEN 'not_projected' WHEN coalesce(last < i, false) OR coalesce((SELECT max(e.i) FROM c e WHERE e.user_id = c.user_id AND e.refit = 'closed' AND e.i < c.i) >= 0, false) THEN 'projected' ELSE 'not_projected' END AS outcome FROM c")
 def projected_rows(spark, d):
     """STM-15: an assigned row is drawn with the reducer of the last refit; others, and rows before a refit, are not."""
-    out = state.fold_batch(log(spark, d), known_items(spark, d), only_forced(min_cluster=NEVER, threshold=-1.0))
+    out = state.fold_batch(log(spark, d), known_items(spark, d), only_forced(threshold=-1.0))
     return out.select("event_id", F.when(F.col("point").isNotNull(), "projected").otherwise("not_projected").alias("outcome"))
 
 
@@ -418,14 +418,14 @@ def row_counts(spark, d):
 
 @query(
     "stm8_cache_changes",
-    f"""WITH {CHANGES}, a AS (SELECT key, md5(string_agg(CAST(a AS VARCHAR), ',' ORDER BY seq)) AS s FROM ch WHERE seq < 5000 AND key % 9 <> 1 GROUP BY key),
-    b AS (SELECT key, md5(string_agg(CAST(a AS VARCHAR), ',' ORDER BY seq)) AS s FROM ch WHERE (seq < 5000 OR key % 4 = 0) AND key % 9 <> 2 GROUP BY key)
+    f"""WITH {CHANGES}, a AS (SELECT key, md5(string_agg(CAST(a AS VARCHAR), ',' ORDER BY seq)) AS s FROM ch WHERE seq % 2 = 0 AND key % 9 <> 1 GROUP BY key),
+    b AS (SELECT key, md5(string_agg(CAST(a AS VARCHAR), ',' ORDER BY seq)) AS s FROM ch WHERE (seq % 2 = 0 OR key % 4 = 0) AND key % 9 <> 2 GROUP BY key)
     SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'insert' WHEN b.key IS NULL THEN 'inactive' ELSE 'update' END AS change
     FROM a FULL JOIN b ON a.key = b.key WHERE a.s IS DISTINCT FROM b.s""",
 )
 def cache_changes(spark, d):
     """STM-8, STM-7, SET-8, JOIN-9: old and new signatures compared: inserts, updates, and rows gone."""
     c = changes(spark, d)
-    a = store.signatures(c.where("seq < 5000 and key % 9 <> 1"), "key", "seq", "a")
-    b = store.signatures(c.where("(seq < 5000 or key % 4 = 0) and key % 9 <> 2"), "key", "seq", "a")
+    a = store.signatures(c.where("seq % 2 = 0 and key % 9 <> 1"), "key", "seq", "a")
+    b = store.signatures(c.where("(seq % 2 = 0 or key % 4 = 0) and key % 9 <> 2"), "key", "seq", "a")
     return store.changed(a, b, "key")
