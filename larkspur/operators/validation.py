@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +77,9 @@ def other_dimensions(rows: DataFrame, group: str, vec: str) -> DataFrame:
     return own.select(group, (F.col("_all") - F.col("_most")).alias("wrong"))
 
 
-def option_issues(speed: float, top_k: int, skip_refit: bool, forced_every: int | None) -> list[str]:
-    """Names of a run's options that are out of bounds or contradict each other."""
-    tests = {"speed": speed <= 0, "top_k": top_k <= 0, "refit": skip_refit and forced_every is not None}
-    return [name for name, wrong in tests.items() if wrong]
+def option_issues(speed: str, top_k: str, skip_refit: str, forced_every: str) -> Column:
+    """Names of a run's options (columns) that are out of bounds or contradict each other; an interval of 0 or none is no forced refit."""
+    every = F.coalesce(F.col(forced_every), F.lit(0))
+    tests = {"speed": F.col(speed) <= 0, "top_k": F.col(top_k) <= 0, "refit": F.col(skip_refit) & (every > 0)}
+    return F.array_compact(F.array(*(F.when(wrong, F.lit(name)) for name, wrong in tests.items())))
+

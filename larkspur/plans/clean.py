@@ -95,17 +95,6 @@ constraints:
 """
 
 
-@query(
-    "src9_contract_columns",
-    """SELECT * FROM (VALUES (0, 'movie_id', 'bigint', false), (1, 'title', 'string', false), (2, 'year', 'bigint', true), (3, 'price', 'double', false))
-       t(place, name, kind, nullable)""",
-)
-def contract_columns(spark, d):
-    """SRC-9: a YAML contract as a schema."""
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(files.contract(CONTRACT).schema)]
-    return spark.createDataFrame(rows, "place int, name string, kind string, nullable boolean")
-
-
 @query("src10_required_columns", "SELECT vec_id, len(embedding) AS dim FROM embeddings")
 def required_columns(spark, d):
     """SRC-10, SNK-6: a bundle of parallel columns with a check of the required ones."""

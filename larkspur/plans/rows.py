@@ -564,13 +564,13 @@ def requests(spark, d):
     return ad.load(spark, d, "events").select("event_id", F.concat_ws(":", F.lit("run"), F.col("user_id").cast("string"), F.col("event_id").cast("string"), digest).alias("request"))
 
 
-@query("hsh3_file_digests", "SELECT sha256('region of the sea' || chr(10)) AS digest, 18 AS bytes, false AS too_large UNION ALL SELECT NULL, 4001, true")
+@query("hsh3_file_digests", "WITH f AS (SELECT string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS text FROM customer GROUP BY c_nationkey) SELECT CASE WHEN length(text) <= 1200 THEN sha256(text) END AS digest, length(text) AS bytes, length(text) > 1200 AS too_large FROM f")
 def file_digests(spark, d):
-    """HSH-3: digests of files up to a size."""
+    """HSH-3: digests of files up to a size, here one file of customers' names for each nation."""
     path = _path(spark, "digests")
-    for name, text in (("a", "region of the sea"), ("b", "x" * 4000)):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
-    return files.digests(spark, f"{path}/*/part-*", 1000).select("digest", F.col("bytes").cast("int").alias("bytes"), "too_large")
+    names = ad.load(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    names.select(F.col("c_name").alias("value"), "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return files.digests(spark, f"{path}/*/part-*", 1200).select("digest", "bytes", "too_large")
 
 
 # Validation.
@@ -582,6 +582,21 @@ def contract_rows(spark, d):
     return ad.movies(spark, d).select("movie_id", txt.title_year(F.col("raw_title")).alias("t"), price.alias("price")).select("movie_id", "t.title", "t.year", "price")
 
 
+@query(
+    "src9_contract_columns",
+    """SELECT 0 AS place, 'movie_id' AS name, 'bigint' AS kind, false AS nullable, count(*) - count(p_partkey) AS nulls FROM part
+       UNION ALL SELECT 1, 'title', 'string', false, count(*) - count(p_name) FROM part
+       UNION ALL SELECT 2, 'year', 'bigint', true, count(CASE WHEN p_size % 7 = 0 THEN 1 END) FROM part
+       UNION ALL SELECT 3, 'price', 'double', false, count(CASE WHEN p_partkey % 13 = 0 THEN 1 END) FROM part""",
+)
+def contract_columns(spark, d):
+    """SRC-9: a YAML contract as a schema, and the nulls that a table has in each of its columns."""
+    fields = list(files.contract(CONTRACT).schema)
+    counts = contract_rows(spark, d).agg(*(F.count_if(F.col(f.name).isNull()).alias(f.name) for f in fields))
+    rows = (F.struct(F.lit(i).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("kind"), F.lit(f.nullable).alias("nullable"), F.col(f.name).alias("nulls")) for i, f in enumerate(fields))
+    return counts.select(F.inline(F.array(*rows)))
+
+
 @query("val1_columns", "SELECT 'missing_column' AS issue, 'year' AS column_, count(*) AS affected FROM part UNION ALL SELECT 'unexpected_column', 'extra', count(CASE WHEN p_size % 7 > 0 THEN 1 END) FROM part")
 def column_issues(spark, d):
     """VAL-1: missing and unexpected columns, and the rows that lack a value or have one too many."""
@@ -673,8 +688,12 @@ def dimensions(spark, d):
     return val.other_dimensions(ad.items(spark, d).select(F.col("label").cast("bigint").alias("label"), short.alias("vec")), "label", "vec")
 
 
-@query("val13_options", "SELECT * FROM (VALUES ('speed'), ('top_k'), ('refit')) t(option)")
+@query(
+    "val13_options",
+    "WITH o AS (SELECT event_id, value - 50 AS speed, event_id % 4 AS top_k, event_id % 2 = 0 AS skip_refit, event_id % 3 AS forced_every FROM events) SELECT event_id, 'speed' AS option FROM o WHERE speed <= 0 UNION ALL SELECT event_id, 'top_k' FROM o WHERE top_k <= 0 UNION ALL SELECT event_id, 'refit' FROM o WHERE skip_refit AND forced_every > 0",
+)
 def option_issues(spark, d):
-    """VAL-13: options that do not fit together."""
-    told = val.option_issues(speed=0.0, top_k=0, skip_refit=True, forced_every=5)
-    return spark.createDataFrame([(x,) for x in told], "option string")
+    """VAL-13: options that are out of bounds or contradict each other, here of one run for each event."""
+    e = ad.load(spark, d, "events")
+    runs = e.select("event_id", (F.col("value") - 50).alias("speed"), (F.col("event_id") % 4).alias("top_k"), (F.col("event_id") % 2 == 0).alias("skip_refit"), (F.col("event_id") % 3).alias("forced_every"))
+    return runs.select("event_id", F.explode(val.option_issues("speed", "top_k", "skip_refit", "forced_every")).alias("option"))
