@@ -38,16 +38,24 @@ def main(shared: Path, docs: str) -> None:
     os.environ["SPARK_HOME"] = str(home)
     os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
     os.environ["PYSPARK_PYTHON"] = sys.executable
-    from larkspur.llm import mixing, substrings
+    from larkspur.llm import divergence, embeddings, mixing, simhash, substrings
     from larkspur.session import session
 
     conf = {"spark.executor.memory": "800m", "spark.sql.shuffle.partitions": "6", "spark.checkpoint.dir": str(shared), "spark.driver.host": "127.0.0.1", "spark.ui.showConsoleProgress": "false"}
     spark = session("local-cluster[2,1,1024]", **conf)
     spark.sparkContext.setLogLevel("OFF")
     table = spark.read.parquet(docs).repartition(6)
+    vectors = spark.read.parquet(docs.replace("documents", "embeddings")).repartition(6)
     lost: list[int] = []
     out = {}
-    for name, run in {"substrings": substrings.dedup, "mixing": lambda d: mixing.mix(d, narrow_only=True)}.items():
+    runs = {
+        "substrings": substrings.dedup,
+        "mixing": lambda d: mixing.mix(d, narrow_only=True),
+        "groups": simhash.groups,
+        "vectors": lambda _: embeddings.near_duplicates(vectors),
+        "sources": divergence.audited,
+    }
+    for name, run in runs.items():
         thread = threading.Thread(target=lose_one, args=(shared, len(list(shared.iterdir())) + 2, lost))
         thread.start()
         out[name] = sorted(map(str, run(table).collect()))
