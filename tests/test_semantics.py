@@ -404,7 +404,7 @@ def test_pruned_search_equals_the_full_scan(spread):
     assert spread > 0.1 or cells.share_skipped > 0.8
 
 
-@pytest.mark.parametrize("tile", [4, 13, 50, 1000])
+@pytest.mark.parametrize("tile", [4, 50])
 def test_tiles_give_the_labels_of_one_task(spark, tile):
     groups = {7: blobs(3, 120), 8: np.round(blobs(4) * 4), 9: np.zeros((3, 3)), 10: np.ones((1, 3)), 11: np.zeros((30, 3))}
     rows = [(g, i, v.tolist()) for g, x in groups.items() for i, v in enumerate(x)]
@@ -421,7 +421,7 @@ def test_large_users_get_the_labels_of_one_task(spark):
         rows += [(user, 100 * user + i, (i * 7) % n, v.tolist()) for i, v in enumerate(blobs(user, n)[:n] @ turn)]
     m = spark.createDataFrame(rows, "user_id bigint, event_id bigint, event_idx bigint, vec array<double>")
     rows_of = lambda df: {r.event_id: r for r in df.collect()}
-    for kw in ({}, {"skip_under": 10}, {"stride": 2}):
+    for kw in ({}, {"skip_under": 10, "stride": 2}):
         one, many = rows_of(cg.cluster_users(m, **kw)), rows_of(cg.cluster_users(m, tile=11, **kw))
         assert {e: r.label for e, r in one.items()} == {e: r.label for e, r in many.items()} and max(r.label for r in one.values()) > 0
         np.testing.assert_allclose([many[e][3:] for e in one], [r[3:] for r in one.values()], atol=1e-9)
