@@ -15,8 +15,8 @@ window stands, and a run of windows with one minimiser is a segment.
    much text (many different ones, or long ones) are cut into windows first, equal windows collapsed, and dealt by their words.
 4. The results go back to the places of the segments, and from them to the documents.
 
-Segments and windows are told apart by 128 bits in steps 2 and 3, minimisers by 64 bits, where equal
-ones only share a shard; in the indexes words are compared by themselves.
+Segments are told apart by 128 bits of their words' 64-bit hashes in steps 2 and 3, cut windows by 128 bits of
+their text, minimisers by 64 bits, where equal ones only share a shard; in the indexes words are compared by themselves.
 
 Results in odd cases: ids are whole numbers; a null or empty text has no words and the digest of an empty text; a null id
 counts as larger than any other and is never a reason to remove; rows of one id do not remove each
@@ -47,8 +47,8 @@ BLOCK_BITS, MOST_BLOCKS = 15, 8192
 SHARD_WORDS, HOT_BYTES = 1_000_000, 2_000_000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
-#: Odd multipliers: of grams, and of the two hashes of a segment.
-BASE, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Odd multiplier of grams.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hash(word: bytes) -> int:
@@ -84,28 +84,10 @@ def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate([starts, [len(m)]]))
 
 
-#: base -> its powers modulo 2^64, as many as the longest text so far has words.
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    got = _POWERS.get(base)
-    if got is None or len(got) < n:
-        got = np.concatenate([[np.uint64(1)], np.full(max(n, 4096) - 1, np.uint64(base))]).cumprod(dtype=np.uint64)
-        _POWERS[base] = got
-    return got
-
-
 def contents(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """A 128-bit hash of the words of each range."""
-    w, n = ids.view(np.uint64), len(ids) + 1
-    out = np.empty((len(starts), 2), dtype=np.uint64)
-    for lane, base in enumerate((int(BASE), int(OTHER))):
-        # sum of word * base^place, moved to a common place by the inverse of base
-        sums = np.concatenate([[np.uint64(0)], ((w if lane == 0 else mixed(w)) * powers(base, n)[: len(w)]).cumsum(dtype=np.uint64)])
-        out[:, lane] = mixed((sums[ends] - sums[starts]) * powers(pow(base, -1, 1 << 64), n)[starts] + (ends - starts).astype(np.uint64))
-    raw = out.tobytes()
-    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+    """A 128-bit hash of each range, taken from the bytes of its words' hashes."""
+    raw = ids.tobytes()
+    return [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Filter:

@@ -82,6 +82,25 @@ def test_full_filter_loses_nothing(spark, monkeypatch, most):
     assert dedup(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("n", [1 << 10, 1 << 12])
+def test_regular_sequences_of_two_words_are_told_apart(n):
+    """Thue-Morse sequences and their complements, which polynomials modulo 2^64 take for equal."""
+    turn = np.array([bin(k).count("1") & 1 for k in range(n)])
+    words = np.array([substrings.word_hash(b"left"), substrings.word_hash(b"right")])
+    both = np.concatenate([words[turn], words[1 - turn], words[turn]])
+    at = np.arange(3) * n
+    one, other, again = substrings.contents(both, at, at + n)
+    assert one == again != other and len(one) == 16
+
+
+def test_regular_passages(spark):
+    """Long passages of two words in that order and its complement, in several documents."""
+    turn = [bin(k).count("1") & 1 for k in range(1 << 11)]
+    one, other = (" ".join("la" if b == k else "le" for b in turn) for k in (0, 1))
+    rows = [(1, one), (2, f"first {other}"), (3, f"{one} end"), (4, f"x {other} y"), (5, f"{other} {one}")]
+    assert dedup(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert dedup(spark, []) == []
 
