@@ -33,16 +33,21 @@ class Wavelet:
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
         self.bits = bits
 
-    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol occurs before lo and before hi."""
-        start = np.zeros_like(lo)
+        # where a symbol's own block begins in the last level
+        self.starts = self.down(np.arange(1 << bits), np.zeros(1 << bits, dtype=np.int64))
+
+    def down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Positions followed through all levels along the bits of their symbols."""
         for level, (bits, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
             one = (symbol >> (self.bits - 1 - level) & 1).astype(bool)
-            s, a, b = bits.ones(start), bits.ones(lo), bits.ones(hi)
-            start = np.where(one, zeros + s, start - s)
-            lo = np.where(one, zeros + a, lo - a)
-            hi = np.where(one, zeros + b, hi - b)
-        return lo - start, hi - start
+            ones = bits.ones(at)
+            at = np.where(one, zeros + ones, at - ones)
+        return at
+
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before lo and before hi."""
+        start = self.starts[symbol]
+        return self.down(symbol, lo) - start, self.down(symbol, hi) - start
 
 
 class FMIndex:
@@ -52,15 +57,20 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         """text: symbols, each segment ended by a 0."""
         n, rank, width = len(text), text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank) if depth == 1 else None
         while width < depth:
-            # the rank of the first 2 * width symbols from the ranks of two halves
-            after = np.concatenate([rank[width:] + 1, np.zeros(min(width, n), dtype=np.int64)])[:n]
-            key = rank * (int(rank.max()) + 2) + after
-            order = np.argsort(key, kind="stable")
+            # the rank of more symbols from those of as many pieces as a key has room for; suffixes alike up to `depth` may take any order
+            bits = int(rank.max() + 1).bit_length() if n else 1
+            pieces = min(max(2, 63 // bits), -(-depth // width))
+            key = rank
+            for j in range(1, pieces):
+                after = np.zeros(n, dtype=np.int64)
+                after[: max(n - j * width, 0)] = rank[j * width :] + 1
+                key = (key << bits) + after
+            order = np.argsort(key)
             new = np.empty(n, dtype=np.int64)
             new[order] = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
-            rank, width = new, 2 * width
+            rank, width = new, pieces * width
         self.order = order.astype(np.int32)
         size = int(text.max()) + 1 if n else 1
         self.before = np.concatenate([[0], np.bincount(text, minlength=size).cumsum()])
@@ -78,8 +88,12 @@ class FMIndex:
         live = np.arange(len(ends))
         for step in range(1, length + 1):
             symbol = text[ends[live] - step].astype(np.int64)
-            a, b = self.wavelet.ranks(symbol, lo[live], hi[live])
-            lo[live], hi[live] = self.before[symbol] + a, self.before[symbol] + b
+            # equal searches go on as one, in order of their places; intervals of one step that begin alike are alike
+            each, back = np.unique(symbol << 32 | lo[live], return_inverse=True)
+            symbol, low, high = each >> 32, each & 0xFFFFFFFF, np.empty_like(each)
+            high[back] = hi[live]
+            a, b = self.wavelet.ranks(symbol, low, high)
+            lo[live], hi[live] = (self.before[symbol] + a)[back], (self.before[symbol] + b)[back]
             matched[live] = step
             live = live[hi[live] - lo[live] > 1]
             if not len(live):
