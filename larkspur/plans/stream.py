@@ -13,7 +13,7 @@ from ..operators import interests as it
 from ..registry import RATINGS, query
 from ..session import scratch
 from ..sources import adapters as ad
-from ..streaming import compact, late, replay, state, store
+from ..streaming import compact, late, replay, serving, state, store
 from .interests import members
 from .stats import e6
 
@@ -295,6 +295,61 @@ def served_timeline(spark, d):
     return compact.served(spark, at, "user_id", 5).select("event_id", "assigned").orderBy("event_id")
 
 
+def served_tables(spark, d) -> serving.Serving:
+    """The fold's history, laid out by user."""
+    s = serving.Serving(spark, f"{scratch(spark)}/serving-{uuid.uuid4().hex}")
+    s.publish(projection(spark, d), 0)
+    return s
+
+
+def last_of(timeline, column: str) -> int:
+    """The latest value of one user's timeline; -1, which no table has, if there is none."""
+    got = timeline.agg(F.max_by(column, "replay_order")).first()[0]
+    return -1 if got is None else got
+
+
+@query("api1_served", f"WITH {REFITS} SELECT DISTINCT user_id FROM outcomes WHERE refit = 'closed'")
+def served_users(spark, d):
+    """API-1: users with a refit, from the laid out timeline."""
+    return served_tables(spark, d).users()
+
+
+@query("api3_served", f"""WITH {DECIDED}
+SELECT l.event_id AS raw_id, CASE WHEN s.first = c.e THEN 'base' ELSE 'assigned' END AS kind
+FROM spans s JOIN c ON c.event_id = s.event_id JOIN log l ON l.user_id = s.user_id AND l.user_seq = s.j
+WHERE s.user_id = 5 AND s.last = s.i AND s.n = s.i - s.first + 1 AND s.i = (SELECT max(i) FROM c WHERE user_id = 5)""")
+def served_points(spark, d):
+    """API-3: the points that one user's last event shows, from spells laid out by user."""
+    s = served_tables(spark, d)
+    return s.points(5, last_of(s.timeline(5), "event_id")).select("raw_id", "kind")
+
+
+@query("api4_served", f"""WITH {DECIDED},
+seg AS (SELECT event_id, i, e FROM c WHERE user_id = 5 AND e = (SELECT max(e) FROM c WHERE user_id = 5)),
+runs AS (
+  SELECT a.j, a.i, row_number() OVER (PARTITION BY a.j ORDER BY a.i) AS k, min(a.i) OVER (PARTITION BY a.j) AS first
+  FROM act a JOIN seg ON seg.i = a.i WHERE a.user_id = 5),
+ends AS (SELECT j, first, max(i) AS last FROM runs WHERE i = first + k - 1 GROUP BY ALL)
+SELECT seg.event_id, l.event_id AS raw_id, 'drawn' AS change, CASE WHEN first = e THEN 'base' ELSE 'assigned' END AS kind
+FROM ends JOIN seg ON seg.i = first JOIN log l ON l.user_id = 5 AND l.user_seq = j
+UNION ALL SELECT seg.event_id, l.event_id, 'removed', NULL FROM ends JOIN seg ON seg.i = last + 1 JOIN log l ON l.user_id = 5 AND l.user_seq = j""")
+def served_segment(spark, d):
+    """API-4: what each event since one user's last refit draws and removes."""
+    s = served_tables(spark, d)
+    return s.segment(5, last_of(s.timeline(5).where("refit is not null"), "refit")).select("event_id", "raw_id", "change", "kind")
+
+
+@query("api5_served", f"WITH {DECIDED} SELECT event_id, base, assigned FROM drawn WHERE user_id = 5 AND place = (SELECT max(i) FROM c WHERE user_id = 5) AND fitted")
+def served_clusters(spark, d):
+    """API-5, API-7: one user's last event with its clusters and noise; labels are the clusters', so their sums are told."""
+    s = served_tables(spark, d)
+    event = last_of(s.timeline(5), "event_id")
+    sums = s.clusters(5, event).select("base", "assigned").unionByName(s.points(5, event).where("label < 0").select((F.col("kind") == "base").cast("bigint").alias("base"), (F.col("kind") == "assigned").cast("bigint").alias("assigned")))
+    total = sums.agg(F.coalesce(F.sum("base"), F.lit(0)).alias("base"), F.coalesce(F.sum("assigned"), F.lit(0)).alias("assigned")).withColumn("event_id", F.lit(event).cast("bigint"))
+    at = s.timeline(5).where(F.col("event_id") == event).where("refit is not null").select("event_id")
+    return at.join(total, "event_id").select("event_id", "base", "assigned")
+
+
 @query("sto14_resumed", f"WITH {STATES} SELECT event_id, changed, active FROM own")
 def resumed(spark, d):
     """STO-14: a stream that stops and goes on from its checkpoint: what it has told is kept, and nothing is told twice."""

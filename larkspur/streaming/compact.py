@@ -2,7 +2,7 @@
 
 An epoch is a micro-batch. Its records go into a folder of its own, which a repeated epoch overwrites, so
 nothing is counted twice. The projection reads only the new epoch and, of its users, the points that were drawn
-when their last epoch ended (the carry); it writes the cluster counts of the new events and the new
+when their last epoch ended (the carry); it writes the spells of points, the cluster counts of the new events and the new
 carry, again under the epoch. The union over all epochs is what a projection of the whole history gives.
 """
 
@@ -17,7 +17,7 @@ CARRY = "user_id bigint, refit bigint, raw_id bigint, kind string, label bigint"
 
 
 class History:
-    """Tables of decisions, timeline and carry under a folder, by epoch."""
+    """Tables of decisions, spells, timeline and carry under a folder, by epoch."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -60,7 +60,7 @@ class History:
             .unionByName(single.where("kind = 'base'").select("user_id", F.col("replay_order").alias("epoch"), "raw_id", F.col("replay_order").alias("order"), F.lit(-1).alias("_n"), "kind", "label"))
             .unionByName(moves.select("user_id", "epoch", "raw_id", F.col("replay_order").alias("order"), F.when(gone, 0).otherwise(1).alias("_n"), F.when(gone, "removed").otherwise("assigned").alias("kind"), "label"))
         )
-        spells = hs.spells_of(rows)
+        spells = self.put(hs.spells_of(rows).withColumnRenamed("epoch", "refit"), "spells", epoch).withColumnRenamed("refit", "epoch")
         self.put(hs.timeline(events, spells).withColumnRenamed("epoch", "refit"), "timeline", epoch)
         last = events.groupBy("user_id").agg(F.max("epoch").alias("refit")).where("refit is not null")
         drawn = spells.where("to_order is null").join(last, (spells["user_id"] == last["user_id"]) & (spells["epoch"] == last["refit"]), "left_semi")
@@ -89,9 +89,13 @@ def bucket(key, buckets: int):
 
 
 def lay_out(rows: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
-    """rows as a table to be read by key: a folder for each bucket of keys, its rows in order of key and place."""
+    """rows as a table to be read by key: a folder for each bucket of keys, its rows in order of key and place.
+
+    Tasks take ranges of bucket, key and place, so that a key with very many rows is written by several.
+    """
+    tasks = max(buckets, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = rows.withColumn("bucket", bucket(F.col(key), buckets))
-    cut.repartition(buckets, "bucket").sortWithinPartitions("bucket", key, order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    cut.repartitionByRange(tasks, "bucket", key, order).sortWithinPartitions("bucket", key, order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def served(spark: SparkSession, path: str, key: str, value: int, buckets: int = 64) -> DataFrame:
