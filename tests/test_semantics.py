@@ -54,6 +54,17 @@ def test_positive_policies(spark, values, batch, online, seen):
     assert ids(sq.seen_batch(z), "movie_id") == seen
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_rating_at_its_mean_is_not_above_it(spark, parts):
+    """Sums of doubles differ by their order; of these, some exceed and some miss three times 0.1 or 0.7."""
+    users = {1: [0.1] * 3, 2: [0.7] * 3, 3: [0.1, 0.7, 0.4], 4: [33.11, 17.43, 1.75], 5: [1e25, 1e25, 1.0]}
+    users[4].append(round(sum(users[4]) / 3, 2))
+    rows = [(u, i, float(i), 10 * u + i, r) for u, rs in users.items() for i, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "user_id bigint, movie_id bigint, ts_s double, event_id bigint, rating double").repartition(parts)
+    above = {(r.user_id, r.rating) for r in sq.positives(df).collect()}
+    assert above == {(3, 0.7), (4, 33.11), (5, 1e25)} | ({(4, 17.43)} if users[4][3] < 17.43 else set())
+
+
 def test_retroactive_positives():
     s, seen = state.UserState(), []
     for i, v in enumerate([4, 2, 3, 5]):
