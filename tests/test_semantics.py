@@ -452,3 +452,23 @@ def test_fold_by_batches(events):
     first = [state.step(two, e, o) for e in log[: len(log) // 2]]
     two = pickle.loads(pickle.dumps(two))
     assert whole == first + [state.step(two, e, o) for e in log[len(log) // 2 :]]
+
+
+def test_events_are_dealt_without_their_vectors(spark, monkeypatch):
+    """The fold's events are shuffled and sorted narrow, and get their vectors where they are; too many items are joined before."""
+    log = spark.createDataFrame([(u, i, 10 * u + i, i % 4, float(i), float(i * u % 5)) for u in range(5) for i in range(9)], "user_id bigint, user_seq bigint, event_id bigint, movie_id bigint, ts_s double, rating double")
+    items = spark.createDataFrame([(m, [float(m == k) for k in range(3)]) for m in range(3)], "movie_id bigint, vec array<double>")
+    told = []
+    for most in (state.MATRIX, 0):
+        monkeypatch.setattr(state, "MATRIX", most)
+        out = state.fold_batch(log, items, state.Options(refit_min=3))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.index("Join") < plan.index("RepartitionByExpression")) == (most > 0)
+        told.append(sorted(map(repr, out.collect())))
+    assert told[0] == told[1] and len(told[0]) == 45
+
+
+@pytest.mark.parametrize("rating", [0.0, -3.0, 29.27, 1e-7, 2.5e-9, 1e22, -1.25e17, 5e-324])
+def test_ratings_as_decimals(rating):
+    digits, places = state.written_as(rating)
+    assert state.Fraction(digits, 10**places) == state.Fraction(repr(rating))
