@@ -472,3 +472,14 @@ def test_events_are_dealt_without_their_vectors(spark, monkeypatch):
 def test_ratings_as_decimals(rating):
     digits, places = state.written_as(rating)
     assert state.Fraction(digits, 10**places) == state.Fraction(repr(rating))
+
+
+def test_encoders_tell_every_component(spark, sf):
+    from larkspur.catalog import QUERIES
+    from larkspur.sources import adapters as ad
+
+    contexts = sq.context_windows(sq.positives(ad.ratings(spark, sf)), ad.known(), 10).count()
+    wide = len(ad.items(spark, sf).first().vec)
+    for name in ("mdl6_canonical", "mdl3_encoder"):
+        got = QUERIES[name](spark, sf).groupBy("p").count().collect()
+        assert {r.p: r["count"] for r in got} == {p: contexts for p in range(wide)}
