@@ -483,3 +483,13 @@ def test_encoders_tell_every_component(spark, sf):
     for name in ("mdl6_canonical", "mdl3_encoder"):
         got = QUERIES[name](spark, sf).groupBy("p").count().collect()
         assert {r.p: r["count"] for r in got} == {p: contexts for p in range(wide)}
+
+
+def test_means_of_members_as_rows_and_as_columns(spark):
+    """Vectors of unlike length and with nulls, noise, small groups; known length: no row for each component."""
+    rows = [(1, 0, [1.0, 2.0, 3.0]), (1, 0, [3.0, 4.0]), (1, 1, [None, 5.0]), (1, 1, [None, 7.0]), (1, -1, [9.0]), (2, 3, [1.0]), (3, 0, [2.0]), (3, 0, [4.0])]
+    m = spark.createDataFrame(rows, "user_id bigint, label int, vec array<double>")
+    out = [it.centroids(m, "user_id", "label", least=2, dim=dim) for dim in (None, 3, it.WIDE + 1)]
+    told = [{(r.user_id, r.label): (r["size"], r.vec) for r in df.collect()} for df in out]
+    assert told[0] == told[1] == told[2] == {(1, 0): (2, [2.0, 3.0, 3.0]), (1, 1): (2, [None, 6.0]), (3, 0): (2, [3.0])}
+    assert ["Generate" in df._jdf.queryExecution().optimizedPlan().toString() for df in out] == [True, False, True]
