@@ -14,24 +14,28 @@ What a user's state holds, each part written only where it changes:
 * the head: ratings, active rows, interests and counters;
 * rungs: earlier heads, as many as the logarithm of the events, spaced ever wider, so that an event m
   events late is followed by at most about 2 m foldings.
+
+Up to SMALL events all of this is one value with the head, without what its items give again (vectors, contexts): an entry
+of its own costs a call to the state store each time that it is read or written.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, MutableMapping
+from collections.abc import Callable, Iterator, MutableMapping
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from .state import COLUMNS, EVENT, RECORD, Options, UserState, frame, located, step
+from .state import COLUMNS, EVENT, RECORD, Options, UserState, located, step, told_row
 
 REVISED = RECORD + ", revision bigint"
 #: Seconds of a span, and events from a rung to the next.
 SPAN, EVERY = 86_400.0, 32
+#: Events of a user up to which the log is one value.
+SMALL = 256
 FIRST = (float("-inf"), 0, 0)
 
 
@@ -109,9 +113,11 @@ def rungs_kept(n: int, places: list[int]) -> list[int]:
 class Log:
     """One user: the state after all events that have come, and what it takes to put an event before others."""
 
-    def __init__(self, head: tuple[UserState, tuple, list[int]] | None, stores: dict[str, Stored], o: Options):
+    def __init__(self, head: tuple[UserState, tuple, list[int]] | None, stores: dict[str, MutableMapping], o: Options, bare: bool = False):
         self.state, self.last, self.places = head or (UserState(), FIRST, [])
         self.s, self.o, self.folded = stores, o, 0
+        #: Whether the vectors and contexts of the active rows are still to be made.
+        self.bare = bare
         self.bind()
 
     def bind(self) -> None:
@@ -156,7 +162,11 @@ class Log:
             self.s["rungs"].pop(below.pop())
             state, last = UserState(), FIRST
         self.state, self.last, self.places = state, last, below
-        contexts, active = {}, state.active
+        self.embed()
+
+    def embed(self) -> None:
+        """Contexts and vectors of just the active rows."""
+        contexts, active = {}, self.state.active
         for i, k in enumerate(active):
             contexts[k[2]] = (k[0], *(x[1] for x in active[max(0, i - self.o.length + 1) : i + 1]))
         for raw in [r for r in self.s["contexts"] if r not in contexts]:
@@ -166,6 +176,7 @@ class Log:
             if self.s["contexts"].get(raw) != context:
                 self.s["contexts"][raw] = context
                 self.s["vectors"][raw] = self.o.encode(np.stack([self.s["items"][m] for m in context[1:]]))
+        self.bare = False
         self.bind()
 
     def after(self, key: tuple) -> list[tuple]:
@@ -192,10 +203,47 @@ class Log:
         if key_of(new[0]) < self.last:
             self.rewound(key_of(new[0]))
             again = self.after(self.last)
+        elif self.bare:
+            self.embed()
         for e in again:
             yield from self.fold(e)
 
 
+def packed(log: Log) -> dict[str, dict]:
+    """The parts of a log in memory that the rest does not give; an event's vector is its item's."""
+    events = {at: {raw: (*e[:4], e[4] is not None) for raw, e in span.items()} for at, span in log.s["events"].items()}
+    return {"items": dict(log.s["items"]), "events": events, "told": dict(log.s["told"]), "rungs": dict(log.s["rungs"])}
+
+
+def unpacked(parts: dict[str, dict]) -> dict[str, dict]:
+    items = parts["items"]
+    events = {at: {raw: (*e[:4], items[e[1]] if e[4] else None) for raw, e in span.items()} for at, span in parts["events"].items()}
+    return {**parts, "events": events, "vectors": {}, "contexts": {}}
+
+
+def taken(value: bytes | None, entries: Callable[[], dict[str, Stored]], o: Options) -> Log:
+    """A log from its value; entries gives the maps of one that is not small."""
+    head, parts = (None, {p: {} for p in PARTS}) if value is None else pickle.loads(value)
+    return Log(head, entries() if parts is None else unpacked(parts), o, bare=parts is not None)
+
+
+def put_away(log: Log, entries: Callable[[], dict[str, Stored]]) -> bytes:
+    """The value of a log; one that is not small writes the rest of it by entry."""
+    if isinstance(log.s["events"], dict):
+        if len(log.state.ratings) <= SMALL:
+            return pickle.dumps((log.head(), packed(log)))
+        if log.bare:
+            log.embed()
+        whole, log.s = log.s, entries()
+        for name, part in whole.items():
+            for key, value in part.items():
+                log.s[name][key] = value
+        log.bind()
+    for s in log.s.values():
+        s.flush()
+    return pickle.dumps((log.head(), None))
+
+
 class LateFold(StatefulProcessor):
     """A user's log as a stateful operator."""
 
@@ -206,19 +254,15 @@ class LateFold(StatefulProcessor):
         self.head = handle.getValueState("head", "head binary")
         self.maps = {p: handle.getMapState(p, "key bigint", "value binary") for p in PARTS}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stores = {p: Stored(m) for p, m in self.maps.items()}
-        log = Log(pickle.loads(self.head.get()[0]) if self.head.exists() else None, stores, self.o)
-        events = []
-        for pdf in rows:
-            columns = (pdf[c] for c in ("ts_s", "movie_id", "event_id", "rating", "vec"))
-            events += [(float(t), int(m), int(e), float(r), None if v is None else np.asarray(v, dtype=np.float64)) for t, m, e, r, v in zip(*columns, strict=True)]
-        out = list(log.receive(events))
-        for s in stores.values():
-            s.flush()
-        self.head.update((pickle.dumps(log.head()),))
-        told = frame(int(key[0]), out)
-        yield told.assign(revision=pd.Series([r["revision"] for r in out], dtype="int64"))
+    def entries(self) -> dict[str, Stored]:
+        return {p: Stored(m) for p, m in self.maps.items()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got = self.head.get()
+        log = taken(None if got is None else got[0], self.entries, self.o)
+        out = list(log.receive([(x.ts_s, x.movie_id, x.event_id, x.rating, None if x.vec is None else np.asarray(x.vec, dtype=np.float64)) for x in rows]))
+        self.head.update((put_away(log, self.entries),))
+        yield from (told_row(int(key[0]), r, [*COLUMNS, "revision"]) for r in out)
 
     def close(self) -> None:
         pass
@@ -228,7 +272,7 @@ def fold_late(events: DataFrame, items: DataFrame, o: Options) -> DataFrame:
     """Records with revisions of a stream of events (user_id, event_id, movie_id, ts_s, rating) in any order."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = located(events.withColumn("user_seq", F.lit(0).cast("bigint")), items).select(*EVENT)
-    return rows.groupBy("user_id").transformWithStateInPandas(LateFold(o), REVISED, "Append", "None")
+    return rows.groupBy("user_id").transformWithState(LateFold(o), REVISED, "Append", "None")
 
 
 def latest(records: DataFrame) -> DataFrame:

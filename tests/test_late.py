@@ -111,6 +111,82 @@ def test_spans_do_not_grow_with_the_history():
     assert np.mean(parts[-30:]) < 2 * np.mean(parts[20:50])
 
 
+class Value:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.now, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.now is not None
+
+    def get(self):
+        self.calls += 1
+        return self.now
+
+    def update(self, value):
+        self.calls += 1
+        self.now = value
+
+
+class Handle:
+    def __init__(self):
+        self.values, self.maps = {}, {}
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, Value())
+
+    def getMapState(self, name, *schemas):
+        return self.maps.setdefault(name, Entries())
+
+
+def through_states(events, sizes, seed):
+    """The records of a processor over batches of a user's events, and its states."""
+    from pyspark.sql import Row
+
+    one, handle, told, rng = late.LateFold(OPTIONS), Handle(), {}, random.Random(seed)
+    one.init(handle)
+    left = events[:]
+    if seed is not None:
+        rng.shuffle(left)
+    for n in sizes:
+        rows = [Row(ts_s=t, movie_id=m, event_id=e, rating=r, vec=None if v is None else v.tolist()) for t, m, e, r, v in left[:n]]
+        for r in one.handleInputRows((7,), iter(rows), None):
+            got = r.asDict()
+            assert got["user_id"] == 7 and (got["revision"] < 0 or got["revision"] > told.get(r.event_id, {"revision": -1})["revision"])
+            told[r.event_id] = got
+        left = left[n:]
+    return {k: {c: r[c] for c in ("status", "changed", "inactive", "active", "pending", "refit", "interests", "version", "point")} for k, r in told.items()}, handle
+
+
+def plainly(events):
+    names = ("status", "changed", "inactive", "active", "pending", "refit", "interests", "version", "point")
+    return {k: {c: r[c] for c in names} for k, r in in_order(events).items()}
+
+
+def test_a_small_log_is_one_value():
+    """Two calls to the state store a batch, in order or not; entries of their own took hundreds."""
+    events = events_of(80)
+    got, handle = through_states(events, (30, 20, 1, 1, 28), 3)
+    assert got == plainly(events)
+    assert handle.values["head"].calls == 10 and not any(m.rows for m in handle.maps.values())
+
+
+def test_in_order_events_of_a_small_log():
+    events = events_of(60)
+    got, _ = through_states(events, [1] * 60, None)
+    assert got == plainly(events)
+
+
+@pytest.mark.parametrize("small", [0, 40, 100])
+def test_a_log_that_grows_is_kept_by_entry(monkeypatch, small):
+    monkeypatch.setattr(late, "SMALL", small)
+    events = events_of(160, 1)
+    got, handle = through_states(events, (30, 40, 1, 49, 40), 5)
+    assert got == plainly(events) and all(handle.maps[p].rows for p in ("items", "events", "told", "rungs", "vectors"))
+
+
 def test_stream_of_late_and_missing_events_equals_batch(spark, sf, tmp_path):
     o = state.Options(**{**OPTIONS.__dict__, "decide": False})
     items = known_items(spark, sf)
