@@ -424,6 +424,20 @@ def test_tiles_give_the_labels_of_one_task(spark, tile):
     assert len(got) == len(want) and {(r.group, r.place): r.label for r in got} == want
 
 
+def test_edges_of_the_whole_tree_are_lighter_than_the_weight_of_an_end():
+    """What the tiles leave out: an edge between rows that a tree of some edges joins by no more than its weight."""
+    x = np.concatenate([blobs(2, 150), np.random.default_rng(1).normal(0, 9, (6, 3))])
+    n, core = len(x), density.core_distances(x, 3)
+    order = np.argsort(x[:, 0], kind="stable")
+    far = np.maximum(density.apart(x, x), np.maximum(core[:, None], core[None, :]))
+    a, b = order[:-1], order[1:]  # a chain stands for the trees of the tiles
+    at = density.joined_at(n, a, b, far[a, b])
+    one, other, w = density.spanning(x, core)
+    own = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert all((min(i, j), max(i, j)) in own or v <= max(at[i], at[j]) for i, j, v in zip(one.tolist(), other.tolist(), w.tolist(), strict=True))
+    assert (at == at.min()).sum() >= density.JOINED * n
+
+
 def test_large_users_get_the_labels_of_one_task(spark):
     rng = np.random.default_rng(5)
     rows = []
