@@ -171,7 +171,7 @@ class Log:
             contexts[k[2]] = (k[0], *(x[1] for x in active[max(0, i - self.o.length + 1) : i + 1]))
         for raw in [r for r in self.s["contexts"] if r not in contexts]:
             del self.s["contexts"][raw]
-            del self.s["vectors"][raw]
+            self.s["vectors"].pop(raw, None)
         for raw, context in contexts.items():
             if self.s["contexts"].get(raw) != context:
                 self.s["contexts"][raw] = context
